@@ -27,7 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         moved = True
         while moved:  # pointers fall strictly, so following them ends at the roots
             above = parent.select(F.col("root").alias("up"), F.col("up").alias("top"))
-            step = parent.join(above, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.coalesce(F.col("top") <> F.col("up"), F.lit(False)).alias("moved"))
+            step = parent.join(above, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.coalesce(F.col("top") != F.col("up"), F.lit(False)).alias("moved"))
             step = materialise(step, "parents")
             parent, moved = step.select("root", "up"), not step.where("moved").isEmpty()
         top = parent.select(F.col("root").alias("component"), F.col("up").alias("top"))
