@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import BpeCodec
+from .line_dedup import LineDedupParams, dedup_lines
+from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
 
 
@@ -13,12 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_table(table(spark, sf_dir, "documents"), MixParams(weights=(5, 2, 1), cap=3))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"), LineDedupParams(min_docs=10, min_chars=1))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codec = BpeCodec(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return codec.decode(codec.encode(docs, ["doc_id"]), ["doc_id"], digest=True)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupParams(shingle=3, percent=85))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    found = (op4_source_mixing, op5_line_dedup, op8_bpe_codec, op10_minhash_near_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
