@@ -33,6 +33,8 @@ from .words import mix, shingle_sets
 
 #: Rows of one side of a block in step 5, and partners of a centre that one group of step 4 holds.
 BLOCK = 256
+#: Ids of candidates up to which they are broadcast to select the texts that get shuffled; beyond, all texts are.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -254,6 +256,14 @@ def _verify(params: NearDupParams):
     return run
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that have one of the ids, or more, before the shuffle of a join with them."""
+    ids = ids.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "id", "left_semi")
+    return docs
+
+
 def _links(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A centre with many partners is dealt out in salted
     groups of about ``BLOCK``, each with the centre's text once; the texts are shuffled by id once."""
@@ -263,7 +273,7 @@ def _links(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFram
     members = members.union(pairs.select(F.col("a").alias("centre"), "salt", F.col("a").alias("id")).distinct())
     n = partitions(docs.sparkSession)
     return (
-        members.join(docs, "id")
+        members.join(_texts_of(members, docs), "id")
         .select("centre", "salt", "id", "text")
         .repartition(n, "centre", "salt")
         .sortWithinPartitions("centre", "salt", F.col("id") != F.col("centre"))
@@ -326,7 +336,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     part_type = f"key long, i long, j long, left boolean, id {id_type}, component {id_type}"
     blocks = materialise(blocks.mapInArrow(_take_part(params), part_type), "blocks")
     if not blocks.isEmpty():
-        blocks = blocks.join(docs, "id").select(*shown, "text").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        blocks = blocks.join(_texts_of(blocks, docs), "id").select(*shown, "text").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         labels = connected_components(links.union(blocks.mapInArrow(_verify_blocks(params), pair_type)))
 
     found = filed.join(labels, filed["first"] == labels["node"], "left").select("id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
