@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BpeCodec
+from .fingerprint import compare_neighbours
+from .lang_id import fit_lang_model, held_out, predict_languages
 from .line_dedup import LineDedupParams, dedup_lines
 from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
@@ -27,18 +29,28 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id"))
+    model = fit_lang_model(docs.where(~F.col("held_out")))
+    return predict_languages(docs, model, ["doc_id", "held_out"])
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     codec = BpeCodec(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return codec.decode(codec.encode(docs, ["doc_id"]), ["doc_id"], digest=True)
 
 
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupParams(shingle=3, percent=85))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_source_mixing, op5_line_dedup, op8_bpe_codec, op10_minhash_near_dedup)
+    found = (op4_source_mixing, op5_line_dedup, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
