@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,6 +17,9 @@ from .lang_id import fit_lang_model, held_out, predict_languages
 from .line_dedup import LineDedupParams, dedup_lines
 from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
+from .storage import shared_dir
+from .token_counts import TokenLedger, counted, revised, signed
+from .toxicity import fit_toxicity, predict_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,11 @@ def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, ForestParams(k=5))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(table(spark, sf_dir, "documents"), MixParams(weights=(5, 2, 1), cap=3))
 
@@ -42,6 +51,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, the toxic ones deleted, and those of low quality moved to a source of their own;
+    the first two batches come twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels")
+    ledger = TokenLedger(spark, f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}")
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    poor = docs.join(labels.where("toxic = 0 and quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    moved = revised(counted(poor), counted(poor.withColumn("source", F.lit("low quality"))))
+    batches = {"insert": signed(counted(docs), 1), "delete": signed(counted(toxic), -1), "revise": moved}
+    for batch in ("insert", "delete", "insert", "revise", "delete"):
+        ledger.commit(batch, batches[batch])
+    return ledger.totals(list(batches))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id"))
     model = fit_lang_model(docs.where(~F.col("held_out")))
@@ -63,7 +87,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_prefix_forest, op4_source_mixing, op5_line_dedup, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup)
+    found = (op1_chat_format, op2_prefix_forest, op3_toxicity, op4_source_mixing, op5_line_dedup, op6_token_counts, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
