@@ -1,7 +1,7 @@
 """Byte-level BPE: whole texts to token ids and back, with a lexicon of frequent words.
 
-Frequent pieces of the corpus are encoded once, on the driver, and compiled into a transducer
-(:mod:`.lexicon`); pieces outside it are merged exactly. Both give the ids that the merges define, so the lexicon
+Frequent words of the corpus are encoded once, on the driver, and compiled into a transducer
+(:mod:`.lexicon`); words outside it are split into pieces and merged exactly. Both give the ids that the merges define, so the lexicon
 changes the speed and never the result.
 """
 
@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,17 +38,22 @@ LATE = (
     (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
-#: Segments and pieces that a worker keeps at once, and words that a partition counts before it passes them on.
-CACHE = 250_000
+#: Words, and pieces, that a worker keeps at once, and words that a partition counts before it passes them on.
+CACHE = 400_000
+_NONE, _ID = 1 << 60, (1 << 17) - 1
 
 _pieces = regex.compile(PIECES)
 _late = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE) + "]")
-_spaced = re.compile(r"\s \s?| \s|\A | \Z")
 _between = re.compile(r"(?<=\S) (?=\S)")
 
 
 def split_pieces(text: str) -> list[str]:
-    if not _late.search(text):
+    if text.isascii() or not _late.search(text):
+        body = text.removeprefix(" ")
+        if body.isalpha():
+            return [text]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [text[:-1], text[-1]]
         return _pieces.findall(text)
     plain = _late.sub("", text)  # neither letter nor number nor space
     return [text[m.start() : m.end()] for m in _pieces.finditer(plain)]
@@ -56,7 +62,7 @@ def split_pieces(text: str) -> list[str]:
 def split_segments(text: str) -> list[str]:
     """Parts whose pieces are the text's: cut before each single space between two other characters, as a piece
     never goes on over such a space."""
-    parts = _between.split(text) if _spaced.search(text) else text.split(" ")
+    parts = _between.split(text)
     return [parts[0], *[" " + p for p in parts[1:]]] if text else []
 
 
@@ -82,88 +88,123 @@ class ByteBpe:
         for token, i in vocabulary.items():
             if len(token) == 1:
                 self.single[shown[token]] = i
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: (left << 17 | right) -> rank << 17 | merged
+        self.merges: dict[int, int] = {}
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges.setdefault((vocabulary[a], vocabulary[b]), (rank, vocabulary[a + b]))
+            self.merges.setdefault(vocabulary[a] << 17 | vocabulary[b], rank << 17 | vocabulary[a + b])
 
     def merge(self, piece: bytes) -> list[int]:
-        """Exact merges, always the one of lowest rank, of equal ones the leftmost; n log n in the piece's length."""
-        ids = [self.single[b] for b in piece]
-        n, merges = len(ids), self.merges
-        if n <= 24:
-            while len(ids) > 1:
-                rank, at, new = min((*merges[pair][:1], i, merges[pair][1]) if (pair := (ids[i], ids[i + 1])) in merges else (1 << 60, 0, 0) for i in range(len(ids) - 1))
-                if rank == 1 << 60:
-                    break
-                ids[at : at + 2] = [new]
-            return ids
+        """Exact merges, always the one of lowest rank, of equal ones the leftmost."""
+        ids, find = [self.single[b] for b in piece], self.merges.get
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        found = [find(a << 17 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NONE:
+            i = found.index(best)
+            ids[i] = best & _ID
+            del ids[i + 1], found[i]
+            if i < len(found):
+                found[i] = find(ids[i] << 17 | ids[i + 1], _NONE)
+            if i:
+                found[i - 1] = find(ids[i - 1] << 17 | ids[i], _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap: n log n in the piece's length."""
+        n, find = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(merges[p][0], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in merges]
+        heap = [(m >> 17, i, ids[i], ids[i + 1], m & _ID) for i in range(n - 1) if (m := find(ids[i] << 17 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, a, b, merged = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = merges[a, b][1], -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                if (p := (ids[i], ids[after[i]])) in merges:
-                    heapq.heappush(heap, (merges[p][0], i, *p))
-            if before[i] >= 0 and (p := (ids[before[i]], ids[i])) in merges:
-                heapq.heappush(heap, (merges[p][0], before[i], *p))
+            ids[i], ids[j], after[i] = merged, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (m := find(ids[x] << 17 | ids[y])) is not None:
+                    heapq.heappush(heap, (m >> 17, x, ids[x], ids[y], m & _ID))
         return [i for i in ids if i >= 0]
 
 
-class _Cache(dict):
-    """Segment -> its ids as the bytes of int32."""
+class _Irregular(Exception):
+    """A part between two spaces that is empty, or begins or ends with white space."""
+
+
+class _Encoder(dict):
+    """Part of a text after a single space -> the bytes of its int32 ids, the space included. Parts that were used
+    since the last but one time that ``CACHE`` parts were held are kept."""
 
     def __init__(self, model: ByteBpe, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
-
-    def __missing__(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in split_pieces(segment):
-            raw = piece.encode()
-            found = self.lexicon.get(raw)
-            ids += self.model.merge(raw) if found is None else found
-        out = np.array(ids, np.int32).tobytes()
-        if len(segment) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[segment] = out
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        out = self.older.get(part)
+        if out is None:
+            if not part or part[0].isspace() or part[-1].isspace():
+                raise _Irregular
+            out = self.segment(" " + part)
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        if len(part) <= 64:
+            self[part] = out
         return out
 
-
-def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segment(self, segment: str) -> bytes:
+        ids = self.lexicon.get(segment.encode())
+        if ids is None:
+            ids = []
+            for piece in split_pieces(segment):
+                if (own := self.pieces.get(piece)) is None:
+                    own = self.model.merge(piece.encode())
+                    if len(self.pieces) >= CACHE:
+                        self.pieces.clear()
+                    if len(piece) <= 64:
+                        self.pieces[piece] = own
+                ids += own
+        return array("i", ids).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if not text:
+            return b""
+        parts = text.split(" ")
+        try:
+            if parts[0] and not parts[0][-1].isspace():
+                return b"".join([self.segment(parts[0]), *[self[p] for p in parts[1:]]])
+        except _Irregular:
+            pass
+        return b"".join([self.segment(s) for s in split_segments(text)])
+
+
+def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def emit() -> pa.RecordBatch:
-        pieces: Counter = Counter()
-        for segment, n in counts.items():
-            for piece in split_pieces(segment):
-                if 2 <= len(piece) <= 32:
-                    pieces[piece] += n
+        rows = [(x, n) for x, n in counts.items() if 0 < len(x) <= 32]
         counts.clear()
-        return pa.RecordBatch.from_pydict({"piece": pa.array(pieces.keys(), pa.string()), "n": pa.array(pieces.values(), pa.int64())})
+        return pa.RecordBatch.from_pydict({"segment": pa.array([x for x, _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
 
     for batch in batches:
         for text in batch.column(0):
             if value := text.as_py():
-                counts.update(split_segments(value))
+                counts.update(value.split(" "))
             if len(counts) >= CACHE:
                 yield emit()
     if counts:
         yield emit()
 
 
-def frequent_pieces(docs: DataFrame, text_col: str, size: int) -> list[str]:
-    """The ``size`` most frequent pieces of all texts; ties by the piece."""
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_pieces, "piece string, n long")
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
-    return [row.piece for row in top.collect()]
+def frequent_words(docs: DataFrame, text_col: str, size: int) -> list[str]:
+    """The ``size`` most frequent words of all texts, as they stand between spaces; ties by the word."""
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_segments, "segment string, n long")
+    top = counted.groupBy("segment").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "segment").limit(size)
+    return [row.segment for row in top.collect()]
 
 
 def read_text(spark, path: str) -> str:
@@ -182,8 +223,8 @@ class BpeCodec:
                 model = ByteBpe(file.read())
         else:
             model = ByteBpe(read_text(spark, path))
-        words = [p.encode() for p in frequent_pieces(docs, text_col, lexicon_size)]
-        self.lexicon = compile_lexicon((w, tuple(model.merge(w))) for w in words)
+        words = [" " + w for w in frequent_words(docs, text_col, lexicon_size)]
+        self.lexicon = compile_lexicon((w.encode(), tuple(i for p in split_pieces(w) for i in model.merge(p.encode()))) for w in words)
         self._model = spark.sparkContext.broadcast(model)
         self._lexicon = spark.sparkContext.broadcast(self.lexicon)
 
@@ -196,17 +237,17 @@ class BpeCodec:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared_model.value
-            cache = model.__dict__.get("cache")  # lives as long as the worker keeps the broadcast model
-            if cache is None or cache.of is not shared_lexicon.value:
-                cache = model.cache = _Cache(model, Lexicon(shared_lexicon.value))
-                cache.of = shared_lexicon.value
+            encoder = model.__dict__.get("encoder")  # lives as long as the worker keeps the broadcast model
+            if encoder is None or encoder.of is not shared_lexicon.value:
+                encoder = model.encoder = _Encoder(model, Lexicon(shared_lexicon.value))
+                encoder.of = shared_lexicon.value
             marks = regex.compile("(" + "|".join(map(regex.escape, sorted(model.special, key=len, reverse=True))) + ")") if model.special else None
             single = {t: np.array([i], np.int32).tobytes() for t, i in model.special.items()}
 
             def ids(text: str) -> bytes:
                 if marks is None or not marks.search(text):
-                    return b"".join([cache[s] for s in split_segments(text)])
-                return b"".join([single[p] if p in single else b"".join([cache[s] for s in split_segments(p)]) for p in marks.split(text)])
+                    return encoder.text(text)
+                return b"".join([single[p] if p in single else encoder.text(p) for p in marks.split(text)])
 
             for batch in batches:
                 texts = batch.column(0)
