@@ -27,6 +27,8 @@ from .storage import materialise
 HELD = 250_000
 #: Bytes of filters, and excepted keys, up to which decisions are made where the texts are; beyond either, by joins.
 FILTER_BYTES, EXCEPTED = 64 << 20, 200_000
+#: Keys of lines kept in a first document up to which these are broadcast.
+OWNED = 500_000
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -218,7 +220,7 @@ def drop_frequent_lines(
     gives an empty result. ``first(key_a, key_b, first)`` names for "first" the documents that keep a key's lines.
 
     Where all filters together have at most ``filter_bytes``, they are sent to the tasks and no text is shuffled
-    (but for "first", by id); else the keys are joined with the frequent keys and the texts with their keys.
+    (but for "first" with more than ``OWNED`` keys, by id); else the keys are joined with the frequent keys and the texts with their keys.
     """
     keep_cols = keep_cols or [id_col]
     frequent = F.col("n_docs") >= params.min_docs
@@ -265,6 +267,8 @@ def drop_frequent_lines(
         docs = docs.join(drops, docs["__id"].eqNullSafe(drops["__of"]) & docs["__hash"].eqNullSafe(drops["__with"]), "left")
     if first is not None:
         owned = first.groupBy("first").agg(F.collect_list(key).alias("__exempt"))
+        if first.count() <= OWNED:
+            owned = F.broadcast(owned)
         docs = docs.join(owned, docs["__id"] == owned["first"], "left")
     columns = ["__text", *(["__drop"] if listed else []), *(["__exempt"] if first is not None else []), *passed]
     return docs.select(*columns).mapInArrow(_drop(params, shared, listed, first is not None, names), schema)
@@ -276,4 +280,5 @@ def dedup_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams(), ke
     first = None
     if params.keep == "first":
         first = line_counts(docs, params, text_col, id_col).where(F.col("n_docs") >= params.min_docs).select("key_a", "key_b", "first")
+        first = materialise(first, "first_documents")
     return drop_frequent_lines(docs, state, params, keep_cols, id_col, text_col, first)

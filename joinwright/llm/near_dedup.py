@@ -256,12 +256,13 @@ def _verify(params: NearDupParams):
     return run
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents that have one of the ids, or more, before the shuffle of a join with them."""
-    ids = ids.select("id").distinct()
+def rows_by_id(docs: DataFrame, ids: DataFrame, id_col: str = "id", having: bool = True) -> DataFrame:
+    """The rows of ``docs`` that have one of the ids, or that have none. Up to ``BROADCAST_IDS`` ids are broadcast, so
+    that no text is shuffled; more are joined by a shuffle."""
+    ids = ids.select(id_col).distinct()
     if ids.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), "id", "left_semi")
-    return docs
+        ids = F.broadcast(ids)
+    return docs.join(ids, id_col, "left_semi" if having else "left_anti")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
@@ -273,7 +274,7 @@ def _links(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFram
     members = members.union(pairs.select(F.col("a").alias("centre"), "salt", F.col("a").alias("id")).distinct())
     n = partitions(docs.sparkSession)
     return (
-        members.join(_texts_of(members, docs), "id")
+        members.join(rows_by_id(docs, members), "id")
         .select("centre", "salt", "id", "text")
         .repartition(n, "centre", "salt")
         .sortWithinPartitions("centre", "salt", F.col("id") != F.col("centre"))
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     part_type = f"key long, i long, j long, left boolean, id {id_type}, component {id_type}"
     blocks = materialise(blocks.mapInArrow(_take_part(params), part_type), "blocks")
     if not blocks.isEmpty():
-        blocks = blocks.join(_texts_of(blocks, docs), "id").select(*shown, "text").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        blocks = blocks.join(rows_by_id(docs, blocks), "id").select(*shown, "text").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         labels = connected_components(links.union(blocks.mapInArrow(_verify_blocks(params), pair_type)))
 
     found = filed.join(labels, filed["first"] == labels["node"], "left").select("id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
