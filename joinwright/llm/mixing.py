@@ -65,7 +65,7 @@ def _ranked(docs: DataFrame, params: MixParams) -> DataFrame:
     """Adds ``__pi``, the inclusion probability, and the rank: (``__z``, ``__h``), where ``__z`` is q / (1 + q) for the
     ratio q of the odds."""
     uniform = (F.conv(F.substring("__h", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    pi = F.when(F.col("__size") > 0, F.least(F.lit(1.0), F.col("level") * F.pow(F.col("__size").cast("double"), F.lit(params.tilt)))).otherwise(0.0)
+    pi = F.when((F.col("__size") > 0) & F.col("level").isNotNull(), F.least(F.lit(1.0), F.col("level") * F.pow(F.col("__size").cast("double"), F.lit(params.tilt)))).otherwise(0.0)
     docs = docs.withColumn("__pi", F.coalesce(pi, F.lit(0.0))).withColumn("__u", uniform)
     a, b = F.col("__u") * (1 - F.col("__pi")), (1 - F.col("__u")) * F.col("__pi")
     return docs.withColumn("__z", F.try_divide(a, a + b))
