@@ -39,7 +39,7 @@ LATE = (
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
 #: Words, and pieces, that a worker keeps at once, and words that a partition counts before it passes them on.
-CACHE = 400_000
+CACHE = 150_000
 _NONE, _ID = 1 << 60, (1 << 17) - 1
 
 _pieces = regex.compile(PIECES)
@@ -141,7 +141,7 @@ class _Encoder(dict):
     def __init__(self, model: ByteBpe, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         out = self.older.get(part)
@@ -158,17 +158,17 @@ class _Encoder(dict):
 
     def segment(self, segment: str) -> bytes:
         ids = self.lexicon.get(segment.encode())
-        if ids is None:
-            ids = []
-            for piece in split_pieces(segment):
-                if (own := self.pieces.get(piece)) is None:
-                    own = self.model.merge(piece.encode())
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    if len(piece) <= 64:
-                        self.pieces[piece] = own
-                ids += own
-        return array("i", ids).tobytes()
+        return array("i", ids).tobytes() if ids is not None else b"".join([self.piece(p) for p in split_pieces(segment)])
+
+    def piece(self, piece: str) -> bytes:
+        out = self.pieces.get(piece)
+        if out is None:
+            out = array("i", self.model.merge(piece.encode())).tobytes()
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            if len(piece) <= 64:
+                self.pieces[piece] = out
+        return out
 
     def text(self, text: str) -> bytes:
         if not text:
@@ -233,6 +233,34 @@ class BpeCodec:
         Strings of special tokens in a text become their ids."""
         docs = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep])
         schema = docs.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType()))
+        return docs.mapInArrow(self._encoding(schema.names), schema)
+
+    def decode(self, encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "text", digest: bool = False) -> DataFrame:
+        """The columns ``keep`` and ``text_col``: the text of the ids, special tokens included; null ids are none.
+        With ``digest`` instead of the text: ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
+        ``decoded_sha256``."""
+        encoded = encoded.select(F.col(ids_col).alias("__ids"), *[F.col(c) for c in keep])
+        schema = self._decoded_schema(encoded.drop("__ids").schema, text_col, digest)
+        return encoded.mapInArrow(self._decoding(schema.names, digest), schema)
+
+    def round_trip(self, docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+        """``decode(encode(docs), digest=True)`` in one task each, without passing the ids through Spark."""
+        docs = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep])
+        schema = self._decoded_schema(docs.drop("__text").schema, "", True)
+        encoding, decoding = self._encoding([*keep, "__ids"]), self._decoding(schema.names, True)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from decoding(b.select(["__ids", *keep]) for b in encoding(batches))
+
+        return docs.mapInArrow(run, schema)
+
+    @staticmethod
+    def _decoded_schema(schema: T.StructType, text_col: str, digest: bool) -> T.StructType:
+        schema = T.StructType(list(schema.fields))
+        return schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add(text_col, "string")
+
+    def _encoding(self, names: list[str]):
+        """Columns: text, then those to pass on."""
         shared_model, shared_lexicon = self._model, self._lexicon
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,23 +283,18 @@ class BpeCodec:
                 for r in range(batch.num_rows):
                     held.append(ids(texts[r].as_py() or ""))
                     total += len(held[-1])
-                    if total >= 1 << 22 or r + 1 == batch.num_rows:
+                    if total >= 1 << 21 or r + 1 == batch.num_rows:
                         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int32)
                         values = pa.Array.from_buffers(pa.int32(), total // 4, [None, pa.py_buffer(b"".join(held))])
                         lists = pa.ListArray.from_arrays(pa.array(offsets), values)
                         rest = [c.slice(begin, len(held)) for c in batch.columns[1:]]
-                        yield pa.RecordBatch.from_arrays([*rest, lists], [*batch.schema.names[1:], ids_col])
+                        yield pa.RecordBatch.from_arrays([*rest, lists], names)
                         begin, held, total = r + 1, [], 0
 
-        return docs.mapInArrow(run, schema)
+        return run
 
-    def decode(self, encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "text", digest: bool = False) -> DataFrame:
-        """The columns ``keep`` and ``text_col``: the text of the ids, special tokens included; null ids are none.
-        With ``digest`` instead of the text: ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
-        ``decoded_sha256``."""
-        encoded = encoded.select(F.col(ids_col).alias("__ids"), *[F.col(c) for c in keep])
-        schema = encoded.drop("__ids").schema
-        schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add(text_col, "string")
+    def _decoding(self, names: list[str], digest: bool):
+        """Columns: ids, then those to pass on."""
         shared_model = self._model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +313,6 @@ class BpeCodec:
                     else:
                         out.append((text,))
                 made = [pa.array(x) for x in zip(*out)] if out else [pa.array([], t) for t in ((pa.int64(), pa.string(), pa.string()) if digest else (pa.string(),))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names)
 
-        return encoded.mapInArrow(run, schema)
+        return run

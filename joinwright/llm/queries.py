@@ -75,7 +75,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     codec = BpeCodec(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return codec.decode(codec.encode(docs, ["doc_id"]), ["doc_id"], digest=True)
+    return codec.round_trip(docs, ["doc_id"])
 
 
 def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
