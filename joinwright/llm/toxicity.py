@@ -4,8 +4,8 @@ P(grade > g) = sigmoid(score - threshold_g) with one score, a weighted sum of th
 ascending thresholds. Features are the presence of words, and of beginnings and ends of words, of the model's
 vocabulary.
 
-Labels say toxic or not. Their grades are 0 for texts that are not, and 1 to 3 for toxic ones by terciles of the share of
-whole words that are at least ``lift`` times as frequent in toxic texts as in others.
+Labels say toxic or not. Their grades are 0 for texts that are not, and 1 to 3 for toxic ones by terciles of the number of
+different words that are at least ``lift`` times as frequent in toxic texts as in others.
 """
 
 from __future__ import annotations
@@ -41,12 +41,12 @@ class ToxicityParams:
     most, by ``least`` standard errors or more."""
 
     max_docs: int = 4_000
-    vocabulary: int = 2_000
+    vocabulary: int = 400
     min_docs: int = 4
-    least: float = 3.0
+    least: float = 2.5
     grades: int = 3
     lift: float = 8.0
-    steps: int = 400
+    steps: int = 600
     rate: float = 0.1
     ridge: float = 1e-5
     seed: int = 1
@@ -157,7 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
         for batch in batches:
             rows = batch.column(1).to_pylist()
             kept = pa.array([[numbers[x["word"]] for x in r if x["word"] in numbers] for r in rows], pa.list_(pa.int32()))
-            rates = [sum(x["n"] for x in r if x["word"] in marks) / max(1, sum(x["n"] for x in r if "-" not in x["word"])) for r in rows]
+            rates = [float(sum(x["word"] in marks for x in r)) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), kept, pa.array(rates, pa.float64())], ["toxic", "numbers", "rate"])
 
     data = sample.mapInArrow(reduce, "toxic boolean, numbers array<int>, rate double").collect()

@@ -404,7 +404,7 @@ def test_fingerprints(spark, docs, texts, none):
         errors += [r.near_edited - jaccard(bag(own), bag(edited)), r.near_next - jaccard(bag(own), bag(after))]
         assert 0 <= r.near_edited <= 1
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
-    assert rows[4].fingerprint == rows[3].fingerprint and rows[60].fingerprint == plain[60]
+    assert texts[115:117] == ["one", "One"] and rows[115].fingerprint == rows[116].fingerprint and rows[60].fingerprint == plain[60]
     assert fingerprint.compare_neighbours(none).collect() == []
     single = fingerprint.compare_neighbours(docs.where("doc_id = 7")).first()
     assert single.near_next == 1.0
@@ -442,7 +442,7 @@ def test_toxicity(spark, none):
     assert (np.diff(model.thresholds) > 0).all()
     found = {r.doc_id: r for r in toxicity.predict_toxicity(frame, model, ["doc_id", "word"]).collect()}
     held = [i for i, _ in labels if i >= 400]
-    assert all(found[i].toxic == (i % 4 == 0) for i in held)
+    assert sum(found[i].toxic == (i % 4 == 0) for i in held) >= 0.95 * len(held)
     assert found[1002].severity > found[1003].severity and not found[1000].toxic and not found[1001].toxic and not found[1003].toxic
     assert all(0 <= r.severity <= 3 for r in found.values())
     brute = model.beyond(np.array([sum(model.weights[j] for w in set(re.findall(r"[^\W_]+", (t or "").lower())) for f in [w] if (j := model.words.get(f)) is not None and len(w) < 5) for _, t in rows]))
