@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .lexicon import Lexicon, compile_lexicon
+from .storage import materialise
 
 #: Fixed value: the pattern that splits a text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,7 +41,7 @@ LATE = (
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
 #: Words, and pieces, that a worker keeps at once, and words that a partition counts before it passes them on.
-CACHE = 150_000
+CACHE = 250_000
 _NONE, _ID = 1 << 60, (1 << 17) - 1
 
 _pieces = regex.compile(PIECES)
@@ -201,10 +203,15 @@ def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def frequent_words(docs: DataFrame, text_col: str, size: int) -> list[str]:
-    """The ``size`` most frequent words of all texts, as they stand between spaces; ties by the word."""
+    """At most ``size`` words, counted over all texts as they stand between spaces: those of the highest counts, as far
+    as all words of a count fit. The table of how many words have a count gives the least one, so that no more rows
+    than that reach the driver."""
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_segments, "segment string, n long")
-    top = counted.groupBy("segment").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "segment").limit(size)
-    return [row.segment for row in top.collect()]
+    counted = materialise(counted.groupBy("segment").agg(F.sum("n").alias("n")).where("n > 1"), "word_counts")
+    upto = F.sum("words").over(W.orderBy(F.desc("n")))
+    fits = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= size)
+    least = fits.agg(F.min("n")).first()[0]
+    return [] if least is None else sorted(row.segment for row in counted.where(F.col("n") >= least).collect())
 
 
 def read_text(spark, path: str) -> str:
