@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,14 @@ def aggregate_category_vector(df: DataFrame, keys: list[str], column: str, propo
     categories = df.select(F.col(f"`{column}`").cast("string").alias("c")).where("c is not null").distinct().agg(F.sort_array(F.collect_list("c")).alias("__all"))
     maps = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__category", "__n"))).alias("__map"), F.sum("__n").alias("__total"))
     every = df.select(*keys).distinct().join(F.broadcast(categories))  # one row of categories
-    on = [every[k].eqNullSafe(maps[k]) for k in keys]
-    joined = every.join(maps, _all(on), "left").drop(*[maps[k] for k in keys])
+    maps = maps.select(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)], "__map", "__total")
+    joined = every.join(maps, reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]), "left")
     total = F.coalesce(F.col("__total"), F.lit(0))
     share = lambda c: F.coalesce(F.try_element_at("__map", c), F.lit(0))
     value = (lambda c: F.when(total > 0, share(c) / total).otherwise(0.0)) if proportion else (lambda c: share(c).cast("double"))
     return joined.select(*keys, F.transform("__all", value).alias(f"{column}_vector"), F.col("__all").alias(f"{column}_categories"))
 
 
-def _all(conditions: list[Column]) -> Column:
-    found = conditions[0]
-    for c in conditions[1:]:
-        found = found & c
-    return found
-
-
 def aggregate_category_onehot(df: DataFrame, keys: list[str], column: str, proportion: bool = True) -> DataFrame:
     """One column ``<column>_<category>`` for each category; categories are read first, and the pivot is planned with them."""
     categories = [r[0] for r in df.select(F.col(f"`{column}`").cast("string")).distinct().orderBy(F.col(f"`{column}`").cast("string")).collect() if r[0] is not None]

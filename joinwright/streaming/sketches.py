@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.query import StreamingQuery
 
-from joinwright.operators.sketch import K_MAX, long_values
 from joinwright.functions.keys import hash_prefix, normalize_key
+from joinwright.operators.sketch import K_MAX, long_values
 
 
 def merge_sketches(old: DataFrame | None, new: DataFrame, k: int = K_MAX) -> DataFrame:
@@ -34,4 +34,5 @@ def sketch_stream(stream: DataFrame, table_id: str, columns: list[str], path: st
 
 def windowed_counts(stream: DataFrame, at: str, key: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts by key and window; rows later than ``late`` are left out and windows close then."""
+    stream = stream.withColumn(at, F.col(at).cast("timestamp"))
     return stream.withWatermark(at, late).groupBy(F.window(at, size), key).agg(F.count("*").alias("n"))
