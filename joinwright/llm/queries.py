@@ -17,6 +17,7 @@ from .lang_id import fit_lang_model, held_out, predict_languages
 from .line_dedup import LineDedupParams, dedup_lines
 from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
+from .oracle import SQL
 from .storage import shared_dir
 from .token_counts import TokenLedger, counted, revised, signed
 from .toxicity import fit_toxicity, predict_toxicity
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
