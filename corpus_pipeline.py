@@ -15,7 +15,7 @@ from joinwright.llm.lang_id import fit_lang_model, predict_languages
 from joinwright.llm.line_dedup import LineDedupParams, dedup_lines
 from joinwright.llm.mixing import MixParams, mix_documents
 from joinwright.llm.near_dedup import NearDupParams, near_duplicates, rows_by_id
-from joinwright.llm.storage import materialise
+from joinwright.llm.storage import materialise, text_batches
 
 #: A text's most probable language must be at least as probable as all others together.
 LEAST_SCORE = 0.5
@@ -23,6 +23,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose language is unclear."""
+    text_batches(spark)
     model = fit_lang_model(docs)
     found = predict_languages(docs, model, docs.columns)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
@@ -31,6 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least ten documents have stay in the first of them only. Documents that lose all their words go;
     ``n_chars`` follows the text."""
+    text_batches(spark)
     kept = dedup_lines(docs, LineDedupParams(min_docs=10, min_chars=1, keep="first"), docs.columns)
     left = (F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")
     columns = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
@@ -39,6 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
+    text_batches(spark)
     found = materialise(near_duplicates(docs, NearDupParams(shingle=5, percent=80)), "near_duplicates")
     kept = rows_by_id(docs, found.where("not kept"), "doc_id", having=False)
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
@@ -53,6 +56,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, ids, n_tokens``."""
+    text_batches(spark)
     codec = BpeCodec(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return codec.encode(docs, ["doc_id", "lang", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from .storage import materialise
 
 _word = re.compile(r"[^\W\d_]+")
-HELD = 200_000
+HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,12 +147,15 @@ def predict_languages(docs: DataFrame, model: LangModel, keep_cols: list[str], t
     a letter, and all texts if the model has no language, are ``und`` with score 0. Ties go to the first language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.select(*keep_cols).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    docs = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep_cols)])
+    carried = text_col in keep_cols  # then the text goes to Python once
+    text = [] if carried else [F.col(text_col).alias("__text")]
+    docs = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep_cols)], *text)
+    at, kept = keep_cols.index(text_col) if carried else len(keep_cols), len(keep_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(0)]
+            found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], schema.names)
 
     return docs.mapInArrow(run, schema)

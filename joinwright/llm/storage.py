@@ -54,5 +54,13 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers how many rows a session sends to Python at once, from the default of 10,000: rows with texts of some KB make
+    large batches, of which JVM and Python hold several."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
