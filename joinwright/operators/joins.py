@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from joinwright.functions.keys import normalize_key, upper_key
 from joinwright.functions.similarity import edit_ratio, folded, weighted_ratio_udf

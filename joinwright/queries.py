@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinwright.functions import keys, similarity, text, vectors
+from joinwright.functions import keys, text, vectors
 from joinwright.operators import aggregate, assoc, joins, mlprep, perturb, profile, sketch, texts
 from joinwright.plans import augment, choices, evaluate
 from joinwright.sources import catalog, tables
