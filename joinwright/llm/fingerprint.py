@@ -10,7 +10,6 @@ sum of larger ones.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
