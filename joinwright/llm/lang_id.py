@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -22,7 +23,8 @@ from pyspark.sql import Window as W
 from .storage import materialise
 
 _word = re.compile(r"[^\W\d_]+")
-HELD = 100_000
+#: Words that a partition counts before it passes the counts on, and unseen words of a text whose costs are held at once.
+HELD, PART = 100_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -38,47 +40,59 @@ class LangIdParams:
     absent: float = 7.0
 
 
-@dataclass
 class LangModel:
-    langs: list[str]
-    words: dict[str, list[float]]
-    grams: dict[str, list[float]]
-    lengths: tuple[int, ...]
-    absent: float
-    held: dict[str, int] = field(default_factory=dict)
-    costs: np.ndarray | None = None
-
-    def cost(self, word: str) -> list[float] | np.ndarray:
+    """Made from the costs of words and n-grams by language, which become rows of ``word_costs`` and ``gram_costs``."""
+
+    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: dict[str, list[float]], lengths: tuple[int, ...], absent: float):
+        self.langs, self.lengths, self.absent = langs, lengths, absent
+        self.words, self.word_costs = self._rows(words)
+        self.grams, self.gram_costs = self._rows(grams)
+
+    def _rows(self, costs: dict[str, list[float]]) -> tuple[dict[str, int], np.ndarray]:
+        return {x: i for i, x in enumerate(costs)}, np.array(list(costs.values()), float).reshape(len(costs), len(self.langs))
+
+    def cost(self, word: str) -> np.ndarray:
         """By language."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        padded = f" {word} "
+        row = self.words.get(word)
+        return self._unseen([word])[0] if row is None else self.word_costs[row]
+
+    def _known_grams(self, word: str) -> list[int]:
+        """Rows of the word's known n-grams of the greatest length at which any is known."""
+        padded, find = f" {word} ", self.grams.get
         for n in self.lengths:
-            rows = [row for i in range(len(padded) - n + 1) if (row := self.grams.get(padded[i : i + n])) is not None]
+            rows = [row for i in range(len(padded) - n + 1) if (row := find(padded[i : i + n])) is not None]
             if rows:
-                return np.mean(rows, 0)
-        return [self.absent] * len(self.langs)
-
-    def _places(self, words: list[str]) -> list[int]:
-        """Rows of ``costs``, to which words that it doesn't hold yet are added."""
-        held = self.held
-        if self.costs is None or len(held) + len(words) > len(self.costs):
-            held.clear()
-            self.costs = np.empty((max(HELD, len(words)), len(self.langs)))
-        for w in words:
-            if w not in held:
-                self.costs[len(held)] = self.cost(w)
-                held[w] = len(held)
-        return [held[w] for w in words]
+                return rows
+        return []
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """Costs of words outside the model, by language."""
+        costs = np.full((len(words), len(self.langs)), self.absent)
+        found = [self._known_grams(w) for w in words]
+        sizes = np.array([len(rows) for rows in found])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            begin = np.cumsum(sizes[some]) - sizes[some]
+            costs[some] = np.add.reduceat(self.gram_costs[list(chain.from_iterable(found))], begin) / sizes[some][:, None]
+        return costs
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its probability, if words were drawn independently; ``und`` and 0 without a letter."""
         counts = Counter(_word.findall(text.lower())) if text else {}
         if not self.langs or not any(c.isalpha() for w in counts for c in w):
             return "und", 0.0
-        words = list(counts)
-        places = self._places(words)
-        total = np.fromiter(counts.values(), float, len(words)) @ self.costs[places]
+        rows, times, unseen = [], [], []
+        for word, n in counts.items():
+            row = self.words.get(word)
+            if row is None:
+                unseen.append(word)
+            else:
+                rows.append(row)
+                times.append(n)
+        total = np.array(times, float) @ self.word_costs[np.array(rows, np.intp)]
+        for i in range(0, len(unseen), PART):
+            some = unseen[i : i + PART]
+            total = total + np.array([counts[w] for w in some], float) @ self._unseen(some)
         best = int(total.argmin())
         return self.langs[best], float(1 / np.exp((total[best] - total) * np.log(10)).sum())
 
@@ -134,12 +148,16 @@ def fit_lang_model(docs: DataFrame, params: LangIdParams = LangIdParams(), id_co
     sizes = {(r.lang, r.length): r.n for r in grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     place = {lang: i for i, lang in enumerate(langs)}
-    model = LangModel(langs, {}, {}, lengths, params.absent)
-    for r in _top(words, ["lang"], "word", params.max_words).collect():
-        model.words.setdefault(r.word, [params.absent] * len(langs))[place[r.lang]] = -np.log10(r.n / totals[r.lang])
-    for r in _top(grams, ["lang", "length"], "gram", params.max_grams).collect():
-        model.grams.setdefault(r.gram, [params.absent] * len(langs))[place[r.lang]] = -np.log10(r.n / sizes[r.lang, r.length])
-    return model
+
+    def costs(top: DataFrame, size: Callable[[Row], int]) -> dict[str, list[float]]:
+        made: dict[str, list[float]] = {}
+        for r in top.collect():
+            made.setdefault(r[1], [params.absent] * len(langs))[place[r.lang]] = -np.log10(r.n / size(r))
+        return made
+
+    known = costs(_top(words, ["lang"], "word", params.max_words), lambda r: totals[r.lang])
+    parts = costs(_top(grams, ["lang", "length"], "gram", params.max_grams), lambda r: sizes[r.lang, r.length])
+    return LangModel(langs, known, parts, lengths, params.absent)
 
 
 def predict_languages(docs: DataFrame, model: LangModel, keep_cols: list[str], text_col: str = "text") -> DataFrame:
