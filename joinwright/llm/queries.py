@@ -18,7 +18,7 @@ from .line_dedup import LineDedupParams, dedup_lines
 from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
 from .oracle import SQL
-from .storage import shared_dir
+from .storage import materialise, shared_dir
 from .token_counts import TokenLedger, counted, revised, signed
 from .toxicity import fit_toxicity, predict_toxicity
 
@@ -55,13 +55,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted, the toxic ones deleted, and those of low quality moved to a source of their own;
     the first two batches come twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counts = materialise(counted(table(spark, sf_dir, "documents"), id_col="doc_id"), "token_counts")
     labels = table(spark, sf_dir, "labels")
     ledger = TokenLedger(spark, f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}")
-    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    poor = docs.join(labels.where("toxic = 0 and quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    moved = revised(counted(poor), counted(poor.withColumn("source", F.lit("low quality"))))
-    batches = {"insert": signed(counted(docs), 1), "delete": signed(counted(toxic), -1), "revise": moved}
+    toxic = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    poor = counts.join(labels.where("toxic = 0 and quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    moved = revised(poor, poor.withColumn("source", F.lit("low quality")))
+    batches = {"insert": signed(counts, 1), "delete": signed(toxic, -1), "revise": moved}
     for batch in ("insert", "delete", "insert", "revise", "delete"):
         ledger.commit(batch, batches[batch])
     return ledger.totals(list(batches))

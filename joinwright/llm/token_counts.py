@@ -30,10 +30,12 @@ def count_words_and_marks(text: Column) -> Column:
 VERSIONS: Mapping[str, object] = {"words-1": count_words, "marks-1": count_words_and_marks}
 
 
-def counted(docs: DataFrame, versions: Mapping = VERSIONS, text_col: str = "text") -> DataFrame:
-    """One row for each document and version: ``source, lang, version, tokens``. The text is read once."""
+def counted(docs: DataFrame, versions: Mapping = VERSIONS, text_col: str = "text", id_col: str | None = None) -> DataFrame:
+    """One row for each document and version: ``source, lang, version, tokens``, after ``id_col`` if one is named. The text
+    is read once."""
     counts = F.array(*[F.struct(F.lit(v).alias("version"), f(F.col(text_col)).alias("tokens")) for v, f in versions.items()])
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.inline(counts))
+    ids = [] if id_col is None else [F.col(id_col)]
+    return docs.select(*ids, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.inline(counts))
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:
