@@ -44,13 +44,20 @@ def name_suffix(table_id: str) -> str:
     return "_" + table_id.replace("-", "_")
 
 
-def text_tokens(text: Column, max_chars: int = 200, max_tokens: int = 200, strip_punctuation: bool = True) -> Column:
-    """Words for a vocabulary: of the first ``max_chars`` characters, lower case, numbers as ``<NUM>``."""
-    text = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, max_chars))
+#: Characters and words of a text to which the reference cuts a vocabulary's texts.
+REFERENCE_LIMIT = 200
+
+
+def text_tokens(text: Column, max_chars: int | None = None, max_tokens: int | None = None, strip_punctuation: bool = True) -> Column:
+    """Words for a vocabulary, lower case, numbers as ``<NUM>``: of the whole text, or of its first ``max_chars``
+    characters, and of these the first ``max_tokens``."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.lower(text if max_chars is None else F.substring(text, 1, max_chars))
     if strip_punctuation:
         text = F.regexp_replace(text, r"[^a-z0-9_\s]", " ")
     words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    return F.slice(F.transform(words, lambda x: F.when(x.rlike("^[0-9]+$"), "<NUM>").otherwise(x)), 1, max_tokens)
+    words = F.transform(words, lambda x: F.when(x.rlike("^[0-9]+$"), "<NUM>").otherwise(x))
+    return words if max_tokens is None else F.slice(words, 1, max_tokens)
 
 
 def find_json(text: str | None, key: str | None = None) -> dict | None:

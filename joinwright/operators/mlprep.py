@@ -15,6 +15,29 @@ from joinwright.functions.text import text_tokens
 
 from .profile import NUMERIC, _col, is_numeric, null_counts
 
+#: Rows that ``numbered`` looks at to cut the order into ranges, and the number of ranges.
+SAMPLE, RANGES = 4096, 64
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... in the ascending order of columns that together differ on every row.
+
+    Bounds from a hash sample cut the order into ranges. A row's number is its place in its range after the counts of the
+    ranges before, so that no task sorts all rows.
+    """
+    keys = [f"__o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order)))
+    sample = keyed.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(SAMPLE).orderBy(*keys).collect()
+    bounds = sample[:: SAMPLE // RANGES][1:] if len(sample) == SAMPLE else []
+    kinds = [keyed.schema[k].dataType for k in keys]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, keys)]) for b in bounds]
+    cell = F.size(F.filter(F.array(*bounds), lambda b: b <= F.struct(*keys))) if bounds else F.lit(0)
+    celled = keyed.withColumn("__cell", cell)
+    counts = celled.groupBy("__cell").agg(F.count("*").alias("__n"))  # a row for each range
+    before = counts.select("__cell", (F.sum("__n").over(W.orderBy("__cell")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__cell").orderBy(*keys)) + F.col("__before")
+    return celled.join(F.broadcast(before), "__cell").withColumn(name, place).drop("__cell", "__before", *keys)
+
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     return df.na.drop(subset=[target])
@@ -63,7 +86,7 @@ def drop_rare_classes(df: DataFrame, label: str, least: int = 5) -> DataFrame:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``value, code``: codes from 0 in the order of the values as texts."""
     values = df.select(_col(column).cast("string").alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", (F.row_number().over(W.orderBy("value")) - 1).cast("long"))
+    return numbered(values, [F.col("value")], "code").withColumn("code", F.col("code") - 1)
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
@@ -145,24 +168,38 @@ def bin_column(value: Column, edges: list[float]) -> Column:
 def category_ids(df: DataFrame, column: str, order: str) -> DataFrame:
     """``value, id``: ids from 1 in order of first appearance; 0 is for unseen values."""
     firsts = df.where(_col(column).isNotNull()).groupBy(_col(column).cast("string").alias("value")).agg(F.min(order).alias("at"))
-    return firsts.select("value", F.row_number().over(W.orderBy("at", "value")).alias("id"))
+    return numbered(firsts, [F.col("at"), F.col("value")], "id").select("value", "id")
 
 
-def vocabulary(df: DataFrame, column: str, least: int = 2, size: int | None = None) -> DataFrame:
+def vocabulary(df: DataFrame, column: str, least: int = 2, size: int | None = None, limit: int | None = None) -> DataFrame:
     """``token, n, id``: tokens of at least ``least`` occurrences, most frequent first, ties by the token; ids from 3,
-    after padding 0, unknown 1 and numbers 2."""
-    counts = df.select(F.explode(text_tokens(_col(column))).alias("token")).where("token <> '<NUM>'").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ranked = counts.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "token")) + 2)
+    after padding 0, unknown 1 and numbers 2. Whole texts count, or with ``limit`` their first characters and words."""
+    tokens = df.select(F.explode(text_tokens(_col(column), limit, limit)).alias("token")).where("token <> '<NUM>'")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    ranked = numbered(counts, [-F.col("n"), F.col("token")], "id").withColumn("id", F.col("id") + 2)
     return ranked.where(F.col("id") < size) if size else ranked
 
 
-def encode_text(df: DataFrame, column: str, words: dict[str, int], length: int) -> DataFrame:
-    """Adds ``<column>_ids`` of a fixed length: unknown words 1, numbers 2, padding 0."""
+def encode_text(df: DataFrame, column: str, words: dict[str, int], length: int, limit: int | None = None) -> DataFrame:
+    """Adds ``<column>_ids`` of a fixed length: unknown words 1, numbers 2, padding 0. For vocabularies that a model holds;
+    see ``encode_whole_text`` for others."""
     table = F.create_map(F.lit("<NUM>"), F.lit(2), *[F.lit(x) for pair in words.items() for x in pair])
-    ids = F.transform(F.slice(text_tokens(_col(column)), 1, length), lambda t: F.coalesce(F.try_element_at(table, t), F.lit(1)))
+    ids = F.transform(F.slice(text_tokens(_col(column), limit, limit), 1, length), lambda t: F.coalesce(F.try_element_at(table, t), F.lit(1)))
     return df.withColumn(f"{column}_ids", F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size(ids))))
 
 
+def encode_whole_text(df: DataFrame, keys: list[str], column: str, words: DataFrame) -> DataFrame:
+    """``keys..., <column>_ids`` of every word of each text, unknown words 1 and numbers 2, by a join with all of
+    ``vocabulary``."""
+    rows = df.select(*[_col(k) for k in keys], F.monotonically_increasing_id().alias("__row"), text_tokens(_col(column)).alias("__words"))
+    tokens = rows.select(*[_col(k) for k in keys], "__row", F.posexplode_outer("__words").alias("__at", "token"))
+    known = F.when(F.col("token") == "<NUM>", 2).otherwise(F.coalesce("id", F.lit(1))).cast("long")
+    joined = tokens.join(words.select("token", "id"), "token", "left").withColumn("__id", known)
+    pairs = F.sort_array(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__id"))))
+    found = joined.groupBy("__row").agg(*[F.first(_col(k)).alias(k) for k in keys], F.transform(pairs, lambda p: p["__id"]).alias(f"{column}_ids"))
+    return found.drop("__row")
+
+
 def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str], text: list[str], order: str, words: int = 10_000) -> Preprocessor:
     """Edges, the ids of categorical columns (which have few values by their class), and at most ``words`` words."""
     ids = {c: {r.value: r.id for r in category_ids(df, c, order).collect()} for c in categorical}

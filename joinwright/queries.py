@@ -557,18 +557,37 @@ _VOCABULARY = f"""SELECT token, n, row_number() OVER (ORDER BY n DESC, token) +
 
 @query(_VOCABULARY)
 def vocab(t: Tables) -> DataFrame:
-    return mlprep.vocabulary(t.documents, "text").withColumn("id", F.col("id").cast("long"))
+    """The reference's form: the first 200 characters of a text, as in the SQL."""
+    return mlprep.vocabulary(t.documents, "text", limit=text.REFERENCE_LIMIT)
 
 
 @query(f"""WITH v AS (SELECT * FROM ({_VOCABULARY}) WHERE id < 500), m AS (SELECT map_from_entries(list((token, id))) AS m FROM v),
   w AS (SELECT doc_id, list_slice(list_transform({_WORDS.format("text")}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 2 ELSE coalesce(m[x], 1) END), 1, 16) AS ids FROM documents, m)
   SELECT doc_id, list_resize(ids, 16, 0) AS text_ids FROM w""")
 def encode_text(t: Tables) -> DataFrame:
-    words = {r.token: r.id for r in mlprep.vocabulary(t.documents, "text", size=500).collect()}
-    found = mlprep.encode_text(t.documents.select("doc_id", "text"), "text", words, 16)
+    """The reference's form, cut further as in the SQL: ids below 500 and 16 words of a document."""
+    words = {r.token: r.id for r in mlprep.vocabulary(t.documents, "text", size=500, limit=text.REFERENCE_LIMIT).collect()}
+    found = mlprep.encode_text(t.documents.select("doc_id", "text"), "text", words, 16, text.REFERENCE_LIMIT)
     return found.select("doc_id", F.col("text_ids").cast("array<long>").alias("text_ids"))
 
 
+_ALL_WORDS = """list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')"""
+_WHOLE_VOCABULARY = f"""SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 2 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_ALL_WORDS}) AS token FROM documents)
+  WHERE NOT regexp_full_match(token, '[0-9]+') GROUP BY 1) WHERE n >= 2"""
+
+
+@query(_WHOLE_VOCABULARY)
+def vocab_whole(t: Tables) -> DataFrame:
+    return mlprep.vocabulary(t.documents, "text")
+
+
+@query(f"""WITH v AS ({_WHOLE_VOCABULARY}), d AS (SELECT doc_id, {_ALL_WORDS} AS words FROM documents), w AS (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM d),
+  e AS (SELECT doc_id, list(CASE WHEN regexp_full_match(token, '[0-9]+') THEN 2 ELSE coalesce(id, 1) END ORDER BY pos) AS text_ids FROM w LEFT JOIN v USING (token) GROUP BY 1)
+  SELECT doc_id, coalesce(text_ids, []) AS text_ids FROM documents LEFT JOIN e USING (doc_id)""")
+def encode_text_whole(t: Tables) -> DataFrame:
+    return mlprep.encode_whole_text(t.documents, ["doc_id"], "text", mlprep.vocabulary(t.documents, "text"))
+
+
 # Texts and vectors
 @query("""WITH e AS (SELECT * FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS cosine
   FROM e a JOIN e b ON a.label = b.label""")

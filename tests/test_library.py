@@ -256,3 +256,19 @@ def test_stream(spark, data, tmp_path):
     counted = sketches.windowed_counts(stream, "ts", "user_id").writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", f"{tmp_path}/w").trigger(availableNow=True).start()
     counted.awaitTermination(120)
     assert spark.table("counted").count() > 0
+
+
+def test_vocabulary_counts_whole_texts(spark):
+    frame = spark.createDataFrame([(1, "a " * 300 + "late 7"), (2, "late"), (3, None)], "i int, t string")
+    words = mlprep.vocabulary(frame, "t")
+    assert {r.token: (r.n, r.id) for r in words.collect()} == {"a": (300, 3), "late": (2, 4)}
+    found = {r.i: r.t_ids for r in mlprep.encode_whole_text(frame, ["i"], "t", words).collect()}
+    assert found == {1: [3] * 300 + [4, 2], 2: [4], 3: []}
+    assert {r.token for r in mlprep.vocabulary(frame, "t", limit=text.REFERENCE_LIMIT).collect()} == {"a"}
+
+
+def test_values_are_numbered_by_ranges(spark):
+    frame = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 as string) v")
+    found = mlprep.label_codes(frame, "v")
+    assert [r.code for r in found.orderBy("value").collect()] == list(range(20_000))
+    assert "hashpartitioning(__cell" in found._jdf.queryExecution().toString()
