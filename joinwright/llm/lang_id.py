@@ -29,11 +29,16 @@ HELD, PART = 100_000, 50_000
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """The model is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of the id, and holds at
-    most ``max_words`` words and ``max_grams`` n-grams of each length for each language; other words and n-grams
-    are the rarest. ``absent`` is the cost in a language of what only other languages have."""
+    """The model is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of the id (of the text too
+    where that is null), and holds at most ``max_words`` words and ``max_grams`` n-grams of each length for each language;
+    other words and n-grams are the rarest. ``absent`` is the cost in a language of what only other languages have.
+
+    Each language is sampled by itself with the same quota; what smaller languages leave of theirs goes to the larger
+    ones. A language keeps at least ``least_docs`` documents or all, so with very many languages the bound is
+    ``least_docs`` times their number."""
 
     max_docs: int = 40_000
+    least_docs: int = 200
     max_words: int = 20_000
     max_grams: int = 5_000
     lengths: tuple[int, ...] = (5, 4, 3, 2, 1)
@@ -106,12 +111,27 @@ def _top(counts: DataFrame, parts: list[str], key: str, most: int) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
+def quota(counts: list[int], most: int, least: int) -> float:
+    """The largest number of rows of each class such that all classes together have at most ``most``; at least ``least``."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        share = left / (len(counts) - i)
+        if n > share:
+            return max(share, least)
+        left -= n
+    return max([least, *counts])
+
+
 def fit_lang_model(docs: DataFrame, params: LangIdParams = LangIdParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learns from the texts and labels of ``docs``; rows without either are left out."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    share = params.max_docs / max(1, docs.select("lang").count())
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    labelled = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r.lang: r.n for r in labelled.collect()}
+    most = quota(list(counts.values()), params.max_docs, params.least_docs)
+    if large := {lang: most / n for lang, n in counts.items() if n > most}:
+        shares = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+        drawn = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 30))
+        docs = docs.where(drawn < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(1.0)) * (1 << 30))
     lengths = params.lengths
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -372,6 +372,17 @@ def test_language(spark, none):
     assert lang_id.predict_languages(none, model, ["doc_id"]).collect() == []
 
 
+def test_rare_languages_stay_in_the_sample(spark):
+    assert lang_id.quota([10, 1000, 5000], 1210, 1) == 600 and lang_id.quota([10, 20], 100, 5) == 20 and lang_id.quota([500] * 10, 100, 50) == 50
+    own = lambda i: "own" + "".join(chr(97 + i // 26**p % 26) for p in range(3))
+    rows = [(i, f"abba baab {own(i)}", "xx") for i in range(8000)] + [(9000 + i, "gilka kligi", "zz") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for ids in (frame, frame.withColumn("doc_id", F.lit(None).cast("long"))):
+        model = lang_id.fit_lang_model(ids, lang_id.LangIdParams(max_docs=400, least_docs=1))
+        assert model.langs == ["xx", "zz"] and model.predict("kligi gilka")[0] == "zz"
+        assert 300 < sum(w.startswith("own") for w in model.words) < 500
+
+
 def test_language_backoff_takes_the_longest_known_ngrams():
     model = lang_id.LangModel(["a", "b"], {"known": [1.0, 2.0]}, {" ne": [3.0, 4.0], "ew ": [5.0, 4.0], "n": [0.0, 0.0]}, (3, 2, 1), 7.0)
     assert list(model.cost("known")) == [1.0, 2.0]
