@@ -20,6 +20,7 @@ CATEGORICAL_RATIO = 0.03
 #: Separators that are tried in this order, and words that mark a date column.
 SEPARATORS = ("|", ",")
 DATE_WORDS = ("date", "time", "year", "month", "day")
+DATE_FORM = r"^\s*(\d{4}[-/]\d{1,2}([-/]\d{1,2})?|\d{1,2}[-/]\d{1,2}[-/](\d{4}|\d{2})|\d{1,2}[-/ ][A-Za-z]{3,9}[-/ ](\d{4}|\d{2})|\d{8})([T ]\d.*)?\s*$"
 
 
 def _col(name: str) -> Column:
@@ -121,10 +122,13 @@ def primary_key(df: DataFrame) -> str | None:
     return next((c for c in df.columns if c in unique), None)
 
 
-def separator_shares(df: DataFrame, column: str, order: str | None = None, rows: int = 500) -> DataFrame:
-    """``separator, share`` of the first ``rows`` values that it splits into several parts that aren't blank."""
+def separator_shares(df: DataFrame, column: str, order: str | None = None, rows: int | None = None) -> DataFrame:
+    """``separator, share`` of the values that it splits into several parts that aren't blank: of all, or of the first
+    ``rows``."""
     values = df.where(_col(column).isNotNull())
-    values = (values.orderBy(order) if order else values).limit(rows).select(_col(column).cast("string").alias("v"))
+    if rows is not None:
+        values = (values.orderBy(order) if order else values).limit(rows)
+    values = values.select(_col(column).cast("string").alias("v"))
     several = [F.avg((F.size(F.filter(F.split("v", f"[{s}]"), lambda x: F.trim(x) != "")) > 1).cast("double")) for s in SEPARATORS]
     table = values.agg(F.array(*[F.struct(F.lit(s).alias("separator"), a.alias("share")) for s, a in zip(SEPARATORS, several)]).alias("p"))
     return table.select(F.inline("p"))
@@ -135,18 +139,18 @@ def separator(df: DataFrame, column: str, order: str | None = None, least: float
     return next((s for s in SEPARATORS if shares[s] > least), None)
 
 
-def date_columns(df: DataFrame, declared: Mapping[str, str] | None = None, rows: int = 5) -> list[str]:
-    """Columns with a date word in the name, declared as dates, or whose first values have ``/ - T Z``."""
+def date_columns(df: DataFrame, declared: Mapping[str, str] | None = None, least: float = 0.5) -> list[str]:
+    """Columns with a date word in the name, declared as dates, or texts of which more than ``least`` of all values that
+    aren't blank have the form of a date; digits alone need a time."""
     declared = declared or declared_types(df)
-    sample = df.limit(rows).collect()
-    found = []
-    for c in df.columns:
-        values = [str(r[c]) for r in sample if r[c] is not None]
-        named = any(w in c.lower() for w in DATE_WORDS)
-        text = isinstance(df.schema[c].dataType, T.StringType)
-        if named or "date" in declared.get(c, "") or (text and values and any(x in values[0] for x in "/-TZ")):
-            found.append(c)
-    return found
+    named = [c for c in df.columns if any(w in c.lower() for w in DATE_WORDS) or "date" in declared.get(c, "")]
+    texts = [c for c in df.columns if c not in named and isinstance(df.schema[c].dataType, T.StringType)]
+    if texts:
+        date = lambda c: _col(c).rlike(DATE_FORM) & ~_col(c).rlike(r"^\s*\d+\s*$")
+        filled = lambda c: F.trim(_col(c)) != ""
+        row = df.agg(*[F.avg(F.when(filled(c), date(c).cast("int"))).alias(str(i)) for i, c in enumerate(texts)]).first()
+        named += [c for c, share in zip(texts, row) if (share or 0) > least]
+    return [c for c in df.columns if c in named]
 
 
 def column_differences(columns: Column, described: Column) -> tuple[Column, Column]:

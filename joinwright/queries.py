@@ -224,13 +224,21 @@ def primary_key(t: Tables) -> DataFrame:
 @query("""SELECT s AS separator, round(avg(CASE WHEN len(list_filter(string_split(v, s), lambda x: trim(x) <> '')) > 1 THEN 1.0 ELSE 0.0 END), 6) AS share
   FROM (SELECT replace(p_name, ' ', CASE WHEN p_partkey % 5 = 0 THEN '|' ELSE ',' END) AS v FROM part ORDER BY p_partkey LIMIT 500), (VALUES ('|'), (',')) x(s) GROUP BY 1""")
 def separator_detect(t: Tables) -> DataFrame:
+    """The reference's form: the first 500 values, as in the SQL."""
     v = F.when(F.col("p_partkey") % 5 == 0, F.replace("p_name", F.lit(" "), F.lit("|"))).otherwise(F.replace("p_name", F.lit(" "), F.lit(",")))
-    return profile.separator_shares(t.part.select("p_partkey", v.alias("v")), "v", "p_partkey").select("separator", r6("share").alias("share"))
+    return profile.separator_shares(t.part.select("p_partkey", v.alias("v")), "v", "p_partkey", 500).select("separator", r6("share").alias("share"))
+
+
+@query("""SELECT s AS separator, round(avg(CASE WHEN len(list_filter(string_split(v, s), lambda x: trim(x) <> '')) > 1 THEN 1.0 ELSE 0.0 END), 6) AS share
+  FROM (SELECT replace(p_name, ' ', CASE WHEN p_partkey % 5 = 0 THEN '|' ELSE ',' END) AS v FROM part), (VALUES ('|'), (',')) x(s) GROUP BY 1""")
+def separator_detect_whole(t: Tables) -> DataFrame:
+    v = F.replace("p_name", F.lit(" "), F.when(F.col("p_partkey") % 5 == 0, "|").otherwise(","))
+    return profile.separator_shares(t.part.select(v.alias("v")), "v").select("separator", r6("share").alias("share"))
 
 
 @query("SELECT 'orders' AS table_id, 'o_orderdate' AS \"column\" UNION ALL SELECT 'lineitem', 'l_shipdate' UNION ALL SELECT 'events', 'ts'")
 def date_columns(t: Tables) -> DataFrame:
-    found = [(n, c) for n in ("orders", "lineitem", "events") for c in profile.date_columns(getattr(t, n).drop("o_orderpriority", "props"))]
+    found = [(n, c) for n in ("orders", "lineitem", "events") for c in profile.date_columns(getattr(t, n))]
     return t.spark.createDataFrame(found, "table_id string, `column` string")
 
 
@@ -589,12 +597,28 @@ def encode_text_whole(t: Tables) -> DataFrame:
 
 
 # Texts and vectors
+def _cosines(embeddings: DataFrame, salts: int = 16) -> DataFrame:
+    """Cosines of all pairs of a label. One side is dealt into ``salts`` blocks and the other goes to each, so that a label
+    is not one task."""
+    a, b = (embeddings.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"e{n}"), "label") for n in "ab")
+    a = a.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    b = b.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    value = F.when(F.col("a") == F.col("b"), 1.0).otherwise(vectors.cosine(F.col("ea"), F.col("eb")))
+    return a.join(b, ["label", "salt"]).select("a", "b", r6(value).alias("cosine"))
+
+
 @query("""WITH e AS (SELECT * FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS cosine
   FROM e a JOIN e b ON a.label = b.label""")
 def cosine_matrix(t: Tables) -> DataFrame:
-    a, b = (t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias(n), F.col("embedding").alias(f"e{n}"), "label") for n in "ab")
-    value = F.when(F.col("a") == F.col("b"), 1.0).otherwise(vectors.cosine(F.col("ea"), F.col("eb")))
-    return a.join(b, "label").select("a", "b", r6(value).alias("cosine"))
+    """A small example: the ids below 40, as in the SQL."""
+    return _cosines(t.embeddings.where("vec_id < 40"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS cosine
+  FROM embeddings a JOIN embeddings b ON a.label = b.label""")
+def cosine_matrix_whole(t: Tables) -> DataFrame:
+    """All pairs of a label: their number is quadratic in the rows of a label."""
+    return _cosines(t.embeddings)
 
 
 @query()

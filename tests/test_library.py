@@ -272,3 +272,18 @@ def test_values_are_numbered_by_ranges(spark):
     found = mlprep.label_codes(frame, "v")
     assert [r.code for r in found.orderBy("value").collect()] == list(range(20_000))
     assert "hashpartitioning(__cell" in found._jdf.queryExecution().toString()
+
+
+def test_separators_and_dates_of_all_rows(spark):
+    frame = spark.range(2000).selectExpr("if(id < 1000, 'a', 'a|b') s", "if(id < 10, null, '2020-01-02T00:00:00Z') late", "if(id = 0, '2020-01-02', 'x-y') first", "'1-URGENT' p", "'20200102' digits", "'02/Jan/2020' m", "'2020-01-02' `order date`").coalesce(1)
+    assert profile.separator(frame, "s") == "|"
+    assert {r.separator: r.share for r in profile.separator_shares(frame, "s").collect()} == {"|": 0.5, ",": 0.0}
+    assert profile.date_columns(frame) == ["late", "m", "order date"]
+
+
+def test_cosines_of_all_rows(spark, data):
+    from joinwright import queries
+
+    whole = queries.queries()["cosine_matrix_whole"](spark, data)
+    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    assert {r.a for r in whole.where("a = b").collect()} == ids
