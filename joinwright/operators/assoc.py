@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from joinwright.functions import vectors
 
+from .joins import join_nullsafe
 from .profile import is_numeric
 from .texts import Embedder, embed, hashed_ngrams
 
@@ -98,9 +99,10 @@ def distance_correlation(df: DataFrame, x: str, y: str, most: int = PAIRWISE_ROW
     return sums.select(F.when((F.col("pp") > 0) & (F.col("qq") > 0), F.sqrt(F.greatest(F.lit(0.0), F.col("pq")) / F.sqrt(F.col("pp") * F.col("qq")))).otherwise(0.0).alias("value"))
 
 
-def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder: Embedder = hashed_ngrams) -> DataFrame:
+def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder: Embedder = hashed_ngrams, pairwise: DataFrame | None = None) -> DataFrame:
     """``feature, metric, value, feature_type`` for every feature. Numbers with a number: Pearson. Vectors on either side:
-    distance correlation. Texts: their embeddings, as the mean with a number and as vectors otherwise."""
+    distance correlation, over the rows of ``df`` whose keys are in ``pairwise`` if that is given. Texts: their embeddings,
+    as the mean with a number and as vectors otherwise."""
     vector = target if target in df.columns and isinstance(df.schema[target].dataType, T.ArrayType) else f"{target}_vector"
     numeric = target in df.columns and not isinstance(df.schema[target].dataType, T.ArrayType)
     goal = target if numeric else vector
@@ -111,10 +113,11 @@ def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder:
     linear = [(c, F.col(f"`{c}`"), F.col(f"`{goal}`")) for c, kind in features.items() if kind == "numerical" and numeric]
     linear += [(c, vectors.mean(F.col(f"`__{c}`")), F.col(f"`{goal}`")) for c, kind in features.items() if kind == "text" and numeric]
     parts = [pearson(df, linear).withColumn("metric", F.lit("pearson"))] if linear else []
+    rows = df if pairwise is None else join_nullsafe(df, pairwise, keys, "left_semi")
     for c in features:
         if c not in [name for name, _, _ in linear]:
             own = f"__{c}" if features[c] == "text" else c
-            parts.append(distance_correlation(df, own, goal).select(F.lit(c).alias("feature"), "value", F.lit("distance").alias("metric")))
+            parts.append(distance_correlation(rows, own, goal).select(F.lit(c).alias("feature"), "value", F.lit("distance").alias("metric")))
     if not parts:
         return df.sparkSession.createDataFrame([], "feature string, metric string, value double, feature_type string")
     found = parts[0]

@@ -40,18 +40,19 @@ def propose(query: DataFrame, task: choices.Task, lake: Mapping[str, DataFrame],
 
 
 def correlate(query: DataFrame, task: choices.Task, candidate: DataFrame, columns: list[str], max_keys: int = 500) -> DataFrame:
-    """The correlation table of one candidate with the target, both aggregated by the normalised key. Features are judged
-    on the first ``max_keys`` keys of the query, as every pair of keys counts in a distance correlation."""
+    """The correlation table of one candidate with the target, both aggregated by the normalised key. Pearson correlations
+    are of all keys; distance correlations of the first ``max_keys`` of the query, as every pair of keys counts in them."""
     keys = list(task.join_columns)
-    query = top_keys_filter(query, keys[0], keys[0], max_keys)
+    first = top_keys_filter(query, keys[0], keys[0], max_keys).select(*keys)
     target, _ = aggregate_target(query, keys, task.target)
     renamed = candidate.withColumnsRenamed(dict(zip(columns, keys))).drop(task.target)
     if len(keys) == 1:
         target = target.withColumn(keys[0], normalize_key(F.col(keys[0])))
+        first = first.withColumn(keys[0], normalize_key(F.col(keys[0])))
         renamed = normalized_key_filter(renamed.withColumn(keys[0], F.col(keys[0]).cast("string")), keys[0], target.select(keys[0]))
-    joined = join_nullsafe(aggregate_candidate(renamed, keys), target, keys).persist()  # at most max_keys rows
+    joined = join_nullsafe(aggregate_candidate(renamed, keys), target, keys).persist()  # a row for each key, read once for each metric
     try:
-        found = exclude_existing(feature_correlations(joined, keys, task.target), query.columns)
+        found = exclude_existing(feature_correlations(joined, keys, task.target, pairwise=first.distinct()), query.columns)
         return query.sparkSession.createDataFrame(found.collect(), found.schema)  # one row for each feature
     finally:
         joined.unpersist()

@@ -287,3 +287,11 @@ def test_cosines_of_all_rows(spark, data):
     whole = queries.queries()["cosine_matrix_whole"](spark, data)
     ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
     assert {r.a for r in whole.where("a = b").collect()} == ids
+
+
+def test_augmentation_correlates_all_keys(spark):
+    query = spark.range(1500).selectExpr("id k", "cast(if(id < 500, -id, id) as double) y")
+    lake = spark.range(1500).selectExpr("id j", "cast(id as double) + 0.5 x", "concat('c', id % 3) c")
+    found = {r.feature: (r.metric, r.value) for r in augment.correlate(query, choices.Task.of("query", "k", "y"), lake, ["j"]).collect()}
+    expected = np.corrcoef(np.arange(1500), np.where(np.arange(1500) < 500, -np.arange(1500), np.arange(1500)))[0, 1]
+    assert found["x"] == ("pearson", pytest.approx(expected)) and found["c"][0] == "distance" and found["c"][1] < 0.1
