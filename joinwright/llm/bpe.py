@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -40,8 +40,10 @@ LATE = (
     (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
-#: Words, and pieces, that a worker keeps at once, and words that a partition counts before it passes them on.
-CACHE = 250_000
+#: Bytes of parts of texts with their ids, and of pieces with theirs, that a worker keeps at once, what Python adds to each
+#: included; and words that a partition counts before it passes them on.
+PART_BYTES, PIECE_BYTES, EACH = 32 << 20, 8 << 20, 170
+COUNTED = 100_000
 _NONE, _ID = 1 << 60, (1 << 17) - 1
 
 _pieces = regex.compile(PIECES)
@@ -137,13 +139,14 @@ class _Irregular(Exception):
 
 
 class _Encoder(dict):
-    """Part of a text after a single space -> the bytes of its int32 ids, the space included. Parts that were used
-    since the last but one time that ``CACHE`` parts were held are kept."""
+    """Part of a text after a single space -> the bytes of its int32 ids, the space included. Parts are kept in two
+    halves of ``PART_BYTES``: when the younger one is full it takes the place of the older one."""
 
     def __init__(self, model: ByteBpe, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = self.pieces_held = 0
 
     def __missing__(self, part: str) -> bytes:
         out = self.older.get(part)
@@ -151,11 +154,12 @@ class _Encoder(dict):
             if not part or part[0].isspace() or part[-1].isspace():
                 raise _Irregular
             out = self.segment(" " + part)
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
         if len(part) <= 64:
+            if self.held >= PART_BYTES // 2:
+                self.older, self.held = dict(self), 0
+                self.clear()
             self[part] = out
+            self.held += len(part) + len(out) + EACH
         return out
 
     def segment(self, segment: str) -> bytes:
@@ -166,10 +170,12 @@ class _Encoder(dict):
         out = self.pieces.get(piece)
         if out is None:
             out = array("i", self.model.merge(piece.encode())).tobytes()
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
             if len(piece) <= 64:
+                if self.pieces_held >= PIECE_BYTES:
+                    self.pieces.clear()
+                    self.pieces_held = 0
                 self.pieces[piece] = out
+                self.pieces_held += len(piece) + len(out) + EACH
         return out
 
     def text(self, text: str) -> bytes:
@@ -188,15 +194,15 @@ def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     counts: Counter = Counter()
 
     def emit() -> pa.RecordBatch:
-        rows = [(x, n) for x, n in counts.items() if 0 < len(x) <= 32]
+        made = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["segment", "n"])
         counts.clear()
-        return pa.RecordBatch.from_pydict({"segment": pa.array([x for x, _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
+        return made
 
     for batch in batches:
         for text in batch.column(0):
             if value := text.as_py():
                 counts.update(value.split(" "))
-            if len(counts) >= CACHE:
+            if len(counts) >= COUNTED:
                 yield emit()
     if counts:
         yield emit()
@@ -206,7 +212,7 @@ def frequent_words(docs: DataFrame, text_col: str, size: int) -> list[str]:
     """At most ``size`` words, counted over all texts as they stand between spaces: those of the highest counts, as far
     as all words of a count fit. The table of how many words have a count gives the least one, so that no more rows
     than that reach the driver."""
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_segments, "segment string, n long")
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_segments, "segment string, n long").where(F.length("segment").between(1, 32))
     counted = materialise(counted.groupBy("segment").agg(F.sum("n").alias("n")).where("n > 1"), "word_counts")
     upto = F.sum("words").over(W.orderBy(F.desc("n")))
     fits = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= size)
@@ -219,6 +225,11 @@ def read_text(spark, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def _placed(df: DataFrame, first: Column, keep: list[str]) -> DataFrame:
+    """``first`` and then the kept columns, named by their places so that no name can clash."""
+    return df.select(first.alias("given"), *[F.col(c).alias(str(i)) for i, c in enumerate(keep)])
+
+
 class BpeCodec:
     """Encodes and decodes text columns. ``lexicon_size`` bounds the driver's work and what is broadcast."""
 
@@ -237,34 +248,35 @@ class BpeCodec:
 
     def encode(self, docs: DataFrame, keep: list[str], text_col: str = "text", ids_col: str = "ids") -> DataFrame:
         """The columns ``keep`` and ``ids_col array<int>``: the ids of the whole text; null text counts as empty.
-        Strings of special tokens in a text become their ids."""
-        docs = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep])
-        schema = docs.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType()))
-        return docs.mapInArrow(self._encoding(schema.names), schema)
+        Strings of special tokens in a text become their ids. Repeated rows stay rows, an empty table gives an empty
+        result, and a kept column that has the result's name gives way to it."""
+        keep = [c for c in keep if c != ids_col]
+        schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+        return _placed(docs, F.col(text_col).cast("string"), keep).mapInArrow(self._encoding(schema.names), schema)
 
     def decode(self, encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "text", digest: bool = False) -> DataFrame:
         """The columns ``keep`` and ``text_col``: the text of the ids, special tokens included; null ids are none.
         With ``digest`` instead of the text: ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
-        ``decoded_sha256``."""
-        encoded = encoded.select(F.col(ids_col).alias("__ids"), *[F.col(c) for c in keep])
-        schema = self._decoded_schema(encoded.drop("__ids").schema, text_col, digest)
-        return encoded.mapInArrow(self._decoding(schema.names, digest), schema)
+        ``decoded_sha256``. Kept columns with these names give way."""
+        keep, schema = self._decoded_schema(encoded, keep, text_col, digest)
+        return _placed(encoded, F.col(ids_col), keep).mapInArrow(self._decoding(schema.names, digest), schema)
 
     def round_trip(self, docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
         """``decode(encode(docs), digest=True)`` in one task each, without passing the ids through Spark."""
-        docs = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep])
-        schema = self._decoded_schema(docs.drop("__text").schema, "", True)
-        encoding, decoding = self._encoding([*keep, "__ids"]), self._decoding(schema.names, True)
+        keep, schema = self._decoded_schema(docs, keep, "", True)
+        places = [str(i) for i in range(len(keep))]
+        encoding, decoding = self._encoding([*places, "ids"]), self._decoding(schema.names, True)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from decoding(b.select(["__ids", *keep]) for b in encoding(batches))
+            yield from decoding(b.select(["ids", *places]) for b in encoding(batches))
 
-        return docs.mapInArrow(run, schema)
+        return _placed(docs, F.col(text_col).cast("string"), keep).mapInArrow(run, schema)
 
     @staticmethod
-    def _decoded_schema(schema: T.StructType, text_col: str, digest: bool) -> T.StructType:
-        schema = T.StructType(list(schema.fields))
-        return schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add(text_col, "string")
+    def _decoded_schema(docs: DataFrame, keep: list[str], text_col: str, digest: bool) -> tuple[list[str], T.StructType]:
+        made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else {text_col: T.StringType()}
+        keep = [c for c in keep if c not in made]
+        return keep, T.StructType([*docs.select(*keep).schema.fields, *[T.StructField(c, kind) for c, kind in made.items()]])
 
     def _encoding(self, names: list[str]):
         """Columns: text, then those to pass on."""
@@ -284,11 +296,16 @@ class BpeCodec:
                     return encoder.text(text)
                 return b"".join([single[p] if p in single else encoder.text(p) for p in marks.split(text)])
 
+            before, made = None, b""
+
             for batch in batches:
                 texts = batch.column(0)
                 begin, held, total = 0, [], 0
                 for r in range(batch.num_rows):
-                    held.append(ids(texts[r].as_py() or ""))
+                    text = texts[r].as_py() or ""
+                    if text != before:  # copies that follow each other are encoded once
+                        before, made = text, ids(text)
+                    held.append(made)
                     total += len(held[-1])
                     if total >= 1 << 21 or r + 1 == batch.num_rows:
                         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int32)

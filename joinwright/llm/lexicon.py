@@ -81,7 +81,8 @@ def compile_lexicon(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
 
 
 class Lexicon:
-    """Walks a compiled transducer that is mapped from an unlinked scratch file, which the worker made itself."""
+    """Walks a compiled transducer that is mapped from an unlinked scratch file, which the worker made itself. States are
+    numbers and arcs positions in the map: nothing is kept of the words that were looked up."""
 
     def __init__(self, compiled: bytes):
         with tempfile.TemporaryFile() as file:
@@ -94,27 +95,17 @@ class Lexicon:
         edges = np.cumsum([4, states + 1, arcs, arcs + states + 1, states, ids]).tolist()
         self._begin, self._target, self._at, self._final, self._ids = (numbers[a:b] for a, b in zip(edges, edges[1:]))
         self._arcs = arcs
-        self._states: list[tuple | None] = [None] * states
-
-    def _load(self, state: int) -> tuple[dict[int, tuple[int, list[int]]], list[int] | None]:
-        """The state's arcs and, if words end here, what they then add; kept once it was visited."""
-        begin, end = self._begin[state], self._begin[state + 1]
-        at, labels = self._at, self._map[self._labels + begin : self._labels + end]
-        arcs = {label: (self._target[i], self._ids[at[i] : at[i + 1]].tolist()) for i, label in enumerate(labels, begin)}
-        i = self._arcs + state
-        made = self._states[state] = (arcs, self._ids[at[i] : at[i + 1]].tolist() if self._final[state] else None)
-        return made
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of the word; None if it isn't one of the entries."""
-        states, out = self._states, []
-        arcs, last = states[self._root] or self._load(self._root)
-        for byte in word:
-            arc = arcs.get(byte)
-            if arc is None:
+        find, labels, begin, target, at, ids = self._map.find, self._labels, self._begin, self._target, self._at, self._ids
+        state, out = self._root, []
+        for i in range(len(word)):
+            arc = find(word[i : i + 1], labels + begin[state], labels + begin[state + 1]) - labels
+            if arc < 0:
                 return None
-            state, ids = arc
-            if ids:
-                out += ids
-            arcs, last = states[state] or self._load(state)
-        return None if last is None else out + last
+            if at[arc] != at[arc + 1]:
+                out += ids[at[arc] : at[arc + 1]].tolist()
+            state = target[arc]
+        last = self._arcs + state
+        return out + ids[at[last] : at[last + 1]].tolist() if self._final[state] else None
