@@ -39,31 +39,52 @@ class CuckooFilter:
         return (self.slots[first] == marks[:, None]).any(1) | (self.slots[second] == marks[:, None]).any(1)
 
     def insert(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """False if the filter got too full; its content is then of no use and must be built anew, larger."""
-        marks, first, second = self._places(a, b)
-        mask, slots = len(self.slots) - 1, self.slots
-        other = mix(marks.astype(np.uint64)) & np.uint64(mask)
-        for mark, i, j, step in zip(marks.tolist(), first.tolist(), second.tolist(), other.tolist()):
-            for turn in range(500):
-                free = np.flatnonzero(slots[i] == 0)
-                if not len(free) and turn == 0:
-                    i, free = j, np.flatnonzero(slots[j] == 0)
-                if len(free):
-                    slots[i, free[0]] = mark
-                    break
-                out = int(slots[i, turn % 4])
-                slots[i, turn % 4] = mark
-                mark = out
-                i ^= int(mix(np.array([mark], np.uint64))[0]) & mask
-            else:
+        """False if the filter got too full; its content is then of no use and must be built anew, larger. All keys go
+        in rounds, of which each puts one mark into a bucket; marks that find none free wait, and in the end push
+        another out, which goes to its other bucket."""
+        marks, bucket, second = self._places(a, b)
+        fresh, mask, slots = np.ones(len(marks), bool), np.uint64(len(self.slots) - 1), self.slots
+        best, since, turn = len(marks), 0, 0
+        while len(marks):
+            _, one = np.unique(bucket, return_index=True)
+            free = slots[bucket[one]] == 0
+            some = free.any(1)
+            put = one[some]
+            slots[bucket[put], free[some].argmax(1)] = marks[put]
+            stuck = one[~some]
+            again = stuck[fresh[stuck]]
+            bucket[again], fresh[again] = second[again], False
+            out = stuck[~np.isin(stuck, again)]
+            at = (bucket[out].astype(np.int64) + turn) % 4
+            pushed = slots[bucket[out], at].copy()
+            slots[bucket[out], at] = marks[out]
+            marks[out] = pushed
+            bucket[out] ^= mix(pushed.astype(np.uint64)) & mask
+            left = np.ones(len(marks), bool)
+            left[put] = False
+            marks, bucket, second, fresh = marks[left], bucket[left], second[left], fresh[left]
+            turn, since = turn + 1, since + 1
+            if len(marks) < best:
+                best, since = len(marks), 0
+            if since > 500:
                 return False
         return True
 
     def delete(self, a: np.ndarray, b: np.ndarray) -> None:
+        """One mark of each key, from its first bucket or else from its second."""
         marks, first, second = self._places(a, b)
-        for mark, i, j in zip(marks.tolist(), first.tolist(), second.tolist()):
-            for bucket in (i, j):
-                found = np.flatnonzero(self.slots[bucket] == mark)
-                if len(found):
-                    self.slots[bucket, found[0]] = 0
-                    break
+        missed = self._remove(marks, first)
+        self._remove(marks[missed], second[missed])
+
+    def _remove(self, marks: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Takes each mark out of its bucket once; the places of the marks that weren't there."""
+        left, missed = np.arange(len(marks)), [np.empty(0, np.int64)]
+        while len(left):
+            _, one = np.unique(bucket[left], return_index=True)
+            now = left[one]
+            found = self.slots[bucket[now]] == marks[now, None]
+            some = found.any(1)
+            self.slots[bucket[now[some]], found[some].argmax(1)] = 0
+            missed.append(now[~some])
+            left = np.delete(left, one)
+        return np.concatenate(missed)

@@ -6,36 +6,39 @@ the threshold are inserted into or deleted from their shard's filter. So deletin
 restores the state, and every decision follows the exact counts: keys below the threshold that a filter takes for
 frequent ones are found by probing the count table and are excepted.
 
-A line's key is its bytes without ASCII white space at both ends, A-Z lower-cased, as a 128-bit hash.
+A line's key is its bytes without ASCII white space at both ends, A-Z lower-cased, as a 128-bit hash. A document is all
+rows of one id; rows without an id are one document for each distinct text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .storage import materialise
+from .storage import materialise, partitions, rows_by_id, small
 
 #: Keys that a partition counts before it passes the counts on.
 HELD = 250_000
 #: Bytes of filters, and excepted keys, up to which decisions are made where the texts are; beyond either, by joins.
 FILTER_BYTES, EXCEPTED = 64 << 20, 200_000
-#: Keys of lines kept in a first document up to which these are broadcast.
-OWNED = 500_000
+#: Frequent keys of a shard at which their number is raised.
+SHARD_KEYS = 1 << 17
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class LineDedupParams:
     """Keys of at least ``min_chars`` code points that at least ``min_docs`` documents have are frequent. ``keep``:
-    "none" drops their lines everywhere, "first" keeps them in the document with the smallest id."""
+    "none" drops their lines everywhere, "first" keeps them in the document with the smallest id (if none of the key's
+    documents has one, with the smallest hash of the text). ``shards`` is the least number of shards."""
 
     min_docs: int = 10
     min_chars: int = 1
@@ -45,10 +48,11 @@ class LineDedupParams:
 
 @dataclass(frozen=True)
 class LineState:
-    """``counts(shard, key_a, key_b, n_docs)`` and ``filters(shard, filter)``."""
+    """``counts(key_a, key_b, n_docs)`` and ``filters(shard, filter)``."""
 
     counts: DataFrame
     filters: DataFrame
+    shards: int
 
 
 def _digests(text: str | None, min_chars: int) -> list[bytes]:
@@ -70,43 +74,78 @@ def _keys(halves: list[list[int]] | None) -> frozenset[bytes]:
     return frozenset(np.array(x, np.int64).tobytes() for x in halves or ())
 
 
-def line_counts(docs: DataFrame, params: LineDedupParams, text_col: str = "text", id_col: str | None = None) -> DataFrame:
-    """``(key_a, key_b, n_docs)`` of all documents, and with ``id_col`` the smallest id as ``first``."""
-    columns = [F.col(text_col).cast("string").alias("text"), *([F.col(id_col).alias("id")] if id_col else [])]
-    docs = docs.select(*columns)
-    min_chars = params.min_chars
-    schema = "key_a long, key_b long, n_docs long" + (f", first {docs.schema['id'].dataType.simpleString()}" if id_col else "")
+def _count_lines(min_chars: int, with_first: bool):
+    """Rows (text, id), each a document: keys with the number of these and the smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
         first: dict = {}
-        id_type = None
+        id_type = pa.null()
 
         def emit() -> pa.RecordBatch:
             a, b = _halves(list(counts))
             columns = {"key_a": a, "key_b": b, "n_docs": pa.array(counts.values(), pa.int64())}
-            if id_col:
-                columns["first"] = pa.array([first.get(k) for k in counts], id_type)
+            if with_first:
+                columns["id"] = pa.array([first[k] for k in counts], id_type)
             counts.clear()
             first.clear()
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            id_type = batch.column(1).type if id_col else None
-            ids = batch.column(1).to_pylist() if id_col else [None] * batch.num_rows
-            for text, own in zip(batch.column(0), ids):
+            id_type = batch.column(1).type
+            for text, own in zip(batch.column(0), batch.column(1).to_pylist()):
                 for key in {*_digests(text.as_py(), min_chars)} - {b""}:
                     counts[key] = counts.get(key, 0) + 1
-                    if own is not None and (key not in first or own < first[key]):
+                    if with_first and (key not in first or own < first[key]):
                         first[key] = own
                 if len(counts) >= HELD:
                     yield emit()
         if counts:
             yield emit()
 
-    made = docs.mapInArrow(run, schema).groupBy("key_a", "key_b")
-    total = F.sum("n_docs").alias("n_docs")
-    return made.agg(total, F.min("first").alias("first")) if id_col else made.agg(total)
+    return run
+
+
+def _keys_of(min_chars: int):
+    """Rows (text, id, hash): a row (id, hash, key) for each different key of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted({*_digests(t, min_chars)} - {b""}) for t in batch.column(0).to_pylist()]
+            a, b = _halves([k for x in own for k in x])
+            rows = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(a), pa.array(b)], ["id", "hash", "key_a", "key_b"])
+
+    return run
+
+
+def line_counts(docs: DataFrame, params: LineDedupParams, text_col: str = "text", id_col: str = "doc_id", with_first: bool = False) -> DataFrame:
+    """``(key_a, key_b, n_docs)`` of all documents, and with ``with_first`` which one is the first: ``first``, a struct
+    ``(late, id, hash)``. Rows whose id is unique, as is usual, are counted where they are; only those that share an id
+    or have none are compared first."""
+    docs = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    id_type = docs.schema["id"].dataType.simpleString()
+    ids = materialise(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "repeated_ids")
+    count = lambda rows: rows.mapInArrow(_count_lines(params.min_chars, with_first), "key_a long, key_b long, n_docs long" + (f", id {id_type}" if with_first else ""))
+    first = lambda i, h: F.struct(F.col(i).isNull().alias("late"), F.col(i).alias("id"), h.alias("hash"))
+    nothing = F.lit(None).cast("long")
+    if ids.isEmpty():
+        parts = count(docs)
+    else:
+        known = ids.where("id is not null")
+        parts = count(rows_by_id(docs.where("id is not null"), known, having=False).select("text", "id"))
+        shared = rows_by_id(docs.where("id is not null"), known).select("text", "id").union(docs.where("id is null").select("text", "id"))
+        shared = shared.select("text", "id", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("hash"))
+        keys = shared.mapInArrow(_keys_of(params.min_chars), f"id {id_type}, hash long, key_a long, key_b long").distinct()
+        if with_first:
+            parts = parts.select("key_a", "key_b", "n_docs", first("id", nothing).alias("first"))
+            keys = keys.select("key_a", "key_b", F.lit(1).cast("long").alias("n_docs"), first("id", F.col("hash")).alias("first"))
+        else:
+            keys = keys.select("key_a", "key_b", F.lit(1).cast("long").alias("n_docs"))
+        parts = parts.union(keys)
+    if with_first and "first" not in parts.columns:
+        parts = parts.select("key_a", "key_b", "n_docs", first("id", nothing).alias("first"))
+    return parts.groupBy("key_a", "key_b").agg(F.sum("n_docs").alias("n_docs"), *([F.min("first").alias("first")] if with_first else []))
 
 
 def _changed_filter(old: pa.Table, changes: pa.Table) -> pa.Table:
@@ -128,34 +167,43 @@ def _built_filter(keys: pa.Table) -> pa.Table:
     return pa.table({"shard": keys.column("shard").slice(0, 1), "filter": pa.array([held.to_bytes()], pa.binary())})
 
 
-def update_lines(state: LineState | None, inserts: DataFrame | None, deletes: DataFrame | None, params: LineDedupParams, text_col: str = "text") -> LineState:
-    """The state after inserting and deleting documents. ``state`` None is the empty one. Documents to delete must be
-    those that were inserted, with the same texts; counts never fall below zero."""
-    signed = [line_counts(d, params, text_col).withColumn("n_docs", F.col("n_docs") * sign) for d, sign in ((inserts, 1), (deletes, -1)) if d is not None]
+def _shard(shards: int) -> Column:
+    return F.expr(f"cast(pmod(shiftright(key_a, 24), {shards}) AS int)").alias("shard")
+
+
+def update_lines(state: LineState | None, inserts: DataFrame | None, deletes: DataFrame | None, params: LineDedupParams, text_col: str = "text", id_col: str = "doc_id") -> LineState:
+    """The state after inserting and deleting documents. ``state`` None is the empty one. Documents to insert must have
+    new ids, and those to delete must be some that were inserted, with all their rows and the same texts; counts never
+    fall below zero. The number of shards follows the number of frequent keys; where it is raised, all filters are built
+    anew from the exact counts."""
+    signed = [line_counts(d, params, text_col, id_col).withColumn("n_docs", F.col("n_docs") * sign) for d, sign in ((inserts, 1), (deletes, -1)) if d is not None]
     if not signed:
         raise ValueError("give documents to insert or to delete")
     delta = signed[0] if len(signed) == 1 else signed[0].union(signed[1]).groupBy("key_a", "key_b").agg(F.sum("n_docs").alias("n_docs"))
-    shard = F.expr(f"cast(pmod(shiftright(key_a, 24), {params.shards}) AS int)").alias("shard")
     if state is None:
-        merged = delta.select(shard, "key_a", "key_b", F.lit(0).cast("long").alias("before"), F.greatest("n_docs", F.lit(0)).alias("n_docs"))
+        merged = delta.select("key_a", "key_b", F.lit(0).cast("long").alias("before"), F.greatest("n_docs", F.lit(0)).alias("n_docs"))
     else:
         old = state.counts.select("key_a", "key_b", F.col("n_docs").alias("before"))
         n = F.greatest(F.coalesce("before", F.lit(0)) + F.coalesce("n_docs", F.lit(0)), F.lit(0)).alias("n_docs")
-        merged = old.join(delta, ["key_a", "key_b"], "full").select(shard, "key_a", "key_b", F.coalesce("before", F.lit(0)).alias("before"), n)
+        merged = old.join(delta, ["key_a", "key_b"], "full").select("key_a", "key_b", F.coalesce("before", F.lit(0)).alias("before"), n)
     merged = materialise(merged, "line_counts")
-    counts = merged.where("n_docs > 0").select("shard", "key_a", "key_b", "n_docs")
+    counts = merged.where("n_docs > 0").select("key_a", "key_b", "n_docs")
+    frequent = counts.where(f"n_docs >= {params.min_docs}")
+    needed = max(params.shards, 1 << math.ceil(math.log2(max(1, frequent.count() / SHARD_KEYS))))
+    filter_type = "shard int, filter binary"
+    if state is None or needed > 2 * state.shards:
+        filters = frequent.select(_shard(needed), "key_a", "key_b").groupBy("shard").applyInArrow(_built_filter, filter_type)
+        return LineState(counts, materialise(filters, "line_filters"), needed)
+    shard = _shard(state.shards)
     crossing = merged.where(f"(before >= {params.min_docs}) <> (n_docs >= {params.min_docs})")
-    crossing = crossing.select("shard", "key_a", "key_b", (F.col("n_docs") >= params.min_docs).alias("entering"))
-    spark = merged.sparkSession
-    filters = state.filters if state is not None else spark.createDataFrame([], "shard int, filter binary")
-    filters = filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInArrow(_changed_filter, "shard int, filter binary")
+    crossing = crossing.select(shard, "key_a", "key_b", (F.col("n_docs") >= params.min_docs).alias("entering"))
+    filters = state.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInArrow(_changed_filter, filter_type)
     filters = materialise(filters, "line_filters")
     full = filters.where("filter is null").select("shard")
     if not full.isEmpty():  # too full to insert into: built anew from the exact counts
-        frequent = counts.where(f"n_docs >= {params.min_docs}").join(full, "shard", "left_semi")
-        rebuilt = frequent.groupBy("shard").applyInArrow(_built_filter, "shard int, filter binary")
+        rebuilt = frequent.select(shard, "key_a", "key_b").join(full, "shard", "left_semi").groupBy("shard").applyInArrow(_built_filter, filter_type)
         filters = materialise(filters.where("filter is not null").union(rebuilt), "line_filters")
-    return LineState(counts, filters)
+    return LineState(counts, filters, state.shards)
 
 
 class _Probe:
@@ -175,9 +223,28 @@ class _Probe:
         return out
 
 
-def _drop(params: LineDedupParams, shared, listed: bool, exempt: bool, names: list[str]):
+def _probe_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, salt, filter, id, hash, key) sorted by shard and salt, a filter before its keys: the keys' rows that it
+    takes for frequent. One filter is held at once."""
+    of, held = None, None
+    for batch in batches:
+        shard, salt = (batch.column(i).to_numpy() for i in (0, 1))
+        a, b = (np.ascontiguousarray(batch.column(i).to_numpy()) for i in (5, 6))
+        heads = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+        hit = np.zeros(batch.num_rows, bool)
+        for begin, end in zip([-1, *heads.tolist()], [*heads.tolist(), batch.num_rows]):
+            if begin >= 0:
+                of, held = (shard[begin], salt[begin]), CuckooFilter.from_bytes(batch.column(2)[begin].as_py())
+            if held is not None:
+                rows = np.arange(begin + 1, end)
+                rows = rows[(shard[rows] == of[0]) & (salt[rows] == of[1])]
+                hit[rows] = held.contains(a[rows], b[rows])
+        yield pa.RecordBatch.from_arrays(batch.columns[3:], ["id", "hash", "key_a", "key_b"]).filter(pa.array(hit))
+
+
+def _drop(params: LineDedupParams, shards: int, shared, listed: bool, exempt: bool, names: list[str]):
     """Columns: text, then (``listed``) the keys to drop, then (``exempt``) keys to keep, then those to pass on."""
-    min_chars, shards = params.min_chars, params.shards
+    min_chars = params.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe, excepted = None, frozenset()
@@ -216,26 +283,31 @@ def drop_frequent_lines(
     """``keep_cols`` (default: ``id_col``) with ``n_lines`` (before dropping), ``n_dropped`` and ``kept_text``.
 
     Null and empty texts are one empty line, whose key is too short to be frequent. A document may lose all its lines;
-    its kept text is then empty. Repeated rows get equal results, other columns are ignored and an empty table
-    gives an empty result. ``first(key_a, key_b, first)`` names for "first" the documents that keep a key's lines.
+    its kept text is then empty. Repeated rows get equal results, other columns are ignored, kept columns with a result's
+    name give way to it, and an empty table gives an empty result. Very long texts are handled whole, one at a time.
+    ``first(key_a, key_b, first)`` names for "first" the documents that keep a key's lines.
 
-    Where all filters together have at most ``filter_bytes``, they are sent to the tasks and no text is shuffled
-    (but for "first" with more than ``OWNED`` keys, by id); else the keys are joined with the frequent keys and the texts with their keys.
+    Where all filters together have at most ``filter_bytes``, they are sent to the tasks and no text is shuffled; else the
+    documents' keys are dealt out by shard, each shard (in salted parts) with its filter, those that a filter takes for
+    frequent are joined with the exact counts, and the texts with what is left.
     """
-    keep_cols = keep_cols or [id_col]
-    frequent = F.col("n_docs") >= params.min_docs
+    made = {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}
+    keep_cols = [c for c in keep_cols or [id_col] if c not in made]
+    frequent = state.counts.where(F.col("n_docs") >= params.min_docs).select("key_a", "key_b")
     spark = docs.sparkSession
-    names = [*keep_cols, "n_lines", "n_dropped", "kept_text"]
-    schema = docs.select(*keep_cols).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
-    docs = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep_cols)])
-    passed = [f"__{i}" for i in range(len(keep_cols))]
-    key = F.expr("array(key_a, key_b)")
+    schema = docs.select(*keep_cols).schema
+    for c, kind in made.items():
+        schema = schema.add(c, kind)
+    text = F.col(text_col).cast("string")
+    docs = docs.select(text.alias("text"), F.col(id_col).alias("id"), *[F.col(c).alias(str(i)) for i, c in enumerate(keep_cols)])
+    passed = [str(i) for i in range(len(keep_cols))]
+    key, shards = F.expr("array(key_a, key_b)"), state.shards
 
     shared, listed = None, False
     size = state.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
     if size <= filter_bytes:
         filters = {r.shard: bytes(r.filter) for r in state.filters.collect()}
-        sent, shards = spark.sparkContext.broadcast(filters), params.shards
+        sent = spark.sparkContext.broadcast(filters)
 
         def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probe = _Probe(sent.value, shards)
@@ -243,42 +315,37 @@ def drop_frequent_lines(
                 a, b = (np.ascontiguousarray(batch.column(i).to_numpy()) for i in (0, 1))
                 yield batch.filter(pa.array(probe(a, b)))
 
-        wrong = materialise(state.counts.where(~frequent).select("key_a", "key_b").mapInArrow(taken, "key_a long, key_b long"), "excepted")
+        rare = state.counts.where(F.col("n_docs") < params.min_docs).select("key_a", "key_b")
+        wrong = materialise(rare.mapInArrow(taken, "key_a long, key_b long"), "excepted")
         if wrong.count() <= EXCEPTED:
             excepted = _keys([[r.key_a, r.key_b] for r in wrong.collect()])
             shared = spark.sparkContext.broadcast((filters, excepted))
     if shared is None:
         listed = True
-        min_chars = params.min_chars
-
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = [sorted({*_digests(t, min_chars)} - {b""}) for t in batch.column(1).to_pylist()]
-                a, b = _halves([k for x in own for k in x])
-                rows = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(a), pa.array(b)], ["__id", "__hash", "key_a", "key_b"])
-
-        docs = docs.withColumn("__hash", F.xxhash64("__text"))
-        id_type = docs.schema["__id"].dataType.simpleString()
-        lines = docs.select("__id", "__text", "__hash").mapInArrow(keys, f"__id {id_type}, __hash long, key_a long, key_b long").distinct()
-        found = lines.join(state.counts.where(frequent).select("key_a", "key_b"), ["key_a", "key_b"])
-        drops = found.groupBy("__id", "__hash").agg(F.collect_set(key).alias("__drop"))
-        drops = drops.withColumnsRenamed({"__id": "__of", "__hash": "__with"})
-        docs = docs.join(drops, docs["__id"].eqNullSafe(drops["__of"]) & docs["__hash"].eqNullSafe(drops["__with"]), "left")
+        n = partitions(spark)
+        salts = max(1, math.ceil(n / shards))
+        docs = docs.withColumn("hash", F.xxhash64("text"))
+        id_type = docs.schema["id"].dataType.simpleString()
+        lines = docs.select("text", "id", "hash").mapInArrow(_keys_of(params.min_chars), f"id {id_type}, hash long, key_a long, key_b long")
+        lines = lines.select(_shard(shards), F.expr(f"cast(pmod(xxhash64(id, hash, key_b), {salts}) AS int)").alias("salt"), F.lit(None).cast("binary").alias("filter"), "id", "hash", "key_a", "key_b")
+        heads = state.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "filter", F.lit(None).cast(id_type), *[F.lit(0).cast("long")] * 3)
+        dealt = lines.union(heads).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+        found = dealt.mapInArrow(_probe_shards, f"id {id_type}, hash long, key_a long, key_b long").distinct().join(frequent, ["key_a", "key_b"])
+        drops = found.groupBy(F.col("id").alias("of"), F.col("hash").alias("with")).agg(F.collect_set(key).alias("drop"))
+        docs = docs.join(drops, docs["id"].eqNullSafe(drops["of"]) & docs["hash"].eqNullSafe(drops["with"]), "left")
     if first is not None:
-        owned = first.groupBy("first").agg(F.collect_list(key).alias("__exempt"))
-        if first.count() <= OWNED:
-            owned = F.broadcast(owned)
-        docs = docs.join(owned, docs["__id"] == owned["first"], "left")
-    columns = ["__text", *(["__drop"] if listed else []), *(["__exempt"] if first is not None else []), *passed]
-    return docs.select(*columns).mapInArrow(_drop(params, shared, listed, first is not None, names), schema)
+        owned = small(first.groupBy("first").agg(F.collect_list(key).alias("exempt")).select(F.col("first.id").alias("owner"), F.col("first.hash").alias("owner_hash"), "exempt"))
+        docs = docs.withColumn("who", F.when(F.col("id").isNull(), F.xxhash64("text")))
+        docs = docs.join(owned, docs["id"].eqNullSafe(owned["owner"]) & docs["who"].eqNullSafe(owned["owner_hash"]), "left")
+    columns = ["text", *(["drop"] if listed else []), *(["exempt"] if first is not None else []), *passed]
+    return docs.select(*columns).mapInArrow(_drop(params, shards, shared, listed, first is not None, schema.names), schema)
 
 
 def dedup_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams(), keep_cols: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Insert ``docs`` into an empty state and drop their frequent lines; see :func:`drop_frequent_lines`."""
-    state = update_lines(None, docs, None, params, text_col)
+    state = update_lines(None, docs, None, params, text_col, id_col)
     first = None
     if params.keep == "first":
-        first = line_counts(docs, params, text_col, id_col).where(F.col("n_docs") >= params.min_docs).select("key_a", "key_b", "first")
+        first = line_counts(docs, params, text_col, id_col, with_first=True).where(F.col("n_docs") >= params.min_docs).select("key_a", "key_b", "first")
         first = materialise(first, "first_documents")
     return drop_frequent_lines(docs, state, params, keep_cols, id_col, text_col, first)

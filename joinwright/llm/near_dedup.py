@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise, partitions
+from .storage import materialise, partitions, rows_by_id
 from .words import mix, shingle_sets
 
 #: Rows of one side of a block in step 5, and partners of a centre that one group of step 4 holds.
 BLOCK = 256
-#: Ids of candidates up to which they are broadcast to select the texts that get shuffled; beyond, all texts are.
-BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -256,15 +254,6 @@ def _verify(params: NearDupParams):
     return run
 
 
-def rows_by_id(docs: DataFrame, ids: DataFrame, id_col: str = "id", having: bool = True) -> DataFrame:
-    """The rows of ``docs`` that have one of the ids, or that have none. Up to ``BROADCAST_IDS`` ids are broadcast, so
-    that no text is shuffled; more are joined by a shuffle."""
-    ids = ids.select(id_col).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, id_col, "left_semi" if having else "left_anti")
-
-
 def _links(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A centre with many partners is dealt out in salted
     groups of about ``BLOCK``, each with the centre's text once; the texts are shuffled by id once."""
