@@ -21,8 +21,9 @@ from pyspark.sql import Window as W
 
 from .storage import materialise
 
-#: A table of one row for each source is broadcast up to this many sources, and joined by a shuffle beyond.
-SOURCES = 100_000
+#: A table of one row for each source is broadcast up to this many sources and bytes of their names, and joined by a
+#: shuffle beyond.
+SOURCES, NAME_BYTES = 100_000, 16 << 20
 BINS = 4096
 
 
@@ -56,7 +57,8 @@ def filled(df: DataFrame, parts: list[str], weight: str, cap: str, total: str, o
 
 def _with_sources(docs: DataFrame, sources: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     sources = sources.select(F.col("source").alias("__source"), *columns)
-    if sources.count() <= SOURCES:
+    size = sources.agg(F.count("*").alias("n"), F.sum(F.octet_length("__source")).alias("bytes")).first()
+    if size.n <= SOURCES and (size.bytes or 0) <= NAME_BYTES:
         sources = F.broadcast(sources)
     return docs.join(sources, docs["__s"].eqNullSafe(sources["__source"]), how).drop("__source")
 
@@ -144,14 +146,22 @@ def _taken(docs: DataFrame, plan: DataFrame, params: MixParams) -> DataFrame:
 
 def mix_table(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """For each row of ``docs``: ``id_col``, ``size`` (words; null text: 0), ``source_size``, ``target`` (its source's) and
-    ``taken`` (size times copies). A null source is a source. Equal ids rank alike; other columns are ignored."""
+    ``taken`` (size times copies). A null source is a source; null and empty texts have size 0 and are never taken but
+    with whole copies, which add no words. Equal ids, so also repeated rows and null ids, rank alike and are taken
+    together; an empty table gives an empty result; other columns are ignored, whatever their names."""
     plan, sized = mix_plan(docs, params, id_col, text_col, source_col)
     taken = _taken(sized, plan, params)
     return taken.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs``, each row repeated as often as the mix takes it. The texts are not shuffled."""
+    """``docs``, each row repeated as often as the mix takes it, copies next to each other. The texts are not shuffled.
+    Null texts and sources, repeated rows, ids that tie and empty tables are as in :func:`mix_table`; columns may have
+    any name, as the rows are carried by place."""
     plan, _ = mix_plan(docs, params, id_col, text_col, source_col)
-    taken = _taken(_prepared(docs, params, id_col, text_col, source_col), plan, params).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"].alias(str(i)) for i, c in enumerate(docs.columns)]).alias("__row"))
+    of = lambda c: F.col("__row")[str(docs.columns.index(c))].alias(c)
+    named = whole.select("__row", *[of(c).alias(x) for c, x in ((id_col, "__i"), (text_col, "__t"), (source_col, "__o"))])
+    taken = _taken(_prepared(named, params, "__i", "__t", "__o"), plan, params).where("copies > 0")
+    copies = taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copies.select(*[F.col("__row")[str(i)].alias(c) for i, c in enumerate(docs.columns)])
