@@ -4,8 +4,9 @@ A turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts,
 added to every ``<``, backslashes, ``|`` there, which is undone by removing one. Roles also have their backslashes
 and line feeds written as ``\\\\`` and ``\\n``, so that the first line feed ends the role.
 
-Segments of all turns of a batch are copied into one preallocated buffer: their lengths give cumulative offsets, and
-these the indices at which headers and contents are scattered.
+Segments of all turns of whole conversations are copied into one preallocated buffer: their lengths give cumulative
+offsets, and these the indices at which headers and contents are scattered. The buffer becomes the data of the Arrow
+column as it is, with the conversations' ends as its offsets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .storage import partitions
 from .words import string_buffers
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Bytes that are scattered at once, and of texts that are assembled at once (but for a longer conversation).
+PIECE, CHUNK = 1 << 20, 4 << 20
 _added = re.compile(r"<\\(\\*)\|")
 _role = re.compile(r"\\(.)", re.S)
 _turn = re.compile(rf"{re.escape(START)}([^\n]*)\n(.*?){re.escape(END)}\n", re.S)
@@ -47,15 +50,20 @@ def _unescape_role(role: str) -> str:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> None:
-    """Copies ``data[begin : begin + length]`` to ``out[at:]``: long segments one by one, all others at once."""
+    """Copies ``data[begin : begin + length]`` to ``out[at:]``: long segments one by one, others some ``PIECE`` bytes at once."""
     for r in np.flatnonzero(lengths >= 1 << 15):
         out[at[r] : at[r] + lengths[r]] = data[begin[r] : begin[r] + lengths[r]]
     short = lengths < 1 << 15
     at, begin, lengths = at[short], begin[short], lengths[short]
-    total = int(lengths.sum())
-    if total:
-        within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.repeat(at, lengths) + within] = data[np.repeat(begin, lengths) + within]
+    upto = np.cumsum(lengths)
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PIECE, "right")))
+        some = slice(first, last)
+        n = lengths[some]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[some], n) + within] = data[np.repeat(begin[some], n) + within]
+        first = last
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,48 +82,52 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, ends[:, -1], np.stack((ends[:, 3] - table[:, 3], ends[:, 3]), 1)
 
 
-def _format(learned: tuple[str, ...]):
-    """Rows (conversation, turn's role, text), each conversation's in order and together."""
+def _assembled(rows: pa.Table, learned: tuple[str, ...], names: list[str]) -> pa.RecordBatch:
+    """Rows (conversation, role, text) of whole conversations: one row for each conversation."""
+    ids, roles, texts = (c.combine_chunks() for c in rows.columns)
+    begin = np.flatnonzero(np.diff(_codes(ids), prepend=-1))
+    sizes = np.diff(np.append(begin, len(ids)))
+    data, ends, spans = assemble(roles, texts)
+    offsets = np.concatenate(([0], ends[begin + sizes - 1]))
+    formatted = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    own = np.flatnonzero(pc.is_in(roles, pa.array(learned, roles.type)).to_numpy(zero_copy_only=False))
+    of = np.repeat(np.arange(len(begin)), sizes)[own]
+    places = pa.StructArray.from_arrays([pa.array(spans[own, i] - offsets[of]) for i in (0, 1)], ["begin", "end"])
+    loss = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(begin) + 1)).astype(np.int32)), places)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(begin)), formatted, loss], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list = []  # of the conversation that may go on: its id, bytes, spans
 
-        def close(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-            ids = pa.array([r[0] for r in rows], id_type)
-            spans = pa.array([[{"begin": a, "end": b} for a, b in r[2]] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-            return pa.RecordBatch.from_arrays([ids, pa.array([b"".join(r[1]).decode() for r in rows], pa.string()), spans], ["id", "formatted", "loss"])
+def _codes(ids: pa.Array) -> np.ndarray:
+    """A number for each value, null included."""
+    return ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
 
-        id_type = None
+def _format(learned: tuple[str, ...], names: list[str]):
+    """Rows (conversation, turn's role, text), each conversation's in order and together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.Table] = []  # rows of the conversation that may go on
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids = batch.column(0)
-            id_type = ids.type
             fill = [pc.fill_null(c.cast(pa.large_string()), "") for c in batch.columns[1:]]
-            for begin in range(0, len(ids), 1024):
-                keys = ids.slice(begin, 1024).to_pylist()
-                roles = fill[0].slice(begin, 1024)
-                data, ends, texts = assemble(roles, fill[1].slice(begin, 1024))
-                counted = np.isin(roles.to_pylist(), learned)
-                done: list[tuple] = []
-                r = 0
-                while r < len(keys):
-                    stop = r
-                    while stop < len(keys) and keys[stop] == keys[r]:
-                        stop += 1
-                    if open_ and open_[0] != keys[r]:
-                        done.append(tuple(open_[:3]))
-                        open_ = []
-                    if not open_:
-                        open_ = [keys[r], [], [], 0]
-                    start = int(ends[r - 1]) if r else 0
-                    shift = open_[3] - start
-                    open_[1].append(data[start : int(ends[stop - 1])].tobytes())
-                    open_[2] += [(a + shift, b + shift) for (a, b), c in zip(texts[r:stop].tolist(), counted[r:stop]) if c]
-                    open_[3] += int(ends[stop - 1]) - start
-                    r = stop
-                if done:
-                    yield close(done, id_type)
+            table = pa.table([ids, *fill], ["id", "role", "text"])
+            begins = np.flatnonzero(np.diff(_codes(ids), prepend=-1))
+            if open_ and open_[-1].column(0)[-1].as_py() == ids[0].as_py():
+                begins = begins[1:]
+            sizes = np.concatenate(([0], np.cumsum(pc.binary_length(fill[1]).to_numpy(zero_copy_only=False))))
+            last = 0
+            for i, begin in enumerate(begins):  # a conversation begins here, so those before are whole
+                enough = i + 1 == len(begins) or sizes[begins[i + 1]] - sizes[last] > CHUNK
+                if enough or open_:
+                    open_.append(table.slice(last, begin - last))
+                    if sum(t.num_rows for t in open_):
+                        yield _assembled(pa.concat_tables(open_), learned, names)
+                    open_, last = [], int(begin)
+            open_.append(table.slice(last))
         if open_:
-            yield close([tuple(open_[:3])], id_type)
+            yield _assembled(pa.concat_tables(open_), learned, names)
 
     return run
 
@@ -125,14 +137,15 @@ def format_chats(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), id
     the texts of the ``learned`` roles. Null roles and texts are empty; rows without an id are one conversation.
 
     Turns are in the order of ``turn_col``, nulls first; equal ones in that of role and text, so repeated rows are
-    repeated turns. The rows are shuffled once by conversation and streamed; only one conversation's bytes, which are one
-    value of the result, are held at a time.
+    repeated turns. Other columns are ignored, whatever their names, and an empty table gives an empty result. The rows
+    are shuffled once by conversation and streamed; some ``CHUNK`` bytes of whole conversations are held at a time, or
+    one longer conversation, which is one value of the result.
     """
     id_type = turns.schema[id_col].dataType
     turns = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     turns = turns.repartition(partitions(turns.sparkSession), "id").sortWithinPartitions("id", "turn", "role", "text").select("id", "role", "text")
     schema = T.StructType().add("id", id_type).add("formatted", "string").add("loss", T.ArrayType(T.StructType().add("begin", "long").add("end", "long")))
-    return turns.mapInArrow(_format(learned), schema).withColumnRenamed("id", id_col)
+    return turns.mapInArrow(_format(learned, schema.names), schema).withColumnRenamed("id", id_col)
 
 
 def parse_chat(formatted: str) -> list[tuple[str, str]]:
