@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,10 @@ LATE = (
 )
 #: Bytes of parts of texts with their ids, and of pieces with theirs, that a worker keeps at once, what Python adds to each
 #: included; and words that a partition counts before it passes them on.
-PART_BYTES, PIECE_BYTES, EACH = 32 << 20, 8 << 20, 170
+PART_BYTES, PIECE_BYTES, EACH = 32 << 20, 4 << 20, 170
 COUNTED = 100_000
+#: Characters of texts whose new parts are encoded together.
+TOGETHER = 1 << 20
 _NONE, _ID = 1 << 60, (1 << 17) - 1
 
 _pieces = regex.compile(PIECES)
@@ -94,10 +97,58 @@ class ByteBpe:
                 self.single[shown[token]] = i
         #: (left << 17 | right) -> rank << 17 | merged
         self.merges: dict[int, int] = {}
+        #: The merges in the order of the pairs, and the ids of bytes, as arrays; made where they are used.
+        self.tables: tuple[np.ndarray, ...] | None = None
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges.setdefault(vocabulary[a] << 17 | vocabulary[b], rank << 17 | vocabulary[a + b])
 
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of up to 64 bytes each, as int32 bytes. All pieces go together, each with one merge a round:
+        of its pairs the one of lowest rank, of equal ones the leftmost."""
+        if not pieces:
+            return []
+        if self.tables is None:
+            keys = np.array(sorted(self.merges), np.int64)
+            self.tables = keys, np.array([self.merges[k] for k in keys.tolist()], np.int64), np.array(self.single, np.int64)
+        keys, values, single = self.tables
+        word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        ids = single[np.frombuffer(b"".join(pieces), np.uint8)]
+
+        def pairs(at: np.ndarray) -> np.ndarray:
+            """The merge of each place with the next one, ``_NONE`` without."""
+            after = np.minimum(at + 1, len(ids) - 1)
+            key = ids[at] << 17 | ids[after]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where((keys[found] == key) & (word[after] == word[at]) & (after > at), values[found], _NONE)
+
+        value, done_words, done_ids = pairs(np.arange(len(ids))), [], []
+        while len(ids):
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(value, begin), np.diff(np.append(begin, len(word))))
+            over = least == _NONE
+            if over.any():
+                done_words.append(word[over])
+                done_ids.append(ids[over])
+                word, ids, value, least = word[~over], ids[~over], value[~over], least[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(value == least)
+            at = at[np.diff(word[at], prepend=-1) != 0]  # of a piece the leftmost
+            ids[at] = value[at] & _ID
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            word, ids, value = word[left], ids[left], value[left]
+            at = at - np.arange(len(at))
+            value[at] = pairs(at)
+            before = at[at > 0] - 1
+            value[before] = pairs(before)
+        word, ids = np.concatenate(done_words), np.concatenate(done_ids)
+        order = np.argsort(word, kind="stable")
+        data = ids[order].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(pieces)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def merge(self, piece: bytes) -> list[int]:
         """Exact merges, always the one of lowest rank, of equal ones the leftmost."""
         ids, find = [self.single[b] for b in piece], self.merges.get
@@ -140,12 +191,14 @@ class _Irregular(Exception):
 
 class _Encoder(dict):
     """Part of a text after a single space -> the bytes of its int32 ids, the space included. Parts are kept in two
-    halves of ``PART_BYTES``: when the younger one is full it takes the place of the older one."""
+    halves of ``PART_BYTES``: when the younger one is full it takes the place of the older one. Words of the lexicon that
+    were walked once stay."""
 
     def __init__(self, model: ByteBpe, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.held = self.pieces_held = 0
 
     def __missing__(self, part: str) -> bytes:
@@ -155,13 +208,41 @@ class _Encoder(dict):
                 raise _Irregular
             out = self.segment(" " + part)
         if len(part) <= 64:
-            if self.held >= PART_BYTES // 2:
-                self.older, self.held = dict(self), 0
-                self.clear()
             self[part] = out
             self.held += len(part) + len(out) + EACH
         return out
 
+    def prepare(self, texts: list[str]) -> None:
+        """Encodes the parts of the texts that aren't held, all together."""
+        if self.held >= PART_BYTES // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        parts: set[str] = set()
+        for text in texts:
+            parts.update(text.split(" "))
+        older = self.older
+        new = [p for p in parts if p not in self]
+        made = {p: older[p] for p in new if p in older}
+        new = [p for p in new if p not in made and 0 < len(p) <= 48 and not p[0].isspace() and not p[-1].isspace()]
+        words = [b" " + p.encode() for p in new]
+        pieces: dict[str, bytes | None] = {}
+        split = []
+        for part, word, known in zip(new, words, self.lexicon.accepts(words).tolist()):
+            if known:
+                if (out := self.known.get(part)) is None:
+                    out = self.known[part] = array("i", self.lexicon.get(word)).tobytes()
+                made[part] = out
+            else:
+                split.append((part, own := split_pieces(" " + part)))
+                pieces.update(dict.fromkeys(own))
+        data = [p.encode() for p in pieces]
+        merged = iter(self.model.merge_all([d for d in data if len(d) <= 64]))
+        pieces = {p: next(merged) if len(d) <= 64 else array("i", self.model.merge(d)).tobytes() for p, d in zip(pieces, data)}
+        for part, own in split:
+            made[part] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+        self.update(made)
+        self.held += sum(map(len, made)) + sum(map(len, made.values())) + EACH * len(made)
+
     def segment(self, segment: str) -> bytes:
         ids = self.lexicon.get(segment.encode())
         return array("i", ids).tobytes() if ids is not None else b"".join([self.piece(p) for p in split_pieces(segment)])
@@ -184,11 +265,21 @@ class _Encoder(dict):
         parts = text.split(" ")
         try:
             if parts[0] and not parts[0][-1].isspace():
-                return b"".join([self.segment(parts[0]), *[self[p] for p in parts[1:]]])
+                return b"".join([self.segment(parts[0]), *map(self.__getitem__, parts[1:])])
         except _Irregular:
             pass
         return b"".join([self.segment(s) for s in split_segments(text)])
 
+    def count(self, text: str) -> int:
+        """How many ids the text has."""
+        parts = text.split(" ")
+        try:
+            if parts[0] and not parts[0][-1].isspace():
+                return (len(self.segment(parts[0])) + sum(map(len, map(self.__getitem__, parts[1:])))) // 4
+        except _Irregular:
+            pass
+        return sum([len(self.segment(s)) for s in split_segments(text)]) // 4
+
 
 def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
@@ -225,13 +316,36 @@ def read_text(spark, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def _prepared(texts: pa.Array, encoder: _Encoder) -> Iterator[str]:
+    """The texts, null as empty; the parts of some at once are prepared before."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        size += n
+        if size >= TOGETHER or i + 1 == len(texts):
+            some = [t or "" for t in texts.slice(begin, i + 1 - begin).to_pylist()]
+            encoder.prepare(some)
+            yield from some
+            begin, size = i + 1, 0
+
+
+def _tools(model: ByteBpe, lexicon: bytes) -> tuple[_Encoder, regex.Pattern | None]:
+    """The worker's encoder, which lives as long as the broadcast model, and the pattern of special tokens."""
+    encoder = model.__dict__.get("encoder")
+    if encoder is None or encoder.of is not lexicon:
+        encoder = model.encoder = _Encoder(model, Lexicon(lexicon))
+        encoder.of = lexicon
+    longest = sorted(model.special, key=len, reverse=True)
+    return encoder, regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
+
+
 def _placed(df: DataFrame, first: Column, keep: list[str]) -> DataFrame:
     """``first`` and then the kept columns, named by their places so that no name can clash."""
     return df.select(first.alias("given"), *[F.col(c).alias(str(i)) for i, c in enumerate(keep)])
 
 
 class BpeCodec:
-    """Encodes and decodes text columns. ``lexicon_size`` bounds the driver's work and what is broadcast."""
+    """Encodes and decodes text columns. ``lexicon_size`` bounds the driver's work and what is broadcast; with 0 the corpus
+    is not read for its words, and all are merged."""
 
     def __init__(self, docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexicon_size: int = 30_000):
         spark = docs.sparkSession
@@ -241,7 +355,7 @@ class BpeCodec:
                 model = ByteBpe(file.read())
         else:
             model = ByteBpe(read_text(spark, path))
-        words = [" " + w for w in frequent_words(docs, text_col, lexicon_size)]
+        words = [" " + w for w in frequent_words(docs, text_col, lexicon_size)] if lexicon_size else []
         self.lexicon = compile_lexicon((w.encode(), tuple(i for p in split_pieces(w) for i in model.merge(p.encode()))) for w in words)
         self._model = spark.sparkContext.broadcast(model)
         self._lexicon = spark.sparkContext.broadcast(self.lexicon)
@@ -278,17 +392,34 @@ class BpeCodec:
         keep = [c for c in keep if c not in made]
         return keep, T.StructType([*docs.select(*keep).schema.fields, *[T.StructField(c, kind) for c, kind in made.items()]])
 
+    def count(self, docs: DataFrame, keep: list[str], text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
+        """The columns ``keep`` and ``count_col long``: how many ids the whole text has; null text has none."""
+        keep = [c for c in keep if c != count_col]
+        schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(count_col, T.LongType())])
+        shared_model, shared_lexicon = self._model, self._lexicon
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder, marks = _tools(shared_model.value, shared_lexicon.value)
+            special = shared_model.value.special
+
+            def n(text: str) -> int:
+                if marks is None or not marks.search(text):
+                    return encoder.count(text)
+                return sum(1 if p in special else encoder.count(p) for p in marks.split(text))
+
+            for batch in batches:
+                counts = pa.array([n(t) for t in _prepared(batch.column(0), encoder)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], counts], schema.names)
+
+        return _placed(docs, F.col(text_col).cast("string"), keep).mapInArrow(run, schema)
+
     def _encoding(self, names: list[str]):
         """Columns: text, then those to pass on."""
         shared_model, shared_lexicon = self._model, self._lexicon
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared_model.value
-            encoder = model.__dict__.get("encoder")  # lives as long as the worker keeps the broadcast model
-            if encoder is None or encoder.of is not shared_lexicon.value:
-                encoder = model.encoder = _Encoder(model, Lexicon(shared_lexicon.value))
-                encoder.of = shared_lexicon.value
-            marks = regex.compile("(" + "|".join(map(regex.escape, sorted(model.special, key=len, reverse=True))) + ")") if model.special else None
+            encoder, marks = _tools(model, shared_lexicon.value)
             single = {t: np.array([i], np.int32).tobytes() for t, i in model.special.items()}
 
             def ids(text: str) -> bytes:
@@ -299,10 +430,8 @@ class BpeCodec:
             before, made = None, b""
 
             for batch in batches:
-                texts = batch.column(0)
                 begin, held, total = 0, [], 0
-                for r in range(batch.num_rows):
-                    text = texts[r].as_py() or ""
+                for r, text in enumerate(_prepared(batch.column(0), encoder)):
                     if text != before:  # copies that follow each other are encoded once
                         before, made = text, ids(text)
                     held.append(made)
