@@ -58,6 +58,6 @@ SQL = {
     "op1_chat_format": CHAT,
     "op4_source_mixing": MIXING,
     "op5_line_dedup": LINES,
-    "op6_token_counts": TOKENS,
+    "token_counts_plain": TOKENS,
     "op10_minhash_near_dedup": NEAR,
 }

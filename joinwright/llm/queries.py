@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,8 +17,8 @@ from .line_dedup import LineDedupParams, dedup_lines
 from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
 from .oracle import SQL
-from .storage import materialise, shared_dir
-from .token_counts import TokenLedger, counted, revised, signed
+from .storage import materialise, scratch
+from .token_counts import TokenLedger, count_words, counted, revised, signed
 from .toxicity import fit_toxicity, predict_toxicity
 
 
@@ -52,19 +51,34 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, the toxic ones deleted, and those of low quality moved to a source of their own;
-    the first two batches come twice."""
-    counts = materialise(counted(table(spark, sf_dir, "documents"), id_col="doc_id"), "token_counts")
+def _ledger(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    """All documents are inserted, the toxic ones deleted, and those of low quality moved to a source of their own; the
+    first two batches come twice, and the totals are compacted in between."""
+    counts = materialise(counts, "token_counts")
     labels = table(spark, sf_dir, "labels")
-    ledger = TokenLedger(spark, f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}")
+    ledger = TokenLedger(spark, scratch(spark, "token_ledger"))
     toxic = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     poor = counts.join(labels.where("toxic = 0 and quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     moved = revised(poor, poor.withColumn("source", F.lit("low quality")))
     batches = {"insert": signed(counts, 1), "delete": signed(toxic, -1), "revise": moved}
-    for batch in ("insert", "delete", "insert", "revise", "delete"):
+    for batch in ("insert", "delete", "insert"):
+        ledger.commit(batch, batches[batch])
+    ledger.compact()
+    for batch in ("revise", "delete"):
         ledger.commit(batch, batches[batch])
-    return ledger.totals(list(batches))
+    return ledger.totals()
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the byte-level BPE and words."""
+    docs = table(spark, sf_dir, "documents")
+    codecs = {"byte_bpe_50k": BpeCodec(docs, public_tokenizers.path("byte_bpe_50k.json"), lexicon_size=0)}
+    return _ledger(spark, sf_dir, counted(docs, {"words-1": count_words}, id_col="doc_id", codecs=codecs))
+
+
+def token_counts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger with the two measures that SQL can express."""
+    return _ledger(spark, sf_dir, counted(table(spark, sf_dir, "documents"), id_col="doc_id"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +102,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_prefix_forest, op3_toxicity, op4_source_mixing, op5_line_dedup, op6_token_counts, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup)
+    found = (op1_chat_format, op2_prefix_forest, op3_toxicity, op4_source_mixing, op5_line_dedup, op6_token_counts, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup, token_counts_plain)
     return {f.__name__: f for f in found}
 
 
