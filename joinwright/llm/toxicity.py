@@ -4,8 +4,10 @@ P(grade > g) = sigmoid(score - threshold_g) with one score, a weighted sum of th
 ascending thresholds. Features are the presence of words, and of beginnings and ends of words, of the model's
 vocabulary.
 
-Labels say toxic or not. Their grades are 0 for texts that are not, and 1 to 3 for toxic ones by terciles of the number of
-different words that are at least ``lift`` times as frequent in toxic texts as in others.
+Labels say toxic or not, so the grades to learn are made from them: 0 for texts that are not toxic, and 1 to 3 for toxic
+ones by terciles of the number of different words that are at least ``lift`` times as frequent in toxic texts as in
+others. The labelled texts are dealt into two halves, and each half's words are judged on the other, so that no text
+takes part in choosing the words that grade it.
 """
 
 from __future__ import annotations
@@ -36,14 +38,12 @@ def features_of(word: str) -> list[str]:
 @dataclass(frozen=True)
 class ToxicityParams:
     """The model is fitted on at most about ``max_docs`` labelled texts, chosen by a hash of the id, half of them toxic
-    where there are enough, and weighted by how many labelled texts each stands for. The vocabulary has at most
-    ``vocabulary`` features, which at least ``min_docs`` of these texts have, those that tell toxic texts from others
-    most, by ``least`` standard errors or more."""
+    where there are enough, and weighted by how many labelled texts each stands for. The vocabulary is all features that
+    at least ``min_docs`` of these texts have and that tell toxic texts from others by ``least`` standard errors or more."""
 
     max_docs: int = 4_000
-    vocabulary: int = 400
     min_docs: int = 4
-    least: float = 2.5
+    least: float = 3.0
     grades: int = 3
     lift: float = 8.0
     steps: int = 600
@@ -111,8 +111,30 @@ def fit_thresholds(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, wi
     return state[:width], state[width] + np.concatenate(([0], np.cumsum(np.exp(state[width + 1 :]))))
 
 
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, half, text): features with the number of texts of each kind and half that have them."""
+    counts: list[Counter] = [Counter() for _ in range(4)]
+
+    def emit() -> pa.RecordBatch:
+        features = sorted(set().union(*counts))
+        made = [pa.array(features, pa.string()), *[pa.array([c[f] for f in features], pa.int64()) for c in counts]]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(made, ["feature", "bad0", "bad1", "good0", "good1"])
+
+    for batch in batches:
+        for toxic, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            words = set(_word.findall(text.as_py().lower()))
+            counts[2 * (not toxic) + half].update({f for w in words for f in features_of(w)})
+            if sum(map(len, counts)) > HELD:
+                yield emit()
+    yield emit()
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
-    """Learns from the labelled rows of ``docs``. Without labelled texts of both kinds every text gets grade 0."""
+    """Learns from the labelled rows of ``docs``. Without labelled texts of both kinds every text gets grade 0. Null ids,
+    texts and labels are left out, equal labels of an id count once and both of contrary ones, repeated rows count as often
+    as they come, and other columns are ignored, whatever their names."""
     labels = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).alias("toxic")).where("id is not null and toxic is not null").distinct()
     counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -121,44 +143,39 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     share = F.when(F.col("toxic"), room[True] / counts[True]).otherwise(room[False] / counts[False])
     chosen = labels.where(F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(1 << 30)) < share * (1 << 30))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                counts: Counter = Counter()
-                for word, n in Counter(_word.findall(text.lower())).items():
-                    for feature in features_of(word):
-                        counts[feature] += n
-                found.append(sorted(counts.items()))
-            made = pa.array([[{"word": w, "n": n} for w, n in x] for x in found], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["toxic", "words"])
-
+    half = (F.pmod(F.xxhash64("id", F.lit(params.seed + 1)), F.lit(2)) == 1).alias("half")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    texts = texts.join(F.broadcast(chosen), "id").select("toxic", "text")  # chosen has at most about max_docs rows
-    sample = materialise(texts.mapInArrow(words, "toxic boolean, words array<struct<word: string, n: long>>"), "toxicity_sample")
-    seen = sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    totals = {r.toxic: r.n for r in seen}
-    if len(totals) < 2:
+    texts = texts.join(F.broadcast(chosen), "id").select("toxic", half, "text")  # chosen has at most about max_docs rows
+    sample = materialise(texts, "toxicity_sample")
+    totals = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    of = {toxic: sum(n for (t, _), n in totals.items() if t == toxic) for toxic in (True, False)}
+    if not of[True] or not of[False]:
         return OrdinalModel({}, np.empty(0), np.empty(0))
-    spread = sample.select("toxic", F.explode("words").alias("x")).groupBy("x.word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
-    spread = spread.where(F.col("bad") + F.col("good") >= params.min_docs)
-    bad, good = (F.col("bad") + 0.5) / (totals[True] + 1), (F.col("good") + 0.5) / (totals[False] + 1)
-    spread = spread.withColumn("lift", bad / good)
-    telling = F.abs(bad - good) / F.sqrt(bad / totals[True] + good / totals[False])
-    top = spread.where(telling >= params.least).orderBy(F.desc(telling), "word").limit(params.vocabulary).collect()
-    vocabulary = {r.word: i for i, r in enumerate(sorted(top, key=lambda r: r.word))}
-    marked = {r.word for r in top if r.lift >= params.lift and "-" not in r.word}
-
-    # At most about max_docs rows of at most `vocabulary` numbers each.
-    shared = sample.sparkSession.sparkContext.broadcast((vocabulary, marked))
+
+    counted = sample.mapInArrow(_count_features, "feature string, bad0 long, bad1 long, good0 long, good1 long")
+    counted = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("bad0", "bad1", "good0", "good1")])
+    counted = materialise(counted.where(F.col("bad0") + F.col("bad1") + F.col("good0") + F.col("good1") >= params.min_docs), "toxicity_features")
+    rate = lambda n, total: (n + 0.5) / (total + 1)
+    bad, good = rate(F.col("bad0") + F.col("bad1"), of[True]), rate(F.col("good0") + F.col("good1"), of[False])
+    telling = F.abs(bad - good) / F.sqrt(bad / of[True] + good / of[False])
+    vocabulary = {r.feature: i for i, r in enumerate(sorted(counted.where(telling >= params.least).select("feature").collect()))}
+    lifted = [rate(F.col(f"bad{h}"), totals.get((True, bool(h)), 0)) / rate(F.col(f"good{h}"), totals.get((False, bool(h)), 0)) >= params.lift for h in (0, 1)]
+    seen = [F.col(f"bad{h}") + F.col(f"good{h}") >= params.min_docs / 2 for h in (0, 1)]
+    whole = ~F.col("feature").contains("-")
+    marks = [{r.feature for r in counted.where(whole & lifted[h] & seen[h]).select("feature").collect()} for h in (0, 1)]
+
+    # At most about max_docs rows of at most the vocabulary's numbers each.
+    shared = sample.sparkSession.sparkContext.broadcast((vocabulary, marks))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, marks = shared.value
+        numbers, marked = shared.value
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            kept = pa.array([[numbers[x["word"]] for x in r if x["word"] in numbers] for r in rows], pa.list_(pa.int32()))
-            rates = [float(sum(x["word"] in marks for x in r)) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), kept, pa.array(rates, pa.float64())], ["toxic", "numbers", "rate"])
+            kept, rates = [], []
+            for half, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+                words = set(_word.findall(text.as_py().lower()))
+                kept.append(sorted({numbers[f] for w in words for f in features_of(w) if f in numbers}))
+                rates.append(float(len(words & marked[not half])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32())), pa.array(rates, pa.float64())], ["toxic", "numbers", "rate"])
 
     data = sample.mapInArrow(reduce, "toxic boolean, numbers array<int>, rate double").collect()
     shared.unpersist()
@@ -169,18 +186,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     _, grades = np.unique(grades, return_inverse=True)
     rows = np.repeat(np.arange(len(data)), [len(r.numbers) for r in data])
     columns = np.array([c for r in data for c in r.numbers], np.int64)
-    stands = np.array([counts[r.toxic] / totals[r.toxic] for r in data])
+    stands = np.array([counts[r.toxic] / of[r.toxic] for r in data])
     weights, thresholds = fit_thresholds(rows, columns, grades, len(vocabulary), stands, params)
     return OrdinalModel(vocabulary, weights, thresholds)
 
 
 def predict_toxicity(docs: DataFrame, model: OrdinalModel, keep_cols: list[str], text_col: str = "text") -> DataFrame:
     """``keep_cols`` with ``severity`` (the expected grade), ``grade`` (the most probable one) and ``toxic`` (grade 1 or
-    more is as probable as 0 or more so), from the whole text. Null and empty texts have no features."""
+    more is as probable as 0 or more so), from the whole text, however long. Null and empty texts have no features; of
+    grades that tie the smaller one is taken; equal texts, so also repeated rows, get equal results; an empty table gives
+    an empty result; kept columns with a result's name give way to it."""
+    keep_cols = [c for c in keep_cols if c not in ("severity", "grade", "toxic")]
     schema = T.StructType([*docs.select(*keep_cols).schema.fields])
     schema = schema.add("severity", "double").add("grade", "integer").add("toxic", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep_cols)])
+    docs = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(str(i)) for i, c in enumerate(keep_cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
