@@ -14,24 +14,26 @@ from joinwright.llm.bpe import BpeCodec
 from joinwright.llm.lang_id import fit_lang_model, predict_languages
 from joinwright.llm.line_dedup import LineDedupParams, dedup_lines
 from joinwright.llm.mixing import MixParams, mix_documents
-from joinwright.llm.near_dedup import NearDupParams, near_duplicates, rows_by_id
-from joinwright.llm.storage import materialise, text_batches
+from joinwright.llm.near_dedup import NearDupParams, near_duplicates
+from joinwright.llm.storage import materialise, rows_by_id, text_batches
 
-#: A text's most probable language must be at least as probable as all others together.
-LEAST_SCORE = 0.5
+#: Of texts with at least so many words, the share of them that the language model must know.
+LEAST_WORDS, LEAST_KNOWN = 5, 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language is unclear."""
+    """Drops documents without a letter (null and empty texts too), and those of several words of which next to none are
+    words of any learned language; short texts whose languages tie stay. Repeated rows go or stay together."""
     text_batches(spark)
     model = fit_lang_model(docs)
-    found = predict_languages(docs, model, docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = predict_languages(docs, model, docs.columns, known_col="__known")
+    strange = (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= LEAST_WORDS) & (F.col("__known") < LEAST_KNOWN)
+    return found.where((F.col("lang_pred") != "und") & ~strange).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least ten documents have stay in the first of them only. Documents that lose all their words go;
-    ``n_chars`` follows the text."""
+    ``n_chars`` follows the text. Repeated rows are one document, so none of their lines is lost."""
     text_batches(spark)
     kept = dedup_lines(docs, LineDedupParams(min_docs=10, min_chars=1, keep="first"), docs.columns)
     left = (F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")
@@ -40,7 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id. Of rows that repeat an id and its
+    text one stays; rows without words, or without an id, stay."""
     text_batches(spark)
     found = materialise(near_duplicates(docs, NearDupParams(shingle=5, percent=80)), "near_duplicates")
     kept = rows_by_id(docs, found.where("not kept"), "doc_id", having=False)
@@ -50,12 +53,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them."""
+    """Documents come as often as the mix takes them; equal ids are taken together. Null sources are a source."""
     return mix_documents(docs, MixParams(weights=(5, 2, 1), cap=3))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, ids, n_tokens``."""
+    """``doc_id, lang, source, ids, n_tokens``; copies next to each other are encoded once. Null texts have no ids."""
     text_batches(spark)
     codec = BpeCodec(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return codec.encode(docs, ["doc_id", "lang", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
@@ -74,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage. The tables between stages stay in the shared folder until ``storage.release``, which the
+    caller may call once the rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
