@@ -13,9 +13,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from joinwright.operators.profile import convert_numeric_columns
 
 
-def read_csv(spark: SparkSession, path: str, coerce: bool = False, exclude: list[str] = ()) -> DataFrame:
-    """All columns as texts, quoted fields over several lines; with ``coerce`` numbers are found from the data."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, coerce: bool = False, exclude: list[str] = (), multi_line: bool = False) -> DataFrame:
+    """All columns as texts; with ``coerce`` numbers are found from the data. ``multi_line``: quoted fields may go on over
+    several lines, and a file is then read by one task, else by several."""
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return convert_numeric_columns(df, exclude) if coerce else df
 
 
@@ -32,7 +33,7 @@ def head_rows(size: int) -> int | None:
 
 
 def read_head(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file whole, or its first rows if it is large."""
+    """A CSV file whole, or its first rows if it is large; those of the file's beginning, which a limit takes first."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     size = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(fs_path).getLength()
     rows, df = head_rows(size), read_csv(spark, path)
@@ -49,9 +50,11 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def replace_entries(log: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries that the new ones share a key with are replaced; nothing is inserted."""
+    """Entries that the new ones share a key with are replaced, by the last of several; nothing is inserted. Which one is
+    the last follows the order of the rows of ``new``, so its files must be read in order."""
     rest = [c for c in log.columns if c not in keys]
-    fresh = new.select(*keys, F.struct(*rest).alias("__new")).dropDuplicates(keys)
+    fresh = new.select(*keys, F.struct(*rest).alias("__new"), F.monotonically_increasing_id().alias("__at"))
+    fresh = fresh.groupBy(*keys).agg(F.max_by("__new", "__at").alias("__new"))
     joined = log.join(fresh, keys, "left")
     return joined.select(*[F.col(c) if c in keys else F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) for c in log.columns])
 
@@ -87,8 +90,10 @@ class RowClient(Protocol):
 
 
 class RowSource(DataSource):
-    """``spark.read.format("joinwright_rows")`` with options ``table_id, max_rows, page`` and a client set by
-    ``register_rows``; pages are read by parallel tasks, failed pages give no rows."""
+    """``spark.read.format("joinwright_rows")`` with options ``table_id, page, max_rows, tasks`` and a client set by
+    ``register_rows``. Without ``max_rows`` the whole table is read: of ``tasks`` tasks each reads every so manieth page
+    until one is not full. A page that fails fails its task, which Spark tries again, so that no table comes back
+    incomplete without a sign; a table that the client doesn't know (``KeyError``) has no rows."""
 
     client: Callable = staticmethod(lambda table_id, offset, limit: [])
 
@@ -103,18 +108,25 @@ class RowSource(DataSource):
 class _RowReader(DataSourceReader):
     def __init__(self, client: Callable, options: Mapping, names: list[str]):
         self.client, self.names, self.table_id = client, names, options["table_id"]
-        self.most, self.page = int(options.get("max_rows", 1000)), int(options.get("page", 1000))
+        self.page, self.tasks = int(options.get("page", 1000)), int(options.get("tasks", 8))
+        self.most = int(options["max_rows"]) if "max_rows" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(0, max(1, self.most), self.page)]
+        return [InputPartition(i) for i in range(self.tasks)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            rows = self.client(self.table_id, partition.value, min(self.page, self.most - partition.value))
-        except Exception:  # noqa: BLE001  a service's failure is an empty page
-            rows = []
-        for row in rows:
-            yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
+        offset = partition.value * self.page
+        while self.most is None or offset < self.most:
+            wanted = self.page if self.most is None else min(self.page, self.most - offset)
+            try:
+                rows = self.client(self.table_id, offset, wanted)
+            except KeyError:  # the service has no such table
+                return
+            for row in rows:
+                yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
+            if len(rows) < wanted:
+                return
+            offset += self.tasks * self.page
 
 
 def register_rows(spark: SparkSession, client: RowClient) -> None:
@@ -150,7 +162,7 @@ class DirectoryProvider:
 
     def load(self, table_id: str) -> DataFrame:
         entry = self.resolve(table_id)
-        return self.spark.read.parquet(f"{self.base}/{entry}") if entry.endswith(".parquet") else read_csv(self.spark, f"{self.base}/{entry}/rows.csv", coerce=True)
+        return self.spark.read.parquet(f"{self.base}/{entry}") if entry.endswith(".parquet") else read_csv(self.spark, f"{self.base}/{entry}/rows.csv", coerce=True, multi_line=True)
 
 
 def clean_table_name(name: str) -> str:

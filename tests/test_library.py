@@ -199,13 +199,19 @@ def test_files(spark, tmp_path):
 
 def test_row_source(spark):
     def client(table_id, offset, limit):
-        if offset == 20:
+        if table_id == "unknown":
+            raise KeyError(table_id)
+        if table_id == "broken" and offset == 20:
             raise OSError("down")
-        return [{"a": i, "b": None} if i % 2 else {"a": i, "b": "x"} for i in range(offset, min(offset + limit, 45))]
+        return [{"a": i, "b": None} if i % 2 else {"a": i, "b": "x"} for i in range(offset, min(offset + limit, 2345))]
 
     tables.register_rows(spark, client)
-    found = spark.read.format("joinwright_rows").schema("a string, b string").option("table_id", "t").option("max_rows", "50").option("page", "10").load()
-    assert {int(r.a) for r in found.collect()} == {*range(20), *range(30, 45)} and found.where("b is null").count() == 17
+    rows = lambda table, **options: spark.read.format("joinwright_rows").schema("a string, b string").options(table_id=table, page="10", **options).load()
+    assert sorted(int(r.a) for r in rows("t").collect()) == [*range(2345)] and rows("t").where("b is null").count() == 1172
+    assert sorted(int(r.a) for r in rows("t", max_rows="55", tasks="3").collect()) == [*range(55)]
+    assert rows("unknown").collect() == []
+    with pytest.raises(Exception, match="down"):
+        rows("broken").collect()
 
 
 def test_metadata(spark, tmp_path):
@@ -281,12 +287,15 @@ def test_separators_and_dates_of_all_rows(spark):
     assert profile.date_columns(frame) == ["late", "m", "order date"]
 
 
-def test_cosines_of_all_rows(spark, data):
+def test_cosines_meet_all_rows(spark, data):
     from joinwright import queries
 
-    whole = queries.queries()["cosine_matrix_whole"](spark, data)
-    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
-    assert {r.a for r in whole.where("a = b").collect()} == ids
+    found = queries.queries()["cosine_matrix"](spark, data)
+    rows = {r.vec_id: r.label for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    asking = {i for i in rows if i % 20 == 0}
+    expected = {(i, j) for i in asking for j in rows if rows[i] == rows[j]}
+    assert {(r.a, r.b) for r in found.collect()} == expected
+
 
 
 def test_augmentation_correlates_all_keys(spark):
