@@ -16,7 +16,11 @@ def folded(text: Column) -> Column:
 
 def edit_ratio(a: Column, b: Column) -> Column:
     """100 * (1 - Levenshtein distance / longer length) of folded texts; 0 if either is empty."""
-    a, b = folded(a), folded(b)
+    return folded_ratio(folded(a), folded(b))
+
+
+def folded_ratio(a: Column, b: Column) -> Column:
+    """``edit_ratio`` of texts that are folded already."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when((F.length(a) > 0) & (F.length(b) > 0), (1 - F.levenshtein(a, b) / longer) * 100).otherwise(0.0)
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinwright.functions.keys import normalize_key, upper_key
-from joinwright.functions.similarity import edit_ratio, folded, weighted_ratio_udf
+from joinwright.functions.similarity import folded, folded_ratio, weighted_ratio_udf
 
 MATCH_RATE, EXPLOSION = 0.1, 2.0
-#: Distinct query keys that may be compared with every candidate key.
-FUZZY_KEYS = 50_000
+#: Longest folded keys that meet by equal segments; the number of segments grows with the length.
+SEGMENT_CHARS = 64
+#: Keys of either side that are compared in one task, and most tasks.
+BLOCK, MOST_TASKS = 500, 4_000
 
 
 def _on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], form) -> Column:
@@ -89,21 +91,88 @@ def lookup_join(df: DataFrame, key: str, values: Mapping[str, Mapping], kinds: M
     return df
 
 
+def _parts(rows: DataFrame, own: str, other: str, mine: Column, theirs: Column) -> DataFrame:
+    """Each row in a part of its own side, once for each part of the other side."""
+    part = F.pmod(F.xxhash64(*rows.columns), mine.cast("long"))
+    return rows.withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), theirs.cast("long") - 1)))
+
+
+def _in_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` next to all rows of ``right``, ``BLOCK`` of either in a task."""
+    a, b = [max(1, -(-side.count() // BLOCK)) for side in (left, right)]
+    n = min(a * b, MOST_TASKS)
+    sides = _parts(left, "part_l", "part_r", F.lit(a), F.lit(b)), _parts(right, "part_r", "part_l", F.lit(b), F.lit(a))
+    left, right = [side.repartition(n, "part_l", "part_r") for side in sides]  # a stated number, which is not coalesced
+    return left.join(right, ["part_l", "part_r"]).drop("part_l", "part_r")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equality join in which a key with more than ``BLOCK`` rows of a side is split into parts."""
+    sides = left.select(*on, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(*on, F.lit(0), F.lit(1)))
+    counts = sides.groupBy(*on).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    large = counts.where((F.col("l") > BLOCK) | (F.col("r") > BLOCK))
+    large = large.select(*on, *[F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).alias(f"parts_{c}") for c in "lr"])
+    parts = {c: F.coalesce(f"parts_{c}", F.lit(1)) for c in "lr"}
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        out = _parts(rows.join(large, on, "left"), f"part_{own}", f"part_{other}", parts[own], parts[other])
+        return out.drop("parts_l", "parts_r")
+
+    keys = [*on, "part_l", "part_r"]
+    return dealt(left, "l", "r").join(dealt(right, "r", "l"), keys).drop(*keys)
+
+
+def _by_segments(candidate: DataFrame, query: DataFrame, least: float) -> DataFrame:
+    """All pairs of keys that may reach the edit ratio, some more than once.
+
+    A query key is cut into one segment more than it may have edits, so one of them is whole in every partner, shifted by
+    no more than the edits left of it; pairs meet by length, number and text of the segment.
+    """
+    share = least / 100
+    query = query.withColumn("lq", F.length("fq"))
+    cut = "cast(floor(lq * {0}D + 1e-9) as int)".format((1 - share) / share)  # most edits with any partner
+    begin, size = "cast(i * lq div (most + 1) as int)", "cast((i + 1) * lq div (most + 1) - i * lq div (most + 1) as int)"
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("most", F.expr(cut)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+        return rows.withColumn("begin", F.expr(begin)).withColumn("size", F.expr(size))
+
+    whole = numbered(query).select("query", "fq", "lq", "i", F.expr("substring(fq, begin + 1, size)").alias("segment"))
+    rows = candidate.withColumn("lc", F.length("fc"))
+    lengths = F.sequence(F.ceil(F.col("lc") * share - 1e-9).cast("int"), F.floor(F.col("lc") / share + 1e-9).cast("int"))
+    rows = numbered(rows.withColumn("lq", F.explode(lengths)))
+    rows = rows.withColumn("edits", F.floor(F.greatest("lc", "lq") * (1 - share) + 1e-9).cast("int"))
+    rows = rows.withColumn("low", F.expr("greatest(0, cast(begin - floor((edits - (lc - lq)) / 2) as int))"))
+    rows = rows.withColumn("high", F.expr("least(lc - size, cast(begin + floor((edits + (lc - lq)) / 2) as int))")).where("low <= high")
+    texts = F.expr("array_distinct(transform(sequence(low, high), x -> substring(fc, x + 1, size)))")
+    return _meet(rows.select("candidate", "fc", "lq", "i", F.explode(texts).alias("segment")), whole, ["lq", "i", "segment"])
+
+
 def fuzzy_map(query_keys: DataFrame, candidate_keys: DataFrame, least: float = 80.0, scorer: str = "edit") -> DataFrame:
-    """``candidate, query, score``: each distinct candidate key's most similar query key, ties to the smaller one.
+    """``candidate, query, score``: each distinct candidate key's most similar query key, ties to the smaller one. Keys
+    without a letter or digit match nothing.
 
-    Equal folded keys meet by an equality join. The others are compared with the distinct query keys, of which there may be
-    ``FUZZY_KEYS`` at most, in blocks that are sent to all tasks.
+    Equal folded keys meet by an equality join. Of the others, those of up to ``SEGMENT_CHARS`` characters meet by equal
+    segments if the edit ratio must be over 50; longer keys, lower ratios and the weighted scorer, which bounds no part of
+    a key, compare the query keys with all candidates in blocks. All ways are exact, for any number of keys.
     """
     query = query_keys.select(F.col(query_keys.columns[0]).cast("string").alias("query")).where("query is not null").distinct()
     candidate = candidate_keys.select(F.col(candidate_keys.columns[0]).cast("string").alias("candidate")).where("candidate is not null").distinct()
-    exact = candidate.join(query, folded(F.col("candidate")) == folded(F.col("query"))).where(F.length(folded(F.col("query"))) > 0)
-    exact = exact.groupBy("candidate").agg(F.min("query").alias("query")).select("candidate", "query", F.lit(100.0).alias("score"))
-    if query.count() > FUZZY_KEYS:
-        raise ValueError(f"more than {FUZZY_KEYS} distinct query keys; filter them first")
+    query = query.withColumn("fq", folded(F.col("query"))).where("fq <> ''")
+    candidate = candidate.withColumn("fc", folded(F.col("candidate"))).where("fc <> ''")
+    exact = candidate.join(query, F.col("fc") == F.col("fq")).groupBy("candidate").agg(F.min("query").alias("query"))
+    exact = exact.select("candidate", "query", F.lit(100.0).alias("score"))
     rest = candidate.join(exact, "candidate", "left_anti")
-    ratio = edit_ratio if scorer == "edit" else weighted_ratio_udf
-    pairs = rest.join(F.broadcast(query)).withColumn("score", ratio(F.col("candidate"), F.col("query"))).where(F.col("score") >= least)
+    if scorer == "edit" and least > 50:
+        longer = SEGMENT_CHARS * least / 100
+        pairs = _in_blocks(rest.where(F.length("fc") > longer), query.where(F.length("fq") > longer))
+        pairs = pairs.where(F.greatest(F.length("fc"), F.length("fq")) > SEGMENT_CHARS)
+        short = [side.where(F.length(c) <= SEGMENT_CHARS) for side, c in ((rest, "fc"), (query, "fq"))]
+        pairs = pairs.unionByName(_by_segments(*short, least).select(*pairs.columns))
+    else:
+        pairs = _in_blocks(rest, query)
+    score = folded_ratio(F.col("fc"), F.col("fq")) if scorer == "edit" else weighted_ratio_udf(F.col("candidate"), F.col("query"))
+    pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
     best = pairs.groupBy("candidate").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("query"))).alias("b"))
     return exact.unionByName(best.select("candidate", "b.query", (-F.col("b.s")).alias("score")))
 

@@ -49,16 +49,18 @@ def similarities(vectors: np.ndarray) -> np.ndarray:
     return found
 
 
-def greedy_cover(vectors: np.ndarray, k: int, least: float = 1e-6) -> list[int]:
+def greedy_cover(vectors: np.ndarray, k: int, least: float = 1e-6, weights: np.ndarray | None = None) -> list[int]:
     """Up to ``k`` rows that together are most similar to all: first the one with the largest sum, then each time the
-    one that raises the sum of best similarities most, until that is below ``least``. Ties go to the first."""
+    one that raises the sum of best similarities most, until that is below ``least``. Ties go to the first. A row with a
+    weight counts as so many rows."""
     if k >= len(vectors):
         return list(range(len(vectors)))
+    weights = np.ones(len(vectors)) if weights is None else weights
     near = similarities(vectors)
-    chosen = [int(near.sum(0).argmax())]
+    chosen = [int((weights @ near).argmax())]
     best = near[:, chosen[0]]
     while len(chosen) < k:
-        gains = np.maximum(near - best[:, None], 0).sum(0)
+        gains = weights @ np.maximum(near - best[:, None], 0)
         gains[chosen] = -1
         i = int(gains.argmax())
         if gains[i] < least:
@@ -68,32 +70,52 @@ def greedy_cover(vectors: np.ndarray, k: int, least: float = 1e-6) -> list[int]:
     return chosen
 
 
-def cover_texts(texts: list[str], k: int, embedder: Embedder = hashed_ngrams, block: int = 512) -> list[str]:
-    """The greedy cover of sorted distinct texts. More than ``block`` are covered block by block, and the blocks'
-    choices anew, so that memory is bounded and every text is looked at."""
-    texts = sorted(set(texts))
-    while len(texts) > block:
-        parts = [texts[i : i + block] for i in range(0, len(texts), block)]
-        texts = [p[i] for p in parts for i in greedy_cover(embedder(p), k)]
-    return [texts[i] for i in greedy_cover(embedder(texts), k)] if texts else []
+def nominate(texts: list[str], weights: list[float], k: int, embedder: Embedder = hashed_ngrams) -> tuple[list[str], list[float]]:
+    """The cover of distinct texts, in the order of the texts, and for each chosen one the weight of the texts that
+    resemble it most."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    texts, held = [texts[i] for i in order], np.array([weights[i] for i in order], float)
+    vectors = embedder(texts)
+    chosen = greedy_cover(vectors, k, weights=held)
+    nearest = similarities(vectors)[:, chosen].argmax(1)
+    nearest[chosen] = range(len(chosen))
+    return [texts[i] for i in chosen], np.bincount(nearest, held, len(chosen)).tolist()
 
 
-def text_subsets(df: DataFrame, keys: list[str], column: str, k: int = 5, salts: int = 16, embedder: Embedder = hashed_ngrams) -> DataFrame:
-    """``keys..., texts``: the cover of each key's distinct texts. Large keys are covered in ``salts`` parts by a hash of
-    the text first, so that no key's texts meet in one task as a whole."""
+def text_subsets(df: DataFrame, keys: list[str], column: str, k: int | None = 5, embedder: Embedder = hashed_ngrams, block: int = 1024) -> DataFrame:
+    """``keys..., texts``: the greedy cover of each key's distinct texts, or all of them without ``k``; null keys are a key.
+
+    Keys of up to ``block`` texts (or 4 ``k``) are covered as a whole. The texts of larger ones are dealt into parts of
+    that size by a hash; each part nominates a sixteenth, or ``k``, and a nominee takes over the weight of the texts that
+    resemble it most, so that a dense cluster counts in full. This repeats until a key's nominees fit.
+    """
     texts = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], F.col(f"`{column}`").cast("string").alias("text"))
-    texts = texts.where("text is not null and trim(text) <> ''").distinct().withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)))
-    names = [f"k{i}" for i in range(len(keys))]
-
-    def cover(table: pa.Table) -> pa.Table:
-        chosen = cover_texts(table.column("text").to_pylist(), k, embedder)
-        first = table.slice(0, 1).select(names)
-        return pa.table({**{c: pa.array(first.column(c).to_pylist() * len(chosen), first.schema.field(c).type) for c in names}, "text": pa.array(chosen, pa.string())})
-
-    schema = T.StructType([*[texts.schema[c] for c in names], T.StructField("text", T.StringType())])
-    parts = texts.groupBy(*names, "salt").applyInArrow(cover, schema)
-    covered = parts.groupBy(*names).applyInArrow(cover, schema)
-    return covered.groupBy(*names).agg(F.sort_array(F.collect_list("text")).alias("texts")).withColumnsRenamed(dict(zip(names, keys)))
+    texts, names = texts.where("text is not null and trim(text) <> ''").distinct(), [f"k{i}" for i in range(len(keys))]
+    listed = lambda rows: rows.groupBy(*names).agg(F.sort_array(F.collect_list("text")).alias("texts")).withColumnsRenamed(dict(zip(names, keys)))
+    if k is None:
+        return listed(texts)
+    block, rows = max(block, 4 * k), texts.withColumn("weight", F.lit(1.0))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+
+    def cover(most: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            chosen, weights = nominate(table.column("text").to_pylist(), table.column("weight").to_pylist(), most, embedder)
+            first = table.slice(0, 1)
+            same = {c: pa.array(first.column(c).to_pylist() * len(chosen), first.schema.field(c).type) for c in names}
+            return pa.table({**same, "text": pa.array(chosen, pa.string()), "weight": pa.array(weights, pa.float64())})
+
+        return run
+
+    while True:
+        large = rows.groupBy(*names).count().where(F.col("count") > block)
+        large = large.select(*[F.col(c).alias(f"of_{c}") for c in names], F.ceil(F.col("count") / block).alias("parts"))
+        if large.isEmpty():
+            break
+        found = rows.join(large, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names], "left")
+        small = found.where("parts is null").select(*names, "text", "weight")
+        dealt = found.where("parts is not null").select(*names, "text", "weight", F.pmod(F.xxhash64("text"), F.col("parts")).alias("part"))
+        rows = small.union(dealt.groupBy(*names, "part").applyInArrow(cover(max(k, block // 16)), schema))
+    return listed(rows.groupBy(*names).applyInArrow(cover(k), schema))
 
 
 Summarizer = Callable[[list[str]], list[str]]

@@ -593,7 +593,7 @@ def greedy_coverage(t: Tables) -> DataFrame:
 
 @query("SELECT p_type, count(DISTINCT p_name) AS n_texts, string_agg(DISTINCT p_name, ' | ' ORDER BY p_name) AS p_name_text FROM part GROUP BY 1")
 def text_join_all(t: Tables) -> DataFrame:
-    found = texts.text_subsets(t.part, ["p_type"], "p_name", 1000)
+    found = texts.text_subsets(t.part, ["p_type"], "p_name", None)
     return found.select("p_type", F.size("texts").cast("long").alias("n_texts"), F.array_join("texts", " | ").alias("p_name_text"))
 
 

@@ -1,6 +1,8 @@
 """Rules that the queries don't reach: odd keys, missing values, files, models, streams."""
 
 import json
+import random
+import re
 
 import numpy as np
 import pytest
@@ -79,6 +81,53 @@ def test_fuzzy_ties_and_blanks(spark):
     assert {(r.candidate, r.query) for r in joins.fuzzy_map(q, c).collect()} == {("alphc", "alpha"), ("ALPHA!", "alpha")}
 
 
+def _nearest(queries, candidates, ratio, least):
+    found = {}
+    for c in candidates:
+        scores = sorted((-s, q) for q in queries if (s := ratio(c, q)) >= least)
+        if scores:
+            found[c] = (scores[0][1], round(-scores[0][0], 6))
+    return found
+
+
+@pytest.mark.parametrize("least", [80.0, 60.0, 51.0, 40.0])
+def test_fuzzy_map_equals_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    rng = random.Random(int(least))
+
+    def edited(text):
+        for _ in range(rng.randrange(len(text) // 3 + 2)):
+            at, what = rng.randrange(len(text) + 1), rng.choice(["", "a", "b", "é", " "])
+            text = text[:at] + what + text[at + rng.randrange(2) :]
+        return text
+
+    queries = ["".join(rng.choices("abc é", k=n)) for n in [*range(1, 22), 40, 63, 66, 80] for _ in range(2)]
+    candidates = sorted({edited(q) for q in queries for _ in range(3)})
+    fold = lambda t: re.sub(r"[\W_]", " ", t).lower().strip(" ")
+
+    def ratio(a, b):
+        a, b = fold(a), fold(b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return (1 - row[-1] / max(len(a), len(b))) * 100 if a and b else 0.0
+
+    frames = [spark.createDataFrame([(k,) for k in keys], "k string") for keys in (queries, candidates)]
+    found = {r.candidate: (r.query, round(r.score, 6)) for r in joins.fuzzy_map(*frames, least).collect()}
+    assert found == _nearest(set(queries), candidates, ratio, least)
+
+
+def test_weighted_fuzzy_map_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    queries = ["new york", "los angeles", "york", "saint paul", "paul"]
+    candidates = ["city of new york", "angeles, los", "yorck", "st paul", "zzz", "PAUL"]
+    frames = [spark.createDataFrame([(k,) for k in keys], "k string") for keys in (queries, candidates)]
+    found = {r.candidate: (r.query, round(r.score, 6)) for r in joins.fuzzy_map(*frames, 60.0, "weighted").collect()}
+    assert found == _nearest(queries, candidates, similarity.weighted_ratio, 60.0)
+
+
 def test_category_vectors_keep_keys_without_categories(spark):
     frame = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None), (None, "x")], "k string, c string")
     found = {r.k: (r.c_vector, r.c_categories) for r in aggregate.aggregate_category_vector(frame, ["k"], "c").collect()}
@@ -93,8 +142,24 @@ def test_greedy_cover():
     chosen = texts.greedy_cover(vectors, 2)
     assert chosen[0] == int(near.sum(0).argmax()) and len(chosen) == 2
     assert texts.greedy_cover(vectors, 9) == [0, 1, 2, 3, 4]
-    assert texts.cover_texts(["b", "a", "b"], 5) == ["a", "b"]
-    assert len(texts.cover_texts([f"text number {i}" for i in range(3000)], 3)) == 3
+    of = np.repeat(np.arange(5), [1, 1, 3, 1, 1])
+    assert texts.greedy_cover(vectors, 2, weights=np.array([1, 1, 3, 1, 1.0])) == of[texts.greedy_cover(vectors[of], 2)].tolist()
+    assert texts.nominate(["b", "a"], [2.0, 3.0], 5) == (["a", "b"], [3.0, 2.0])
+
+
+def test_text_subsets_equal_the_plain_cover_and_keep_dense_clusters(spark):
+    words = ["red apple", "green pear", "blue plum", "old stone wall", "tall pine tree"]
+    rows = [(k, f"{words[i % 5]} {i * k}") for k in (1, 2) for i in range(60)] + [(None, "one"), (None, "two"), (1, " "), (1, None)]
+    frame = spark.createDataFrame(rows, "k int, t string")
+    found = {r.k: r.texts for r in texts.text_subsets(frame, ["k"], "t", 4).collect()}
+    for k in (1, 2):
+        own = sorted({t for x, t in rows if x == k and t and t.strip()})
+        assert found[k] == sorted(own[i] for i in texts.greedy_cover(texts.hashed_ngrams(own), 4))
+    assert found[None] == ["one", "two"]
+    assert [len(r.texts) for r in texts.text_subsets(frame.where("k = 1"), ["k"], "t", None).collect()] == [60]
+    dense = spark.createDataFrame([(1, f"the same long sentence about rivers {i}") for i in range(300)] + [(1, f"{w} {i}") for w in words[:4] for i in range(3)], "k int, t string")
+    assert "rivers" in texts.text_subsets(dense, ["k"], "t", 1, block=32).first().texts[0]
+    assert len(texts.text_subsets(dense, ["k"], "t", 5, block=32).first().texts) == 5
 
 
 def test_pearson_and_distance_correlation(spark):
