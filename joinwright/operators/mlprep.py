@@ -137,6 +137,36 @@ def split_by_hash(df: DataFrame, key: str, share: float = 0.3, seed: int = 42) -
     return df.where(~test), df.where(test)
 
 
+def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42, cells: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with ``share`` of each class in the test part, rounded, by a hash of the key. A class of one row
+    goes to the training part; null is a class. Rows are ranked within ``cells`` ranges of the hash, so that no class meets
+    in one task."""
+    rows = df.withColumn("__u", F.pmod(F.xxhash64(_col(key), F.lit(seed)), F.lit(1 << 40))).withColumn("__cell", F.shiftright("__u", 20) * cells / (1 << 20))
+    rows = rows.withColumn("__cell", F.floor("__cell"))
+    sizes = rows.groupBy(_col(label).alias("__class"), F.col("__cell").alias("__of")).agg(F.count("*").alias("__n"))
+    whole = W.partitionBy("__class")
+    total, upto = F.sum("__n").over(whole), F.sum("__n").over(whole.orderBy("__of"))
+    wanted = F.when(total > 1, F.round(share * total)).otherwise(0)
+    takes = sizes.select("__class", "__of", (wanted - (upto - F.col("__n"))).alias("__take"))
+    found = rows.join(takes, _col(label).eqNullSafe(F.col("__class")) & (F.col("__cell") == F.col("__of")))
+    test = F.row_number().over(W.partitionBy("__class", "__cell").orderBy("__u", _col(key))) <= F.col("__take")
+    found = found.withColumn("__test", test)
+    return tuple(found.where(c).select(*[_col(x) for x in df.columns]) for c in (~F.col("__test"), F.col("__test")))
+
+
+def sample_rows(df: DataFrame, n: int, how: str = "sorted", seed: int = 42) -> DataFrame:
+    """``n`` rows: the first ones by all columns that can be sorted (``sorted``), by a seeded hash of the row, the same on
+    every run (``random``), or any (``head``)."""
+    if how == "head":
+        return df.limit(n)
+    plain = [_col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    if how == "random":
+        return df.orderBy(F.xxhash64(*plain, F.lit(seed)), *plain).limit(n)
+    if how != "sorted":
+        raise ValueError(f"how is sorted, random or head, not {how!r}")
+    return df.orderBy(*plain).limit(n)
+
+
 @dataclass(frozen=True)
 class Preprocessor:
     """Fitted encodings of one or more tables; plain values, so it may be pickled or written as JSON."""

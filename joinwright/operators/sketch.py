@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from joinwright.functions.keys import hash_prefix, normalize_key
+from joinwright.functions.vectors import cosine
+
+from .texts import Embedder, embed, hashed_ngrams
 
 #: Fixed values of the effective size.
 K, K_MIN, RATIO, K_MAX = 512, 256, 0.1, 10_000
@@ -108,3 +111,16 @@ def overlap_statistics(query: DataFrame, key: Column, candidate: DataFrame, tabl
         "column", ratio(F.col("shared"), union).alias("jaccard"), ratio(F.col("shared"), F.col("n_keys")).alias("query_in_candidate"),
         ratio(F.col("shared"), F.col("size")).alias("candidate_in_query"), (F.col("distinct") / F.col("n")).alias("uniqueness"), "missing",
     )
+
+
+def top_overlaps(statistics: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` columns with the largest of the three overlaps, ties by name, without these."""
+    three = ["jaccard", "query_in_candidate", "candidate_in_query"]
+    return statistics.orderBy(F.greatest(*three).desc(), "column").limit(n).drop(*three)
+
+
+def with_name_similarity(statistics: DataFrame, name: str, embedder: Embedder = hashed_ngrams) -> DataFrame:
+    """Adds ``name_similarity``: the cosine of the embeddings of the column's name and ``name``, 0 for an empty one."""
+    own = [float(v) for v in embedder([name])[0]]
+    there = embed(F.col("column"), embedder)
+    return statistics.withColumn("name_similarity", cosine(there, F.array(*[F.lit(v) for v in own])))

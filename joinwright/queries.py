@@ -161,6 +161,36 @@ def exact_overlap_stats(t: Tables) -> DataFrame:
     return found.select("column", *[r6(c).alias(c) for c in ("jaccard", "query_in_candidate", "candidate_in_query", "uniqueness", "missing")])
 
 
+@query("""WITH k AS (SELECT DISTINCT lower(trim(cast(o_custkey AS VARCHAR))) AS v FROM orders), u AS (UNPIVOT (SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name,
+  cast(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer) ON c_custkey, c_name, c_nationkey, c_mktsegment INTO NAME col VALUE v),
+  d AS (SELECT DISTINCT col, lower(trim(v)) AS v FROM u), s AS (SELECT col, count(*) AS size, count(k.v) AS shared FROM d LEFT JOIN k USING (v) GROUP BY 1)
+  SELECT col AS "column", round((SELECT count(DISTINCT v) / count(*) FROM u WHERE u.col = s.col), 6) AS uniqueness, 0.0 AS missing FROM s
+  ORDER BY greatest(shared / (SELECT count(*) FROM k), shared / size) DESC, col LIMIT 3""")
+def overlap_top(t: Tables) -> DataFrame:
+    found = sketch.overlap_statistics(t.orders, F.col("o_custkey"), t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "customer")
+    return sketch.top_overlaps(found, 3).select("column", *[r6(c).alias(c) for c in ("uniqueness", "missing")])
+
+
+@query()
+def column_name_similarity(t: Tables) -> DataFrame:
+    columns = catalog.columns_of(catalog.catalog_of(t.spark, {n: getattr(t, n) for n in ("customer", "supplier", "nation")}))
+    found = sketch.with_name_similarity(columns, "c_nationkey")
+    return found.select("table_id", "column", r6("name_similarity").alias("name_similarity"))
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, cast(CASE WHEN count(*) > 1 THEN round(0.3 * count(*)) ELSE 0 END AS BIGINT) AS n_test FROM orders GROUP BY 1""")
+def stratified_split(t: Tables) -> DataFrame:
+    train, test = mlprep.split_stratified(t.orders, "o_orderpriority", "o_orderkey")
+    both = train.select("o_orderpriority", F.lit(0).alias("test")).union(test.select("o_orderpriority", F.lit(1)))
+    return both.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("test").alias("n_test"))
+
+
+@query("SELECT l_linenumber, l_quantity, l_orderkey FROM lineitem ORDER BY ALL LIMIT 100")
+def sampled_rows(t: Tables) -> DataFrame:
+    """A sampling operator: its limit is the feature."""
+    return mlprep.sample_rows(t.lineitem.select("l_linenumber", "l_quantity", "l_orderkey"), 100)
+
+
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 1))"
 
 

@@ -369,3 +369,25 @@ def test_augmentation_correlates_all_keys(spark):
     found = {r.feature: (r.metric, r.value) for r in augment.correlate(query, choices.Task.of("query", "k", "y"), lake, ["j"]).collect()}
     expected = np.corrcoef(np.arange(1500), np.where(np.arange(1500) < 500, -np.arange(1500), np.arange(1500)))[0, 1]
     assert found["x"] == ("pearson", pytest.approx(expected)) and found["c"][0] == "distance" and found["c"][1] < 0.1
+
+
+def test_stratified_split_and_samples(spark):
+    rows = [(i, "abc"[i % 3] if i < 90 else None) for i in range(100)] + [(100, "single")]
+    frame = spark.createDataFrame(rows, "k long, c string")
+    train, test = mlprep.split_stratified(frame, "c", "k", cells=4)
+    counts = {r.c: r["count"] for r in test.groupBy("c").count().collect()}
+    assert counts == {"a": 9, "b": 9, "c": 9, None: 3}
+    assert sorted(r.k for r in train.union(test).collect()) == list(range(101))
+    assert mlprep.split_stratified(frame.where("k < 0"), "c", "k")[1].count() == 0
+    again = mlprep.split_stratified(frame.repartition(7), "c", "k", cells=4)[1]
+    assert {r.k for r in again.collect()} == {r.k for r in test.collect()}
+    assert [r.k for r in mlprep.sample_rows(frame, 3).collect()] == [0, 1, 2]
+    drawn = [[r.k for r in mlprep.sample_rows(f, 5, "random").collect()] for f in (frame, frame.repartition(5))]
+    assert drawn[0] == drawn[1] and mlprep.sample_rows(frame, 5, "head").count() == 5
+
+
+def test_name_similarity(spark):
+    names = ["customer_id", "customer id", "price", ""]
+    found = {r.column: r.name_similarity for r in sketch.with_name_similarity(spark.createDataFrame([(n,) for n in names], "column string"), "customer_id").collect()}
+    own, other = texts.hashed_ngrams(["customer_id"])[0], texts.hashed_ngrams(["price"])[0]
+    assert found["customer_id"] == pytest.approx(1) and found["price"] == pytest.approx(float(own @ other)) and found[""] == 0
