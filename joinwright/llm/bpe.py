@@ -73,6 +73,12 @@ def split_segments(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]] if text else []
 
 
+def _cut(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes of the ids, cut into lists of these sizes."""
+    held, ends = ids.tobytes(), (ids.itemsize * np.cumsum(sizes)).tolist()
+    return [held[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class ByteBpe:
     """The vocabulary and merges of a tokenizer file; small and constant, so it may be broadcast."""
 
@@ -104,16 +110,29 @@ class ByteBpe:
             self.merges.setdefault(vocabulary[a] << 17 | vocabulary[b], rank << 17 | vocabulary[a + b])
 
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces of up to 64 bytes each, as int32 bytes. All pieces go together, each with one merge a round:
-        of its pairs the one of lowest rank, of equal ones the leftmost."""
+        """The ids of each piece, as int32 bytes."""
         if not pieces:
             return []
+        return _cut(*self.merge_joined(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)))
+
+    def merge_joined(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (int32) of pieces whose bytes follow each other, of the given lengths, and how many ids each has. Those of
+        up to 64 bytes go together, each with one merge a round: of its pairs the one of lowest rank, of equal ones the
+        leftmost."""
         if self.tables is None:
             keys = np.array(sorted(self.merges), np.int64)
             self.tables = keys, np.array([self.merges[k] for k in keys.tolist()], np.int64), np.array(self.single, np.int64)
         keys, values, single = self.tables
-        word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-        ids = single[np.frombuffer(b"".join(pieces), np.uint8)]
+        word, ids = np.repeat(np.arange(len(lengths)), lengths), single[data]
+        done_words, done_ids = [], []
+        if (long := np.flatnonzero(lengths > 64)).size:
+            ends = np.cumsum(lengths)
+            for i in long.tolist():
+                made = self.merge(data[ends[i] - lengths[i] : ends[i]].tobytes())
+                done_words.append(np.full(len(made), i))
+                done_ids.append(np.array(made, np.int64))
+            short = (lengths <= 64)[word]
+            word, ids = word[short], ids[short]
 
         def pairs(at: np.ndarray) -> np.ndarray:
             """The merge of each place with the next one, ``_NONE`` without."""
@@ -122,7 +141,7 @@ class ByteBpe:
             found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             return np.where((keys[found] == key) & (word[after] == word[at]) & (after > at), values[found], _NONE)
 
-        value, done_words, done_ids = pairs(np.arange(len(ids))), [], []
+        value = pairs(np.arange(len(ids)))
         while len(ids):
             begin = np.flatnonzero(np.diff(word, prepend=-1))
             least = np.repeat(np.minimum.reduceat(value, begin), np.diff(np.append(begin, len(word))))
@@ -145,9 +164,7 @@ class ByteBpe:
             value[before] = pairs(before)
         word, ids = np.concatenate(done_words), np.concatenate(done_ids)
         order = np.argsort(word, kind="stable")
-        data = ids[order].astype(np.int32).tobytes()
-        ends = (4 * np.cumsum(np.bincount(word, minlength=len(pieces)))).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+        return ids[order].astype(np.int32), np.bincount(word, minlength=len(lengths))
 
     def merge(self, piece: bytes) -> list[int]:
         """Exact merges, always the one of lowest rank, of equal ones the leftmost."""
@@ -223,26 +240,35 @@ class _Encoder(dict):
         older = self.older
         new = [p for p in parts if p not in self]
         made = {p: older[p] for p in new if p in older}
-        new = [p for p in new if p not in made and 0 < len(p) <= 48 and not p[0].isspace() and not p[-1].isspace()]
-        words = [b" " + p.encode() for p in new]
-        pieces: dict[str, bytes | None] = {}
-        split = []
-        for part, word, known in zip(new, words, self.lexicon.accepts(words).tolist()):
-            if known:
+        new = [p for p in new if p not in made and 0 < len(p) <= 48 and p.strip() == p]
+        if not self.lexicon.empty:
+            words = [b" " + p.encode() for p in new]
+            unseen = []
+            for part, word, known in zip(new, words, self.lexicon.accepts(words).tolist()):
+                if not known:
+                    unseen.append(part)
+                    continue
                 if (out := self.known.get(part)) is None:
                     out = self.known[part] = array("i", self.lexicon.get(word)).tobytes()
                 made[part] = out
-            else:
-                split.append((part, own := split_pieces(" " + part)))
-                pieces.update(dict.fromkeys(own))
-        data = [p.encode() for p in pieces]
-        merged = iter(self.model.merge_all([d for d in data if len(d) <= 64]))
-        pieces = {p: next(merged) if len(d) <= 64 else array("i", self.model.merge(d)).tobytes() for p, d in zip(pieces, data)}
-        for part, own in split:
-            made[part] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+            new = unseen
+        if new:
+            made.update(zip(new, self.merged(" " + " ".join(new))))
         self.update(made)
         self.held += sum(map(len, made)) + sum(map(len, made.values())) + EACH * len(made)
 
+    def merged(self, joined: str) -> list[bytes]:
+        """The ids of parts that each follow a single space. No piece goes on over such a space, so the pieces are those of
+        the joined text, and a part begins with the piece that begins with its space."""
+        pieces = split_pieces(joined)
+        data = np.frombuffer(joined.encode(), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        if len(data) > len(joined):  # from characters to bytes
+            ends = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))[ends]
+        begins = np.append(0, ends[:-1])
+        ids, sizes = self.model.merge_joined(data, ends - begins)
+        return _cut(ids, np.add.reduceat(sizes, np.flatnonzero(data[begins] == 32)))
+
     def segment(self, segment: str) -> bytes:
         ids = self.lexicon.get(segment.encode())
         return array("i", ids).tobytes() if ids is not None else b"".join([self.piece(p) for p in split_pieces(segment)])

@@ -100,6 +100,11 @@ class Lexicon:
         self._targets = np.frombuffer(self._map, np.int32, arcs, 16 + 4 * (states + 1)).astype(np.int64)
         self._ends = np.array(self._final, bool)
 
+    @property
+    def empty(self) -> bool:
+        """Whether no word of at least one byte is an entry."""
+        return not self._arcs
+
     def accepts(self, words: list[bytes]) -> np.ndarray:
         """Which of the words are entries; all walk together, a byte at a time."""
         lengths = np.array([len(w) for w in words], np.int64)
