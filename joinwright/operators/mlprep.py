@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -240,6 +243,29 @@ def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str],
     return Preprocessor(quantile_edges(df, numeric) if numeric else {}, ids, found)
 
 
+def fit_tables(tables: Mapping[str, DataFrame], kinds: Mapping[str, Mapping[str, str]], order: Mapping[str, str], words: int = 10_000) -> dict[str, Preprocessor]:
+    """A preprocessor for each table, by the kinds of its columns (``numerical``, ``categorical``, ``text``); ``order`` names
+    the column by which a table's values appear. Edges and ids are of each column, the vocabulary is of all texts of all
+    tables together."""
+    of = lambda table, kind: [c for c in tables[table].columns if kinds[table].get(c) == kind]
+    columns = [df.select(_col(c).alias("t")) for table, df in tables.items() for c in of(table, "text")]
+    found: dict[str, int] = {}
+    if columns:
+        found = {r.token: r.id for r in vocabulary(reduce(DataFrame.union, columns), "t", size=words).collect()}
+    fitted = {t: fit_preprocessor(df, of(t, "numerical"), of(t, "categorical"), [], order[t]) for t, df in tables.items()}
+    return {t: replace(f, vocabulary=found) for t, f in fitted.items()}
+
+
+def save_preprocessors(spark: SparkSession, fitted: Mapping[str, Preprocessor], path: str) -> None:
+    """One row of JSON for each table."""
+    rows = [(name, json.dumps(asdict(f))) for name, f in fitted.items()]
+    spark.createDataFrame(rows, "table_id string, fitted string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_preprocessors(spark: SparkSession, path: str) -> dict[str, Preprocessor]:
+    return {r.table_id: Preprocessor(**json.loads(r.fitted)) for r in spark.read.parquet(path).collect()}
+
+
 def apply_preprocessor(df: DataFrame, fitted: Preprocessor, text: list[str] = (), length: int = 32) -> DataFrame:
     for c, edges in fitted.edges.items():
         df = df.withColumn(c, bin_column(_col(c), edges))

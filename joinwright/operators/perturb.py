@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -129,5 +130,25 @@ def perturb_table(df: DataFrame, key: str, target: str, how: Perturbation, repla
     return perturb_header(shuffled, replacements) if replacements else shuffled
 
 
+def run_cell(df: DataFrame, key: str, target: str, how: Perturbation, synonyms: Mapping[str, list[str]]) -> tuple[DataFrame, float]:
+    """The table of one cell of the grid: words of its header replaced down to the similarity ``tau``, its values perturbed
+    by ``beta``. Returns the table and the similarity reached. The words of key and target stay."""
+    fixed = {w for c in (key, target) for w in header_words([c])}
+    words = [w for w in header_words(df.columns) if w not in fixed]
+    changed, reached = perturb_tokens(words, synonyms, how.tau, how.seed)
+    return perturb_table(df, key, target, how, changed or None), reached
+
+
+def run_grid(df: DataFrame, key: str, target: str, cells: list[Perturbation], synonyms: Mapping[str, list[str]]) -> Iterator[tuple[Perturbation, DataFrame, float]]:
+    """Each cell with its table and the similarity reached, one after the other, so that a caller may write each."""
+    for how in cells:
+        yield (how, *run_cell(df, key, target, how, synonyms))
+
+
+def header_words(columns: list[str]) -> list[str]:
+    """The whole words of column names, each once."""
+    return list(dict.fromkeys(w for c in columns for w in re.findall(r"\w+", c)))
+
+
 def grid(taus: list[float], betas: list[float], seed: int = 42) -> list[Perturbation]:
     return [Perturbation(t, b, seed) for t in taus for b in betas]

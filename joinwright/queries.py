@@ -695,6 +695,24 @@ def perturbation_grid(t: Tables) -> DataFrame:
     return made.agg(F.count("*").alias("cells"), F.min("beta").cast("decimal(2,1)").alias("low"), F.max("tau").cast("decimal(2,1)").alias("high"))
 
 
+_BETAS = (0.0, 0.5, 1.0)
+
+
+@query(" UNION ALL ".join(f"""SELECT {tau} AS tau, {b} AS beta, {1.0 if tau == 1.0 else 0.0} AS similarity, count(*) AS n_rows, count(DISTINCT p_partkey) AS n_keys, round(sum(p_retailprice), 2) AS target,
+  '{'p_brand' if tau == 1.0 else 'p_label'}' AS brand FROM part""" for tau in (0.0, 1.0) for b in _BETAS))
+def perturbation_cells(t: Tables) -> DataFrame:
+    """Cells that are run: a table keeps its keys and its target's values, and its header loses all known words or none."""
+    source = t.part.select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    synonyms = {"p_size": ["p_extent"], "p_brand": ["p_label"]}
+    found = None
+    for how, df, reached in perturb.run_grid(source, "p_partkey", "p_retailprice", perturb.grid([0.0, 1.0], list(_BETAS)), synonyms):
+        seen = [F.lit(how.tau).alias("tau"), F.lit(how.beta).alias("beta"), F.lit(reached).alias("similarity")]
+        counts = df.agg(F.count("*").alias("n_rows"), F.countDistinct("p_partkey").alias("n_keys"), F.round(F.sum("p_retailprice"), 2).alias("target"))
+        row = counts.select(*seen, "n_rows", "n_keys", "target", F.lit(df.columns[2]).alias("brand"))
+        found = row if found is None else found.union(row)
+    return found
+
+
 @query()
 def metadata_perturbation(t: Tables) -> DataFrame:
     words = ["orders", "price", "customer", "status"]
@@ -745,6 +763,12 @@ def catalog_upsert(t: Tables) -> DataFrame:
     return catalog.upsert(known, whole).select("id", "name", "description")
 
 
+@query("SELECT n_nationkey AS nation_id, n_name AS nation, n_regionkey FROM nation")
+def display_names(t: Tables) -> DataFrame:
+    """A field without a name to display keeps its own."""
+    return catalog.with_display_names(t.nation, {"n_nationkey": "nation_id", "n_name": "nation", "other": "none"})
+
+
 @query(f"SELECT id, 'any' AS rule FROM {_CATALOG} WHERE len(list_filter(columns_name, lambda c: contains(c, 'name') OR contains(c, 'acctbal'))) > 0 UNION ALL SELECT unnest(['customer', 'supplier']), 'all'")
 def catalog_has_columns(t: Tables) -> DataFrame:
     whole = catalog.catalog_of(t.spark, _lake(t))

@@ -32,6 +32,41 @@ def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """Keeps entries under ``<path>/domain=.../table=...``, the table's id with characters other than letters, digits, ``_``
+    and ``-`` as ``_``. Entries kept before are replaced, all others stay."""
+    table = F.regexp_replace("id", r"(?U)[^\w\-]", "_")
+    placed = entries.withColumn("table", table).write.partitionBy("domain", "table")
+    placed.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The entries that ``write_catalog`` keeps there."""
+    kept = spark.read.schema(ENTRY + ", table string").parquet(path)
+    return kept.drop("table")
+
+
+def field_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``id, field, name``: names of fields and those to display, from the same descriptions as ``read_metadata``. Fields
+    that lack one of the two have no row."""
+    raw = spark.read.schema(METADATA).json(paths, multiLine=True).withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    pairs = F.explode(F.arrays_zip(F.col("resource.columns_field_name").alias("field"), F.col("resource.columns_name").alias("name")))
+    found = raw.select(F.coalesce("resource.id", "folder").alias("id"), pairs.alias("x")).select("id", "x.field", "x.name")
+    return found.where("field <> '' and name <> ''")
+
+
+def with_display_names(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Fields renamed to the names to display; those without one, or whose name another column has by then, stay."""
+    taken, renamed = {c.lower() for c in df.columns if c not in names}, []
+    for c in df.columns:
+        new = names.get(c, c)
+        if c in names and new.lower() in taken:
+            new = c
+        taken.add(new.lower())
+        renamed.append(new)
+    return df.toDF(*renamed)
+
+
 def catalog_of(spark: SparkSession, lake: Mapping[str, DataFrame], domain: str = "local") -> DataFrame:
     """Entries for tables at hand, from their schemas alone."""
     rows = []

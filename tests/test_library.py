@@ -292,6 +292,51 @@ def test_metadata(spark, tmp_path):
     assert catalog.upsert(renamed, entries).first().name == "N"
 
 
+def test_catalog_is_kept_by_domain_and_table(spark, tmp_path):
+    kept = lambda *rows: spark.createDataFrame([(i, n, None, None, [], [], [], [], d) for i, n, d in rows], catalog.ENTRY)
+    catalog.write_catalog(kept(("a b", "old", "x.org"), ("c", "C", "x.org"), ("7", "seven", "12"), ("n", "N", None)), f"{tmp_path}/kept")
+    catalog.write_catalog(kept(("a b", "new", "x.org")), f"{tmp_path}/kept")
+    found = catalog.read_catalog(spark, f"{tmp_path}/kept")
+    assert {(r.id, r.name, r.domain) for r in found.collect()} == {("a b", "new", "x.org"), ("c", "C", "x.org"), ("7", "seven", "12"), ("n", "N", None)}
+    assert sorted(found.columns) == sorted(kept().columns)
+
+
+def test_display_names(spark, tmp_path):
+    (tmp_path / "T").mkdir()
+    described = {"resource": {"columns_name": ["School Name", "", "Year", "extra"], "columns_field_name": ["school_name", "b", "year"]}}
+    (tmp_path / "T" / "metadata.json").write_text(json.dumps(described))
+    names = {r.field: r.name for r in catalog.field_names(spark, f"{tmp_path}/*/metadata.json").where("id = 'T'").collect()}
+    assert names == {"school_name": "School Name", "year": "Year"}
+    frame = spark.createDataFrame([(1, 2, 3)], "school_name int, b int, year int")
+    assert catalog.with_display_names(frame, names).columns == ["School Name", "b", "Year"]
+    assert catalog.with_display_names(frame, {"school_name": "B", "year": "b"}).columns == ["school_name", "b", "year"]
+
+
+def test_preprocessors_of_several_tables(spark, tmp_path):
+    lake = {
+        "a": spark.createDataFrame([(i, float(i), "uv"[i % 2], "red fox") for i in range(20)], "i int, x double, c string, t string"),
+        "b": spark.createDataFrame([(0, "red sky"), (1, None)], "i int, s string"),
+        "empty": spark.createDataFrame([], "i int, x double, c string, s string"),
+    }
+    kinds = {"a": {"x": "numerical", "c": "categorical", "t": "text"}, "b": {"s": "text"}, "empty": {"x": "numerical", "c": "categorical", "s": "text"}}
+    fitted = mlprep.fit_tables(lake, kinds, dict.fromkeys(lake, "i"))
+    assert fitted["a"].categories == {"c": {"u": 1, "v": 2}} and len(fitted["a"].edges["x"]) == 11
+    assert fitted["a"].vocabulary == fitted["b"].vocabulary == {"red": 3, "fox": 4} and fitted["empty"].edges == {"x": []}
+    mlprep.save_preprocessors(spark, fitted, f"{tmp_path}/fitted")
+    assert mlprep.load_preprocessors(spark, f"{tmp_path}/fitted") == fitted
+    assert mlprep.apply_preprocessor(lake["b"].where("i = 0"), fitted["b"], ["s"], 4).first().s_ids == [3, 1, 0, 0]
+
+
+def test_cells_of_the_grid_are_run(spark):
+    frame = spark.range(100).selectExpr("id", "cast(id as double) size", "id % 7 colour", "id % 5 y")
+    synonyms = {"size": ["extent"], "colour": ["hue"], "id": ["number"], "y": ["target"]}
+    cells = perturb.grid([0.0, 0.4, 1.0], [0.0, 0.5])
+    found = {(how.tau, how.beta): (df, reached) for how, df, reached in perturb.run_grid(frame, "id", "y", cells, synonyms)}
+    assert found[0.0, 0.5][0].columns == ["id", "extent", "hue", "y"] and found[0.0, 0.5][1] == 0
+    assert found[0.4, 0.0][1] <= 0.4 and found[1.0, 0.5][0].columns == frame.columns
+    assert sorted(found[1.0, 0.0][0].collect()) == sorted(frame.collect()) != sorted(found[1.0, 0.5][0].collect())
+
+
 def test_choices(spark):
     words, domains = choices.search_parameters({"place": "Chicago", "topic": "school grades, all", "time": "skip"})
     assert words == ["school", "grades"] and len(domains) == 1
