@@ -300,6 +300,21 @@ def test_late_code_points_are_those_of_the_library():
             assert [text[a:b] for _, (a, b) in reference.pre_tokenizer.pre_tokenize_str(text)] == bpe.split_pieces(text), hex(c)
 
 
+def test_joined_parts_have_the_ids_of_each_alone():
+    import public_tokenizers
+
+    from joinwright.llm import bpe
+    from joinwright.llm.lexicon import Lexicon, compile_lexicon
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        model = bpe.ByteBpe(file.read())
+    encoder = bpe._Encoder(model, Lexicon(compile_lexicon([])))
+    parts = ["the", "don't", "a\n\nb", "é" * 40, "x" * 70 + ".y", "42nd,", "😀", "'s", "՘z", "中文.", "end"]
+    alone = [[i for p in bpe.split_pieces(" " + part) for i in model.merge(p.encode())] for part in parts]
+    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.merged(" " + " ".join(parts))] == alone
+    assert [np.frombuffer(encoder.merged(" " + p)[0], np.int32).tolist() for p in parts] == alone
+
+
 def test_lexicon_shares_endings_and_is_exact():
     make = random.Random(6)
     entries = {"".join(make.choice("abc") for _ in range(make.randint(1, 8))).encode(): tuple(make.randrange(5) for _ in range(make.randint(0, 4))) for _ in range(500)}
