@@ -395,8 +395,8 @@ class BpeCodec:
         return _placed(docs, F.col(text_col).cast("string"), keep).mapInArrow(self._encoding(schema.names), schema)
 
     def decode(self, encoded: DataFrame, keep: list[str], ids_col: str = "ids", text_col: str = "text", digest: bool = False) -> DataFrame:
-        """The columns ``keep`` and ``text_col``: the text of the ids, special tokens included; null ids are none.
-        With ``digest`` instead of the text: ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
+        """The columns ``keep`` and ``text_col``: the text of the ids, special tokens included. A null list has no ids,
+        and null ids and those that the vocabulary lacks are left out, in the counts and digests too. With ``digest`` instead of the text: ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
         ``decoded_sha256``. Kept columns with these names give way."""
         keep, schema = self._decoded_schema(encoded, keep, text_col, digest)
         return _placed(encoded, F.col(ids_col), keep).mapInArrow(self._decoding(schema.names, digest), schema)
@@ -481,14 +481,17 @@ class BpeCodec:
             decimal = [str(i) for i in range(len(token))] if digest else []
             for batch in batches:
                 offsets = batch.column(0).offsets.to_numpy()
-                values = batch.column(0).values.to_numpy(zero_copy_only=False)
+                values = pc.fill_null(batch.column(0).values, -1).to_numpy(zero_copy_only=False)
+                odd = len(values) > 0 and (values.min() < 0 or values.max() >= len(token))
                 out: list[tuple] = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     ids = values[a:b].tolist()
+                    if odd:
+                        ids = [i for i in ids if 0 <= i < len(token)]
                     text = b"".join([token[i] for i in ids]).decode("utf-8", "replace")
                     if digest:
                         joined = ",".join([decimal[i] for i in ids])
-                        out.append((b - a, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                        out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                     else:
                         out.append((text,))
                 made = [pa.array(x) for x in zip(*out)] if out else [pa.array([], t) for t in ((pa.int64(), pa.string(), pa.string()) if digest else (pa.string(),))]
