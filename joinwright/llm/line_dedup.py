@@ -278,7 +278,7 @@ def _drop(params: LineDedupParams, shards: int, shared, listed: bool, exempt: bo
 
 def drop_frequent_lines(
     docs: DataFrame, state: LineState, params: LineDedupParams = LineDedupParams(), keep_cols: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text",
-    first: DataFrame | None = None, filter_bytes: int = FILTER_BYTES,
+    first: DataFrame | None = None, filter_bytes: int = FILTER_BYTES, inserted: bool = False,
 ) -> DataFrame:
     """``keep_cols`` (default: ``id_col``) with ``n_lines`` (before dropping), ``n_dropped`` and ``kept_text``.
 
@@ -287,9 +287,11 @@ def drop_frequent_lines(
     name give way to it, and an empty table gives an empty result. Very long texts are handled whole, one at a time.
     ``first(key_a, key_b, first)`` names for "first" the documents that keep a key's lines.
 
-    Where all filters together have at most ``filter_bytes``, they are sent to the tasks and no text is shuffled; else the
-    documents' keys are dealt out by shard, each shard (in salted parts) with its filter, those that a filter takes for
-    frequent are joined with the exact counts, and the texts with what is left.
+    The documents' keys are dealt out by shard, each shard (in salted parts) with its filter, those that a filter takes for
+    frequent are joined with the exact counts, and the texts with what is left. If all documents are ``inserted`` in the
+    state, so that it has counted every key of theirs, and all filters together have at most ``filter_bytes``, the filters
+    and the counted keys that they take for frequent by mistake are sent to the tasks instead, and no text is shuffled.
+    Both ways are exact.
     """
     made = {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}
     keep_cols = [c for c in keep_cols or [id_col] if c not in made]
@@ -305,7 +307,7 @@ def drop_frequent_lines(
 
     shared, listed = None, False
     size = state.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if size <= filter_bytes:
+    if inserted and size <= filter_bytes:
         filters = {r.shard: bytes(r.filter) for r in state.filters.collect()}
         sent = spark.sparkContext.broadcast(filters)
 
@@ -348,4 +350,4 @@ def dedup_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams(), ke
     if params.keep == "first":
         first = line_counts(docs, params, text_col, id_col, with_first=True).where(F.col("n_docs") >= params.min_docs).select("key_a", "key_b", "first")
         first = materialise(first, "first_documents")
-    return drop_frequent_lines(docs, state, params, keep_cols, id_col, text_col, first)
+    return drop_frequent_lines(docs, state, params, keep_cols, id_col, text_col, first, inserted=True)
