@@ -162,7 +162,7 @@ def test_line_dedup(spark, docs, texts):
     params = line_dedup.LineDedupParams()
     state = line_dedup.update_lines(None, frame, None, params)
     for size in (line_dedup.FILTER_BYTES, 0):  # where the texts are, and by joins
-        found = line_dedup.drop_frequent_lines(frame, state, params, filter_bytes=size).collect()
+        found = line_dedup.drop_frequent_lines(frame, state, params, filter_bytes=size, inserted=True).collect()
         assert {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found} == expected
     first = line_dedup.dedup_lines(frame.withColumn("doc_id", F.col("doc_id") + 0), line_dedup.LineDedupParams(keep="first")).collect()
     left = collections.Counter(k for r in first for k in {strip(x) for x in r.kept_text.split("\n")} if k in frequent)
@@ -177,7 +177,7 @@ def test_lines_count_documents_and_not_rows(spark):
     params = line_dedup.LineDedupParams()
     state = line_dedup.update_lines(None, frame, None, params)
     for size in (line_dedup.FILTER_BYTES, 0):
-        found = line_dedup.drop_frequent_lines(frame, state, params, ["doc_id", "drop", "0"], filter_bytes=size).collect()
+        found = line_dedup.drop_frequent_lines(frame, state, params, ["doc_id", "drop", "0"], filter_bytes=size, inserted=True).collect()
         assert sorted((r.doc_id, r.n_dropped, r.kept_text) for r in found) == sorted((i, t.lower().count("often"), "\n".join(x for x in t.split("\n") if x.lower() != "often")) for i, t in rows)
         assert {(r.drop, r["0"]) for r in found} == {("mine", "mine")}
     # No line is lost, also where no document has an id.
@@ -199,7 +199,7 @@ def test_line_shards_grow(spark, monkeypatch):
     assert state.shards == 2 and grown.shards == 64 and grown.filters.count() <= 64
     whole = few.union(more)
     for size in (line_dedup.FILTER_BYTES, 0):
-        assert sum(r.n_dropped for r in line_dedup.drop_frequent_lines(whole, grown, params, filter_bytes=size).collect()) == 3 * 200
+        assert sum(r.n_dropped for r in line_dedup.drop_frequent_lines(whole, grown, params, filter_bytes=size, inserted=True).collect()) == 3 * 200
 
 
 def test_line_state_is_reversible(spark):
@@ -218,6 +218,20 @@ def test_line_state_is_reversible(spark):
     assert dropped(gone) == {i: 1 for i in range(12)}
 
 
+def test_no_line_of_other_documents_is_lost_by_mistakes_of_the_filters(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"often\nown {i}") for i in range(12)], "doc_id long, text string")
+    others = spark.createDataFrame([(100 + i, f"Often \nnever seen {i}") for i in range(500)], "doc_id long, text string")
+    params = line_dedup.LineDedupParams()
+    state = line_dedup.update_lines(None, frame, None, params)
+    full = CuckooFilter(64)  # takes every key for one of its own
+    full.slots[:] = 1
+    monkeypatch.setattr(CuckooFilter, "contains", lambda self, a, b: np.ones(len(a), bool))
+    probe = line_dedup._Probe({0: full.to_bytes()}, 1)
+    assert probe(np.zeros(3, np.int64), np.zeros(3, np.int64)).all()
+    found = line_dedup.drop_frequent_lines(others, state, params, ["doc_id"]).collect()
+    assert {(r.doc_id, r.n_dropped, r.kept_text) for r in found} == {(100 + i, 1, f"never seen {i}") for i in range(500)}
+
+
 def test_cuckoo_filter():
     make = np.random.default_rng(2)
     a, b = (make.integers(-(1 << 62), 1 << 62, 5000) for _ in range(2))
@@ -254,6 +268,10 @@ def test_bpe(docs, texts, none):
     ids = reference.encode(held[9000], add_special_tokens=False).ids
     assert (digest.n_tokens, digest.ids_sha256, digest.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(held[9000]))
     assert bpe.BpeCodec(none, path).encode(none, ["doc_id"]).collect() == []
+    odd_ids = odd.sparkSession.createDataFrame([(1, [31373, None, 9_999_999, -5, 0]), (2, None), (3, []), (4, [9_999_999])], "doc_id long, ids array<int>")
+    found = codec.decode(odd_ids, ["doc_id"]).collect()
+    assert {(r.doc_id, r.text) for r in found} == {(1, reference.decode([31373, 0], skip_special_tokens=False)), (2, ""), (3, ""), (4, "")}
+    assert [r.n_tokens for r in codec.decode(odd_ids, ["doc_id"], digest=True).orderBy("doc_id").collect()] == [2, 0, 0, 0]
 
 
 def test_bpe_pieces_and_merges():
