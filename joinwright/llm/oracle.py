@@ -54,10 +54,27 @@ r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 c AS (SELECT x AS doc_id, least(x, min(y)) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
+DIVERGENCE = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 10),
+l AS (SELECT lang, count(*) AS kept, sum(lang_n) AS lang_total FROM v GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+x AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, lang_n::HUGEINT AS lang_n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT x.*, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * kept) AS p, 1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * kept) AS q FROM x JOIN l USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 10"""
+
 SQL = {
     "op1_chat_format": CHAT,
     "op4_source_mixing": MIXING,
     "op5_line_dedup": LINES,
     "token_counts_plain": TOKENS,
     "op10_minhash_near_dedup": NEAR,
+    "op13_source_divergence": DIVERGENCE,
 }
