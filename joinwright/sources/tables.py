@@ -13,9 +13,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from joinwright.operators.profile import convert_numeric_columns
 
 
-def read_csv(spark: SparkSession, path: str, coerce: bool = False, exclude: list[str] = (), multi_line: bool = False) -> DataFrame:
-    """All columns as texts; with ``coerce`` numbers are found from the data. ``multi_line``: quoted fields may go on over
-    several lines, and a file is then read by one task, else by several."""
+def read_csv(spark: SparkSession, path: str, coerce: bool = False, exclude: list[str] = (), multi_line: bool = True) -> DataFrame:
+    """All columns as texts; with ``coerce`` numbers are found from the data. Quoted fields may go on over several lines, for
+    which a file is read by one task; without ``multi_line``, for files known to have no such field, several tasks read it."""
     df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return convert_numeric_columns(df, exclude) if coerce else df
 
