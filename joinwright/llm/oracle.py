@@ -70,11 +70,25 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
 SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
 QUALIFY part = 'pair' OR rank <= 10"""
 
+SEARCH = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY 1),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM d, g),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+u AS (SELECT * FROM p SEMI JOIN q USING (term)),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM u GROUP BY 1), g),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN u USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 20"""
+
 SQL = {
     "op1_chat_format": CHAT,
     "op4_source_mixing": MIXING,
     "op5_line_dedup": LINES,
     "token_counts_plain": TOKENS,
     "op10_minhash_near_dedup": NEAR,
+    "op11_block_max_search": SEARCH,
     "op13_source_divergence": DIVERGENCE,
 }

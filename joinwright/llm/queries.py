@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import ForestParams, nearest
+from .block_index import search
 from .bpe import BpeCodec
 from .chat import digest_chats, format_chats
 from .divergence import AuditParams, source_divergence
 from .fingerprint import compare_neighbours
 from .lang_id import fit_lang_model, held_out, predict_languages
+from .licenses import scan_licenses, summarise
 from .line_dedup import LineDedupParams, dedup_lines
 from .mixing import MixParams, mix_table
 from .near_dedup import NearDupParams, near_duplicates
@@ -102,12 +104,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupParams(shingle=3, percent=85))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise(scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"), AuditParams(min_docs=10, top=10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_prefix_forest, op3_toxicity, op4_source_mixing, op5_line_dedup, op6_token_counts, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup, op13_source_divergence, token_counts_plain)
+    found = (op1_chat_format, op2_prefix_forest, op3_toxicity, op4_source_mixing, op5_line_dedup, op6_token_counts, op7_language_id, op8_bpe_codec, op9_weighted_fingerprints, op10_minhash_near_dedup, op11_block_max_search, op12_license_scan, op13_source_divergence, token_counts_plain)
     return {f.__name__: f for f in found}
 
 
