@@ -140,11 +140,20 @@ def split_by_hash(df: DataFrame, key: str, share: float = 0.3, seed: int = 42) -
     return df.where(~test), df.where(test)
 
 
+def _sortable(f: T.StructField) -> Column:
+    """The column as a value that can be hashed and sorted; maps and variants as JSON."""
+    loose = any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    return F.to_json(F.struct(_col(f.name))) if loose else _col(f.name)
+
+
 def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42, cells: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows with ``share`` of each class in the test part, rounded, by a hash of the key. A class of one row
-    goes to the training part; null is a class. Rows are ranked within ``cells`` ranges of the hash, so that no class meets
-    in one task."""
-    rows = df.withColumn("__u", F.pmod(F.xxhash64(_col(key), F.lit(seed)), F.lit(1 << 40))).withColumn("__cell", F.shiftright("__u", 20) * cells / (1 << 20))
+    """Train and test rows with ``share`` of each class in the test part, rounded, by a hash of the key and the rest of the
+    row. A class of one row goes to the training part; null is a class. Rows are ranked within ``cells`` ranges of the hash,
+    so that no class and no repeated key meets in one task. Rows of equal hashes are ordered by all their columns, so only
+    equal rows tie, and train and test are parts of the same ranking however often it is made; columns of user-defined
+    types are not looked at, so where there are some the key must tell rows apart."""
+    told = [_sortable(f) for f in df.schema if not isinstance(f.dataType, T.UserDefinedType)]
+    rows = df.withColumn("__u", F.pmod(F.xxhash64(_col(key), *told, F.lit(seed)), F.lit(1 << 40))).withColumn("__cell", F.shiftright("__u", 20) * cells / (1 << 20))
     rows = rows.withColumn("__cell", F.floor("__cell"))
     sizes = rows.groupBy(_col(label).alias("__class"), F.col("__cell").alias("__of")).agg(F.count("*").alias("__n"))
     whole = W.partitionBy("__class")
@@ -152,7 +161,7 @@ def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, se
     wanted = F.when(total > 1, F.round(share * total)).otherwise(0)
     takes = sizes.select("__class", "__of", (wanted - (upto - F.col("__n"))).alias("__take"))
     found = rows.join(takes, _col(label).eqNullSafe(F.col("__class")) & (F.col("__cell") == F.col("__of")))
-    test = F.row_number().over(W.partitionBy("__class", "__cell").orderBy("__u", _col(key))) <= F.col("__take")
+    test = F.row_number().over(W.partitionBy("__class", "__cell").orderBy("__u", _col(key), *told)) <= F.col("__take")
     found = found.withColumn("__test", test)
     return tuple(found.where(c).select(*[_col(x) for x in df.columns]) for c in (~F.col("__test"), F.col("__test")))
 

@@ -51,12 +51,17 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, carry: l
 
 def evaluate(df: DataFrame, target: str, features: list[str], task: str = "regression", key: str | None = None, position: str | None = None) -> Metrics:
     """Trains on 70 % of the rows and scores the others. The rows are split by a permutation of ``position`` where given,
-    and else by a hash of ``key`` or of the whole row."""
+    and else by a hash of ``key`` or of the whole row; for classification each class is."""
     carried = df.withColumn("__split", F.col(position) if position else F.xxhash64(key) if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
     rows, names = prepare(carried, target, features, task, ["__split"])
     rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows).select("x", "label", "__split").persist()
     try:
-        train, test = mlprep.split_by_position(rows, "__split") if position else mlprep.split_by_hash(rows, "__split")
+        if position:
+            train, test = mlprep.split_by_position(rows, "__split")
+        elif task == "regression":
+            train, test = mlprep.split_by_hash(rows, "__split")
+        else:
+            train, test = mlprep.split_stratified(rows, "label", "__split")
         if task == "regression":
             model = LinearRegression(featuresCol="x", solver="normal").fit(train)
             found = model.transform(test)

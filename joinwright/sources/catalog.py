@@ -34,8 +34,9 @@ def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def write_catalog(entries: DataFrame, path: str) -> None:
     """Keeps entries under ``<path>/domain=.../table=...``, the table's id with characters other than letters, digits, ``_``
-    and ``-`` as ``_``. Entries kept before are replaced, all others stay."""
-    table = F.regexp_replace("id", r"(?U)[^\w\-]", "_")
+    and ``-`` as ``_``, and the start of its hash, as different ids may become equal. Entries kept before are replaced, all
+    others stay."""
+    table = F.concat_ws("-", F.regexp_replace("id", r"(?U)[^\w\-]", "_"), F.substring(F.sha2("id", 256), 1, 16))
     placed = entries.withColumn("table", table).write.partitionBy("domain", "table")
     placed.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
@@ -56,15 +57,21 @@ def field_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def with_display_names(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Fields renamed to the names to display; those without one, or whose name another column has by then, stay."""
-    taken, renamed = {c.lower() for c in df.columns if c not in names}, []
-    for c in df.columns:
-        new = names.get(c, c)
-        if c in names and new.lower() in taken:
-            new = c
-        taken.add(new.lower())
-        renamed.append(new)
-    return df.toDF(*renamed)
+    """Fields renamed to the names to display; those without one stay, and so do those whose name another column keeps or an
+    earlier one got. A field that stays may take its name from others, which then stay, too."""
+    renamed = [names.get(c, c) for c in df.columns]
+    while True:
+        kept = {c.lower() for c, new in zip(df.columns, renamed) if new == c}
+        taken, changed = set(kept), False
+        for i, (c, new) in enumerate(zip(df.columns, renamed)):
+            if new == c:
+                continue
+            if new.lower() in taken:
+                renamed[i], changed = c, True
+            else:
+                taken.add(new.lower())
+        if not changed:
+            return df.toDF(*renamed)
 
 
 def catalog_of(spark: SparkSession, lake: Mapping[str, DataFrame], domain: str = "local") -> DataFrame:

@@ -92,7 +92,7 @@ class RowClient(Protocol):
 class RowSource(DataSource):
     """``spark.read.format("joinwright_rows")`` with options ``table_id, page, max_rows, tasks`` and a client set by
     ``register_rows``. Without ``max_rows`` the whole table is read: of ``tasks`` tasks each reads every so manieth page
-    until one is not full. A page that fails fails its task, which Spark tries again, so that no table comes back
+    until nothing is left; a service that gives fewer rows than asked for is asked again from the rows received. A page that fails fails its task, which Spark tries again, so that no table comes back
     incomplete without a sign; a table that the client doesn't know (``KeyError``) has no rows."""
 
     client: Callable = staticmethod(lambda table_id, offset, limit: [])
@@ -117,15 +117,18 @@ class _RowReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         offset = partition.value * self.page
         while self.most is None or offset < self.most:
-            wanted = self.page if self.most is None else min(self.page, self.most - offset)
-            try:
-                rows = self.client(self.table_id, offset, wanted)
-            except KeyError:  # the service has no such table
-                return
-            for row in rows:
-                yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
-            if len(rows) < wanted:
-                return
+            end = offset + self.page if self.most is None else min(offset + self.page, self.most)
+            at = offset
+            while at < end:
+                try:
+                    rows = self.client(self.table_id, at, end - at)[: end - at]
+                except KeyError:  # the service has no such table
+                    return
+                if not rows:
+                    return
+                for row in rows:
+                    yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
+                at += len(rows)
             offset += self.tasks * self.page
 
 

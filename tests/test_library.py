@@ -1,5 +1,6 @@
 """Rules that the queries don't reach: odd keys, missing values, files, models, streams."""
 
+import collections
 import json
 import random
 import re
@@ -279,6 +280,13 @@ def test_row_source(spark):
         rows("broken").collect()
 
 
+def test_row_source_of_a_service_that_caps_its_pages(spark):
+    tables.register_rows(spark, lambda table_id, offset, limit: [{"a": i} for i in range(offset, min(offset + min(limit, 100), 5000))])
+    rows = lambda **options: [int(r.a) for r in spark.read.format("joinwright_rows").schema("a string").options(table_id="t", **options).load().collect()]
+    assert sorted(rows(page="2000")) == sorted(rows(page="130", tasks="3")) == [*range(5000)]
+    assert sorted(rows(page="250", tasks="2", max_rows="777")) == [*range(777)]
+
+
 def test_metadata(spark, tmp_path):
     folder = tmp_path / "Demo"
     folder.mkdir()
@@ -298,6 +306,9 @@ def test_catalog_is_kept_by_domain_and_table(spark, tmp_path):
     catalog.write_catalog(kept(("a b", "new", "x.org")), f"{tmp_path}/kept")
     found = catalog.read_catalog(spark, f"{tmp_path}/kept")
     assert {(r.id, r.name, r.domain) for r in found.collect()} == {("a b", "new", "x.org"), ("c", "C", "x.org"), ("7", "seven", "12"), ("n", "N", None)}
+    catalog.write_catalog(kept(("p q", "one", "y.org"), ("p_q", "two", "y.org"), ("p/q", "three", "y.org")), f"{tmp_path}/alike")
+    catalog.write_catalog(kept(("p_q", "new", "y.org")), f"{tmp_path}/alike")
+    assert {(r.id, r.name) for r in catalog.read_catalog(spark, f"{tmp_path}/alike").collect()} == {("p q", "one"), ("p_q", "new"), ("p/q", "three")}
     assert sorted(found.columns) == sorted(kept().columns)
 
 
@@ -310,6 +321,9 @@ def test_display_names(spark, tmp_path):
     frame = spark.createDataFrame([(1, 2, 3)], "school_name int, b int, year int")
     assert catalog.with_display_names(frame, names).columns == ["School Name", "b", "Year"]
     assert catalog.with_display_names(frame, {"school_name": "B", "year": "b"}).columns == ["school_name", "b", "year"]
+    chain = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    for renames, expected in (({"a": "b", "b": "c"}, "abc"), ({"a": "b", "b": "a"}, "bac"), ({"a": "b", "b": "d"}, "bdc"), ({"a": "d", "b": "d"}, "dbc"), ({"a": "c", "b": "a"}, "abc")):
+        assert catalog.with_display_names(chain, renames).columns == [*expected]
 
 
 def test_preprocessors_of_several_tables(spark, tmp_path):
@@ -426,6 +440,11 @@ def test_stratified_split_and_samples(spark):
     assert mlprep.split_stratified(frame.where("k < 0"), "c", "k")[1].count() == 0
     again = mlprep.split_stratified(frame.repartition(7), "c", "k", cells=4)[1]
     assert {r.k for r in again.collect()} == {r.k for r in test.collect()}
+    one_key = spark.range(8000).selectExpr("1L k", "'x' c", "id % 4000 v", "map('m', id % 7) m")
+    train, test = (collections.Counter(r.v for r in part.collect()) for part in mlprep.split_stratified(one_key, "c", "k"))
+    assert test.total() == 2400 and train + test == collections.Counter(dict.fromkeys(range(4000), 2))
+    moved = collections.Counter(r.v for r in mlprep.split_stratified(one_key.repartition(5, "v"), "c", "k")[1].collect())
+    assert moved == test
     assert [r.k for r in mlprep.sample_rows(frame, 3).collect()] == [0, 1, 2]
     drawn = [[r.k for r in mlprep.sample_rows(f, 5, "random").collect()] for f in (frame, frame.repartition(5))]
     assert drawn[0] == drawn[1] and mlprep.sample_rows(frame, 5, "head").count() == 5
