@@ -17,6 +17,7 @@ from joinwright.functions.keys import parse_number
 from joinwright.functions.text import text_tokens
 
 from .profile import NUMERIC, _col, is_numeric, null_counts
+from .quantiles import exact_quantiles
 
 #: Rows that ``numbered`` looks at to cut the order into ranges, and the number of ranges.
 SAMPLE, RANGES = 4096, 64
@@ -191,8 +192,7 @@ class Preprocessor:
 def quantile_edges(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, list[float]]:
     """Distinct exact quantiles of each column."""
     points = [i / bins for i in range(bins + 1)]
-    row = df.agg(*[F.percentile(_col(c), points).alias(str(i)) for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[i] or ())) for i, c in enumerate(columns)}
+    return {c: sorted(set(found)) for c, found in exact_quantiles(df, columns, points).items()}
 
 
 def bin_column(value: Column, edges: list[float]) -> Column:

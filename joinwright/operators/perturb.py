@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from joinwright.functions.text import replace_words
 
 from .profile import _col, numeric_columns
+from .quantiles import exact_quantiles
 
 
 def uniform(seed: int, *values: Column) -> Column:
@@ -41,10 +42,11 @@ def freedman_diaconis(df: DataFrame, column: str) -> dict[str, float]:
     """Number of bins, least value and width; one bin where the values are all equal, and the square root of their number
     of bins where the quartiles are equal."""
     c = _col(column)
-    row = df.agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("n"), F.percentile(c, [0.25, 0.75]).alias("q")).first()
+    row = df.agg(F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("n")).first()
     if not row.n or row.low == row.high:
         return {"bins": 1, "low": row.low, "width": 1.0}
-    spread = row.q[1] - row.q[0]
+    lower, upper = exact_quantiles(df, [column], [0.25, 0.75])[column]
+    spread = upper - lower
     width = 2 * spread * row.n ** (-1 / 3) if spread else (row.high - row.low) / math.ceil(math.sqrt(row.n))
     bins = math.ceil((row.high - row.low) / width)
     return {"bins": bins, "low": row.low, "width": (row.high - row.low) / bins}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joinwright.functions import keys, similarity, text
-from joinwright.operators import aggregate, assoc, joins, mlprep, perturb, profile, sketch, texts
+from joinwright.operators import aggregate, assoc, joins, mlprep, perturb, profile, quantiles, sketch, texts
 from joinwright.plans import augment, choices, evaluate
 from joinwright.sources import catalog, tables
 from joinwright.streaming import sketches
@@ -455,3 +455,22 @@ def test_name_similarity(spark):
     found = {r.column: r.name_similarity for r in sketch.with_name_similarity(spark.createDataFrame([(n,) for n in names], "column string"), "customer_id").collect()}
     own, other = texts.hashed_ngrams(["customer_id"])[0], texts.hashed_ngrams(["price"])[0]
     assert found["customer_id"] == pytest.approx(1) and found["price"] == pytest.approx(float(own @ other)) and found[""] == 0
+
+
+def test_quantiles_are_those_of_all_values(spark):
+    make = random.Random(8)
+    special = [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, float("inf"), float("-inf"), 2.0**53, 0.1, None]
+    rows = [(make.gauss(0, 1), make.randint(-3, 3), make.choice(special), 10**12 + i, None, 7.5) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "a double, `b.c` int, s double, big long, none double, same double").repartition(5)
+    points = [i / 10 for i in range(11)] + [0.123]
+    columns = ["a", "b.c", "s", "big", "none", "same"]
+    expected = frame.agg(*[F.percentile(F.col(f"`{c}`"), points).alias(str(i)) for i, c in enumerate(columns)]).first()
+    found = quantiles.exact_quantiles(frame, columns, points)
+    for i, c in enumerate(columns):
+        assert [x for x in found[c] if x == x] == [x for x in expected[i] or [] if x == x] and len(found[c]) == len(expected[i] or [])
+    ranks = [0, 1, 1499, 2999]
+    assert list(quantiles.select_ranks(frame, {"a": ranks})["a"].values()) == [sorted(r[0] for r in rows)[i] for i in ranks]
+    assert quantiles.exact_quantiles(frame.where("same < 0"), ["a"], [0.5]) == {"a": []} and quantiles.exact_quantiles(frame, [], [0.5]) == {}
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (-2.0,)], "x double")
+    found = quantiles.exact_quantiles(nan, ["x"], [0.0, 0.5, 1.0])["x"]
+    assert found[:2] == [-2.0, 1.0] and found[2] != found[2]
