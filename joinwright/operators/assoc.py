@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from joinwright.functions import vectors
 
+from .distance import distance_correlation_of_numbers
 from .joins import join_nullsafe
 from .profile import is_numeric
 from .texts import Embedder, embed, hashed_ngrams
 
-#: Complete rows up to which a distance correlation is exact by blocks of rows against all.
+#: Complete rows up to which a distance correlation of vectors is exact by blocks of rows against all.
 PAIRWISE_ROWS = 20_000
 
 
@@ -55,9 +56,14 @@ def _as_array(df: DataFrame, name: str) -> Column:
 
 def distance_correlation(df: DataFrame, x: str, y: str, most: int = PAIRWISE_ROWS) -> DataFrame:
     """One row ``value``: the distance correlation of two numeric or vector columns over the rows that have both, 0 where
-    a variance is 0, NaN under two rows. It needs every pair of rows, so more than ``most`` rows are refused: the
-    pipeline calls it on the few hundred keys of a query. Blocks of rows meet all rows in parallel tasks.
+    a variance is 0, NaN under two rows. Two numbers need no pairs of rows. With a vector every pair is needed, so more than
+    ``most`` rows are refused: the pipeline calls it on the few hundred keys of a query. Blocks of rows meet all rows in
+    parallel tasks.
     """
+    if not any(isinstance(df.schema[c].dataType, T.ArrayType) for c in (x, y)):
+        numbers = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y"))
+        value = distance_correlation_of_numbers(numbers.where("x is not null and y is not null and not isnan(x) and not isnan(y)"))
+        return df.sparkSession.createDataFrame([(value,)], "value double")
     whole = lambda a: F.size(a) > 0
     finite = lambda a: F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v))
     rows = df.select(_as_array(df, x).alias("x"), _as_array(df, y).alias("y")).where("x is not null and y is not null")

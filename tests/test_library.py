@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joinwright.functions import keys, similarity, text
-from joinwright.operators import aggregate, assoc, joins, mlprep, perturb, profile, quantiles, sketch, texts
+from joinwright.operators import aggregate, assoc, distance, joins, mlprep, perturb, profile, quantiles, sketch, texts
 from joinwright.plans import augment, choices, evaluate
 from joinwright.sources import catalog, tables
 from joinwright.streaming import sketches
@@ -170,7 +170,7 @@ def test_pearson_and_distance_correlation(spark):
     assert assoc.distance_correlation(frame, "x", "y").first().value == pytest.approx(1)
     assert np.isnan(assoc.distance_correlation(frame, "x", "z").first().value)
     with pytest.raises(ValueError):
-        assoc.distance_correlation(spark.range(50).selectExpr("id x", "id y"), "x", "y", most=10)
+        assoc.distance_correlation(spark.range(50).selectExpr("array(id) x", "id y"), "x", "y", most=10)
 
 
 def test_column_classes_and_coercion(spark):
@@ -474,3 +474,27 @@ def test_quantiles_are_those_of_all_values(spark):
     nan = spark.createDataFrame([(float("nan"),), (1.0,), (-2.0,)], "x double")
     found = quantiles.exact_quantiles(nan, ["x"], [0.0, 0.5, 1.0])["x"]
     assert found[:2] == [-2.0, 1.0] and found[2] != found[2]
+
+
+@pytest.mark.parametrize("strip", [7, 60, 10_000])
+def test_distance_correlation_of_numbers_is_that_of_all_pairs(spark, strip):
+    make = np.random.RandomState(4)
+    normal, few = make.randn(400), make.randint(0, 4, 400)
+    hot = np.where(make.rand(400) < 0.4, 1.5, normal)
+    for x, y in ((normal, normal**2 + make.randn(400)), (few, hot), (hot, make.randint(0, 2, 400)), (normal + 1e6, -normal), (few, few)):
+        a, b = (np.abs(np.subtract.outer(v, v)).astype(float) for v in (x, y))
+        a, b = (d - d.mean(0) - d.mean(1)[:, None] + d.mean() for d in (a, b))
+        expected = np.sqrt(max(0, (a * b).sum()) / np.sqrt((a * a).sum() * (b * b).sum()))
+        frame = spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y)], "x double, y double").repartition(3)
+        assert distance.distance_correlation_of_numbers(frame, strip) == pytest.approx(expected, abs=1e-9)
+
+
+def test_rising_sums_are_those_of_all_lower_points():
+    make = np.random.RandomState(6)
+    for n in (1, 2, 3, 17, 64, 101):
+        x, y, rows = make.permutation(n), make.randint(0, 5, n), make.rand(n, 2)
+        lower = (x[None, :] < x[:, None]) & (y[None, :] < y[:, None])
+        assert np.allclose(distance.rising(x, y, rows, strict=True), lower @ rows)
+        once = make.permutation(n)
+        lower = (x[None, :] < x[:, None]) & (once[None, :] < once[:, None])
+        assert np.allclose(distance.rising(x, once, rows), lower @ rows)
