@@ -178,11 +178,14 @@ def column_name_similarity(t: Tables) -> DataFrame:
     return found.select("table_id", "column", r6("name_similarity").alias("name_similarity"))
 
 
-@query("""SELECT o_orderpriority, count(*) AS n, cast(CASE WHEN count(*) > 1 THEN round(0.3 * count(*)) ELSE 0 END AS BIGINT) AS n_test FROM orders GROUP BY 1""")
+@query("""SELECT l_returnflag, count(*) AS n, cast(CASE WHEN count(*) > 1 THEN round(0.3 * count(*)) ELSE 0 END AS BIGINT) AS n_test,
+  count(DISTINCT l_orderkey * 10 + l_linenumber) AS n_rows, cast(sum(l_orderkey * 10 + l_linenumber) AS BIGINT) AS row_sum FROM lineitem GROUP BY 1""")
 def stratified_split(t: Tables) -> DataFrame:
-    train, test = mlprep.split_stratified(t.orders, "o_orderpriority", "o_orderkey")
-    both = train.select("o_orderpriority", F.lit(0).alias("test")).union(test.select("o_orderpriority", F.lit(1)))
-    return both.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("test").alias("n_test"))
+    """Several lines have the same key; a line in both parts or in neither changes the number and the sum of the rows."""
+    lines = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+    train, test = mlprep.split_stratified(lines, "l_returnflag", "l_orderkey")
+    both = train.withColumn("test", F.lit(0)).union(test.withColumn("test", F.lit(1))).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return both.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("test").alias("n_test"), F.countDistinct("row").alias("n_rows"), F.sum("row").alias("row_sum"))
 
 
 @query("SELECT l_linenumber, l_quantity, l_orderkey FROM lineitem ORDER BY ALL LIMIT 100")
@@ -627,9 +630,10 @@ def text_join_all(t: Tables) -> DataFrame:
     return found.select("p_type", F.size("texts").cast("long").alias("n_texts"), F.array_join("texts", " | ").alias("p_name_text"))
 
 
-@query("SELECT doc_id, regexp_extract(text, '^(?s:(.*?[.!?]))(?:\\s|$)', 1) AS text_summary FROM (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS text FROM documents WHERE text LIKE '%. %')")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[.!?]\s') THEN regexp_extract(text, '^(?s:(.*?[.!?]))\s', 1) ELSE text END AS text_summary
+  FROM (SELECT doc_id, trim(replace(coalesce(text, ''), chr(10), ' ')) AS text FROM documents)""")
 def summaries(t: Tables) -> DataFrame:
-    flat = t.documents.where("text like '%. %'").select("doc_id", F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
+    flat = t.documents.select("doc_id", F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
     return texts.summarize(flat, "text").select("doc_id", "text_summary")
 
 
@@ -812,9 +816,9 @@ def split_design(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([("orders", list(d.keys), list(d.feature_columns), list(d.label_columns))], "table_id string, keys array<string>, feature_columns array<string>, label_columns array<string>")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey < 20 THEN 'segment ' || c_custkey % 3 END AS guess FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey IN (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 500) THEN 'segment ' || c_custkey % 3 END AS guess FROM customer")
 def generated_values(t: Tables) -> DataFrame:
-    return choices.generate_values(t.customer.select("c_custkey"), "c_custkey", ["guess"], lambda column, ks: {k: f"segment {k % 3}" for k in ks}, 20)
+    return choices.generate_values(t.customer.select("c_custkey"), "c_custkey", ["guess"], lambda column, ks: {k: f"segment {k % 3}" for k in ks})
 
 
 def _query_table(t: Tables) -> DataFrame:
