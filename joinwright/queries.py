@@ -665,9 +665,15 @@ def text_embeddings(t: Tables) -> DataFrame:
 
 
 # Perturbation
-@query()
+_U = "(('0x'||substr(md5('{0}:'||p_partkey), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+_GAUSS = lambda seed: f"sqrt(-2 * ln({_U.format(seed)})) * cos(2 * pi() * {_U.format(seed + 1)})"
+
+
+@query(f"""WITH s AS (SELECT stddev_samp(p_size) AS a, stddev_samp(p_retailprice) AS b FROM part)
+  SELECT p_partkey, p_name, p_brand, p_type, round(p_size + 0.1 * a * {_GAUSS(42)}, 6) AS p_size, round(p_retailprice + 0.1 * b * {_GAUSS(44)}, 6) AS p_retailprice FROM part, s""")
 def noise(t: Tables) -> DataFrame:
-    return perturb.add_noise(t.part, "p_partkey", 0.1, ["p_size", "p_retailprice"])
+    noisy = perturb.add_noise(t.part, "p_partkey", 0.1, ["p_size", "p_retailprice"])
+    return noisy.withColumns({c: r6(c) for c in ("p_size", "p_retailprice")})
 
 
 @query("""WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem),
@@ -677,9 +683,6 @@ def fd_bins(t: Tables) -> DataFrame:
     return perturb.add_bins(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice"])
 
 
-_U = "(('0x'||substr(md5('{0}:'||p_partkey), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
-
-
 @query(f"""WITH c AS (SELECT p_partkey, row_number() OVER (ORDER BY {_U.format(42)}, p_partkey) AS rank FROM part QUALIFY rank <= (SELECT floor(0.6 * count(*)) FROM part)),
   m AS (SELECT p_partkey AS origin, row_number() OVER (ORDER BY {_U.format(49)}, p_partkey) AS rank FROM c)
   SELECT p.p_partkey, coalesce(g.p_size, p.p_size) AS p_size, coalesce(g.p_brand, p.p_brand) AS p_brand, p.p_retailprice FROM part p LEFT JOIN c USING (p_partkey) LEFT JOIN m USING (rank) LEFT JOIN part g ON g.p_partkey = origin""")
@@ -687,9 +690,14 @@ def joint_shuffle(t: Tables) -> DataFrame:
     return perturb.joint_shuffle(t.part.select("p_partkey", "p_size", "p_brand", "p_retailprice"), "p_partkey", "p_retailprice", 1.0, n_rows=int(0.6 * t.part.count()))
 
 
-@query()
+@query(f"""WITH s AS (SELECT stddev_samp(p_size) AS sd FROM part), v AS (SELECT p_partkey, p_brand, p_type, p_size + 0.7 * sd * {_GAUSS(42)} AS p_size, p_retailprice FROM part, s),
+  c AS (SELECT p_partkey, row_number() OVER (ORDER BY {_U.format(42)}, p_partkey) AS rank FROM part QUALIFY rank <= (SELECT floor(0.7 * count(*)) FROM part)),
+  m AS (SELECT p_partkey AS origin, row_number() OVER (ORDER BY {_U.format(49)}, p_partkey) AS rank FROM c)
+  SELECT p.p_partkey, p.p_brand AS p_brand, coalesce(g.p_type, p.p_type) AS p_type, round(coalesce(g.p_size, p.p_size), 6) AS p_extent, p.p_retailprice FROM v p LEFT JOIN c USING (p_partkey) LEFT JOIN m USING (rank) LEFT JOIN v g ON g.p_partkey = origin""")
 def perturbed_table(t: Tables) -> DataFrame:
-    return perturb.perturb_table(t.part.drop("p_name"), "p_partkey", "p_retailprice", perturb.Perturbation(0.5, 0.2), {"p_size": "p_extent"})
+    """Noise, a shuffle of two of the three features, and a renamed column."""
+    found = perturb.perturb_table(t.part.drop("p_name"), "p_partkey", "p_retailprice", perturb.Perturbation(0.5, 0.7), {"p_size": "p_extent"})
+    return found.withColumn("p_extent", r6("p_extent"))
 
 
 @query("SELECT 25 AS cells, 0.0 AS low, 1.0 AS high")
