@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from joinwright.functions.keys import normalize_key
 from joinwright.operators.aggregate import aggregate_candidate, aggregate_target
 from joinwright.operators.assoc import feature_correlations
-from joinwright.operators.joins import exclude_existing, join_coverage, join_left_dedup, join_nullsafe, normalized_key_filter, top_keys_filter
+from joinwright.operators.joins import exclude_existing, join_coverage, join_left_dedup, join_nullsafe, semi_filter, top_keys_filter
 from joinwright.operators.sketch import propose_join_columns
 from joinwright.sources.catalog import catalog_of
 
@@ -43,13 +43,11 @@ def correlate(query: DataFrame, task: choices.Task, candidate: DataFrame, column
     """The correlation table of one candidate with the target, both aggregated by the normalised key. Pearson correlations
     are of all keys; distance correlations of the first ``max_keys`` of the query, as every pair of keys counts in them."""
     keys = list(task.join_columns)
-    first = top_keys_filter(query, keys[0], keys[0], max_keys).select(*keys)
-    target, _ = aggregate_target(query, keys, task.target)
-    renamed = candidate.withColumnsRenamed(dict(zip(columns, keys))).drop(task.target)
-    if len(keys) == 1:
-        target = target.withColumn(keys[0], normalize_key(F.col(keys[0])))
-        first = first.withColumn(keys[0], normalize_key(F.col(keys[0])))
-        renamed = normalized_key_filter(renamed.withColumn(keys[0], F.col(keys[0]).cast("string")), keys[0], target.select(keys[0]))
+    normal = lambda df: df.na.drop(subset=keys).withColumns({k: normalize_key(F.col(k)) for k in keys})
+    first = normal(top_keys_filter(query, keys[0], keys[0], max_keys).select(*keys))
+    target, _ = aggregate_target(normal(query), keys, task.target)
+    renamed = candidate.withColumnsRenamed(dict(zip(columns, keys))).drop(*[f"{task.target}{end}" for end in ("", "_vector", "_categories")])
+    renamed = semi_filter(normal(renamed), target.select(*keys), keys)
     joined = join_nullsafe(aggregate_candidate(renamed, keys), target, keys).persist()  # a row for each key, read once for each metric
     try:
         found = exclude_existing(feature_correlations(joined, keys, task.target, pairwise=first.distinct()), query.columns)

@@ -430,6 +430,13 @@ def test_augmentation_correlates_all_keys(spark):
     assert found["x"] == ("pearson", pytest.approx(expected)) and found["c"][0] == "distance" and found["c"][1] < 0.1
 
 
+def test_augmentation_with_composite_keys(spark):
+    query = spark.range(600).selectExpr("concat(' K', id % 20) k", "cast(id % 5 as string) j", "cast(id % 20 * 10 + id % 5 as double) y")
+    lake = spark.range(600).selectExpr("concat('k', id % 30, ' ') a", "cast(id % 5 as double) b", "cast(id % 30 * 10 + id % 5 as double) x", "array(1.0D) y_vector", "cast(id % 3 as double) y")
+    found = {r.feature: r.value for r in augment.correlate(query, choices.Task.of("query", ["k", "j"], "y"), lake, ["a", "b"]).collect()}
+    assert found == {"x": pytest.approx(1)}
+
+
 def test_stratified_split_and_samples(spark):
     rows = [(i, "abc"[i % 3] if i < 90 else None) for i in range(100)] + [(100, "single")]
     frame = spark.createDataFrame(rows, "k long, c string")
