@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .storage import materialise, small, text_batches
+from .storage import materialise, partitions, small, text_batches
 from .words import chunks, string_buffers
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,7 +46,7 @@ class IndexParams:
 
     block: int = 128
     segment: int = 1_000_000
-    window: int = 256
+    window: int = 1024
     chunk: int = 500_000
 
 
@@ -284,7 +284,8 @@ def search_index(index: DataFrame, n_docs: int, items: DataFrame, item_col: str
         sent = per_item.where(here).toArrow()
         chosen = index.where("term <> ''").join(F.broadcast(weighted.where(here).select("term").distinct()), "term", "left_semi")
         rows = index.where("term = ''").select(*index.columns).union(chosen.select(*index.columns))
-        part = rows.groupBy("segment").applyInArrow(_searcher(sent, k, params.window), "item long, doc_id long, score long")
+        # A stated number of parts, which is not lowered for their few bytes: it is the search that takes the time.
+        part = rows.repartition(partitions(spark), "segment").groupBy("segment").applyInArrow(_searcher(sent, k, params.window), "item long, doc_id long, score long")
         found = part if found is None else found.union(part)
     best = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
