@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from joinwright.functions.keys import parse_number
 from joinwright.functions.text import text_tokens
 
+from .perturb import uniform
 from .profile import NUMERIC, _col, is_numeric, null_counts
 from .quantiles import exact_quantiles
 
@@ -135,9 +136,14 @@ def split_by_position(df: DataFrame, position: str, share: float = 0.3, seed: in
     return df.join(test, on, "left_anti"), df.join(test, on, "left_semi")
 
 
+def held_out(keys: list[str], share: float = 0.3, seed: int = 42) -> Column:
+    """Whether a row is in the test part, by a hash of its keys as texts."""
+    return uniform(seed, *[_col(k) for k in keys]) < share
+
+
 def split_by_hash(df: DataFrame, key: str, share: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the key: the same on every run, without a shuffle."""
-    test = F.pmod(F.xxhash64(_col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    test = held_out([key], share, seed)
     return df.where(~test), df.where(test)
 
 

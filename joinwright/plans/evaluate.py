@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from joinwright.operators import mlprep
 from joinwright.operators.joins import join_nullsafe, validate_join
+from joinwright.operators.moments import added_r2, part_moments
 from joinwright.operators.profile import is_numeric
 
 
@@ -33,11 +34,19 @@ def baseline_features(columns: list[str], target: str, keys: list[str]) -> list[
     return rest or [c for c in columns if c != target]
 
 
+def _finite(df: DataFrame, column: str) -> Column:
+    """A number as a double, null where it is not finite; other columns as texts."""
+    value = F.col(f"`{column}`")
+    if not is_numeric(df, column):
+        return value.cast("string")
+    return F.when(F.abs(value.cast("double")) < float("inf"), value.cast("double"))
+
+
 def prepare(df: DataFrame, target: str, features: list[str], task: str, carry: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """Rows with a target, imputed, encoded and scaled features ``f0, f1, ...``, a numeric ``label``, and the columns
-    ``carry``. Scaling sees all rows, test rows included."""
-    kept = df.where(F.col(f"`{target}`").isNotNull())
-    columns = [F.col(f"`{c}`").cast("double" if is_numeric(kept, c) else "string").alias(f"f{i}") for i, c in enumerate(features)]
+    ``carry``. Scaling sees all rows, test rows included. NaN and infinite numbers are missing ones."""
+    kept = df.where(_finite(df, target).isNotNull())
+    columns = [_finite(kept, c).alias(f"f{i}") for i, c in enumerate(features)]
     rest = [F.col(f"`{target}`").alias("label"), *carry]
     filled = [f"f{i}" for i in range(len(features))]
     kept = kept.select(*columns, *rest)
@@ -52,7 +61,7 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, carry: l
 def evaluate(df: DataFrame, target: str, features: list[str], task: str = "regression", key: str | None = None, position: str | None = None) -> Metrics:
     """Trains on 70 % of the rows and scores the others. The rows are split by a permutation of ``position`` where given,
     and else by a hash of ``key`` or of the whole row; for classification each class is."""
-    carried = df.withColumn("__split", F.col(position) if position else F.xxhash64(key) if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
+    carried = df.withColumn("__split", F.col(f"`{position}`") if position else F.col(f"`{key}`") if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
     rows, names = prepare(carried, target, features, task, ["__split"])
     rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows).select("x", "label", "__split").persist()
     try:
@@ -89,11 +98,27 @@ def integration_quality(query: DataFrame, candidate: DataFrame, query_keys: list
     return validate_join(query, candidate, query_keys, candidate_keys).match_rate
 
 
+def added_scores(df: DataFrame, target: str, base: list[str], columns: list[str], keys: list[str], share: float = 0.3, seed: int = 42) -> tuple[float | None, dict[str, float | None]]:
+    """R2 of a linear model of the columns ``base``, and of those with each of ``columns`` added alone. All are found from
+    one pass over the prepared rows (``operators.moments``), and trained and scored on the same rows, which are told apart
+    by a hash of ``keys``: rows of equal keys are on the same side, on every run."""
+    rows, names = prepare(df.withColumn("__test", mlprep.held_out(keys, share, seed)), target, [*base, *columns], "regression", ["__test"])
+    rows = mlprep.standard_scale(rows, ["label"])
+    used, added = ([n for n in names if (int(n[1:]) < len(base)) == first] for first in (True, False))
+    score, scores = added_r2(*part_moments(rows, used, added, "label", F.col("__test")))
+    by_name = dict(zip(added, scores))
+    return score, {c: by_name.get(f"f{len(base) + i}", score) for i, c in enumerate(columns)}  # a column without values adds nothing
+
+
 def feature_importance(df: DataFrame, target: str, features: list[str], column: str, task: str = "regression", key: str | None = None) -> float | None:
-    """The score with a column less the score without; null with fewer than 3 rows or no other feature."""
+    """The score with a column less the score without; null with fewer than 3 rows or no other feature. For regression
+    both come from one pass; rows are split by a hash of ``key`` or of all columns."""
     rest = [c for c in features if c != column]
     if not rest or df.limit(3).count() < 3:
         return None
+    if task == "regression":
+        without, scores = added_scores(df, target, rest, [column], [key] if key else df.columns)
+        return None if without is None else scores[column] - without
     return evaluate(df, target, [*rest, column], task, key).score - evaluate(df, target, rest, task, key).score
 
 
@@ -102,14 +127,23 @@ def utility_gain(quality: float, importance: float | None) -> float | None:
 
 
 def column_effects(features: DataFrame, labels: DataFrame, keys: list[str], target: str, columns: list[str], task: str = "regression", least: float = 0.01) -> DataFrame:
-    """Each column alone joined to the label table: ``column, baseline, score, difference, effect``."""
+    """Each column alone joined to the label table: ``column, baseline, score, difference, effect``.
+
+    For regression all columns are joined at once, which gives each the rows that it has when joined alone, and one pass
+    over them scores all; rows are split by a hash of the keys. A score that can't be told is null, and its effect
+    negative.
+    """
     spark = features.sparkSession
     base_columns = baseline_features(labels.columns, target, keys)
-    base = evaluate(labels, target, base_columns, task).score
-    rows = []
-    for c in columns:
-        score = evaluate(join_nullsafe(labels, features.select(*keys, c), keys), target, [*base_columns, c], task).score
-        rows.append((c, base, score, score - base, "positive" if score - base >= least else "negative"))
+    if task == "regression":
+        base, _ = added_scores(labels, target, base_columns, [], keys)
+        joined = join_nullsafe(labels, features.select(*keys, *columns), keys)
+        scores = added_scores(joined, target, base_columns, columns, keys)[1]
+    else:
+        base = evaluate(labels, target, base_columns, task).score
+        scores = {c: evaluate(join_nullsafe(labels, features.select(*keys, c), keys), target, [*base_columns, c], task).score for c in columns}
+    gains = {c: None if base is None or s is None else s - base for c, s in scores.items()}
+    rows = [(c, base, s, gains[c], "positive" if gains[c] is not None and gains[c] >= least else "negative") for c, s in scores.items()]
     return spark.createDataFrame(rows, "column string, baseline double, score double, difference double, effect string")
 
 

@@ -537,10 +537,21 @@ def linear_r2(t: Tables) -> DataFrame:
     return t.part.agg(r6(F.regr_slope(y, x)).alias("slope"), r6(F.regr_intercept(y, x)).alias("intercept"), r6(F.regr_r2(y, x)).alias("r2"))
 
 
-@query()
+def _fitted(rows: str) -> str:
+    """SQL of least squares by x1 (f0), and by x1 and x2 (f1), for each item of ``rows`` (item, key, x1, x2, y): trained on
+    seven tenths of the keys, ``f`` has the others with what they are fitted to."""
+    return f"""d AS (SELECT *, (('0x'||substr(md5('42:'||key), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 < 0.3 AS test FROM ({rows})),
+  m AS (SELECT item, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c, covar_pop(x1, y) AS p1, covar_pop(x2, y) AS p2 FROM d WHERE NOT test GROUP BY 1),
+  b AS (SELECT *, p1 / v1 AS b0, (p1 * v2 - p2 * c) / (v1 * v2 - c * c) AS b1, (p2 * v1 - p1 * c) / (v1 * v2 - c * c) AS b2 FROM m),
+  f AS (SELECT item, y, my + b0 * (x1 - m1) AS f0, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS f1 FROM d JOIN b USING (item) WHERE test),
+  r AS (SELECT item, 1 - sum((y - f0) ** 2) / (var_pop(y) * count(*)) AS r0, 1 - sum((y - f1) ** 2) / (var_pop(y) * count(*)) AS r1, avg((y - f1) ** 2) AS mse, avg(abs(y - f1)) AS mae FROM f GROUP BY 1)"""
+
+
+@query(f"""WITH {_fitted("SELECT 0 AS item, l_orderkey AS key, l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_extendedprice::DOUBLE AS y FROM lineitem")}
+  SELECT 'regression' AS task, (SELECT count(*) FROM d) AS n_rows, round(r1, 6) AS r2, round(mse, 1) AS mse, round(mae, 3) AS mae FROM r""")
 def linear_model(t: Tables) -> DataFrame:
     m = evaluate.evaluate(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"), "l_extendedprice", ["l_quantity", "l_discount"], "regression", "l_orderkey")
-    return t.spark.createDataFrame([(m.task, m.rows, *[m.details[k] for k in ("r2", "mse", "mae")])], "task string, n_rows long, r2 double, mse double, mae double")
+    return t.spark.createDataFrame([(m.task, m.rows, *[round(m.details[k], d) for k, d in (("r2", 6), ("mse", 1), ("mae", 3))])], "task string, n_rows long, r2 double, mse double, mae double")
 
 
 @query()
@@ -556,18 +567,25 @@ def integration_quality(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(q, 6),)], "quality double")
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus) AS code, c_acctbal, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
+  {_fitted("SELECT 0 AS item, o_orderkey AS key, code::DOUBLE AS x1, c_acctbal::DOUBLE AS x2, o_totalprice::DOUBLE AS y FROM o")},
+  g AS (SELECT count(c_custkey) / count(*) AS quality FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+  SELECT round(quality, 6) AS quality, round(r1 - r0, 6) AS importance, round(quality * (r1 - r0), 6) AS gain FROM r, g""")
 def utility_gain(t: Tables) -> DataFrame:
     d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     importance = evaluate.feature_importance(d, "o_totalprice", ["o_orderstatus", "c_acctbal"], "c_acctbal", key="o_orderkey")
     quality = evaluate.integration_quality(t.orders, t.customer, ["o_custkey"], ["c_custkey"])
-    return t.spark.createDataFrame([(quality, importance, evaluate.utility_gain(quality, importance))], "quality double, importance double, gain double")
+    found = t.spark.createDataFrame([(quality, importance, evaluate.utility_gain(quality, importance))], "quality double, importance double, gain double")
+    return found.select(*[r6(c).alias(c) for c in found.columns])
 
 
-@query()
+@query(f"""WITH p AS (SELECT *, dense_rank() OVER (ORDER BY p_type) AS type, dense_rank() OVER (ORDER BY p_brand) AS brand FROM part),
+  {_fitted("SELECT unnest(['p_size', 'p_type', 'p_brand']) AS item, p_partkey AS key, p_partkey::DOUBLE AS x1, unnest([p_size, type, brand])::DOUBLE AS x2, p_retailprice::DOUBLE AS y FROM p")}
+  SELECT item AS "column", round(r0, 6) AS baseline, round(r1, 6) AS score, round(r1 - r0, 6) AS difference, if(r1 - r0 >= 0.01, 'positive', 'negative') AS effect FROM r""")
 def column_effect(t: Tables) -> DataFrame:
     features, labels = joins.decompose(t.part.drop("p_name"), ["p_partkey"], "p_retailprice")
-    return evaluate.column_effects(features, labels, ["p_partkey"], "p_retailprice", ["p_size", "p_type"])
+    found = evaluate.column_effects(features, labels, ["p_partkey"], "p_retailprice", ["p_size", "p_type", "p_brand"])
+    return found.withColumns({c: r6(c) for c in ("baseline", "score", "difference")})
 
 
 _DECILES = "SELECT list_distinct(quantile_cont(l_extendedprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM lineitem"

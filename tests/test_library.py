@@ -223,6 +223,38 @@ def test_least_squares_are_those_of_numpy(spark):
     assert evaluate.evaluate(frame, "y", ["a", "b", "c"], position="i").score == pytest.approx(expected, abs=1e-6)
 
 
+def test_column_effects_are_those_of_single_fits(spark):
+    make = np.random.RandomState(5)
+    n = 300
+    a, b, c = make.rand(n), make.rand(n), make.rand(n)
+    y = 1e6 + 3 * a - 2 * b + 0.3 * make.rand(n)
+    frame = spark.createDataFrame([(i, *(float(v[i]) for v in (a, b, c, y))) for i in range(n)], "id long, a double, b double, c double, y double")
+    labels = frame.select("id", "a", "y")
+    holes = F.when(F.col("id") % 10 == 0, float("nan")).when(F.col("id") % 10 == 1, float("inf")).when(F.col("id") % 10 > 2, F.col("c"))
+    features = frame.selectExpr("id", "b", "c", "2 * a - 1 as same", "cast(null as double) as `no ne`").withColumn("c", holes)
+    columns = ["b", "c", "same", "no ne"]
+    found = {r.column: r for r in evaluate.column_effects(features, labels, ["id"], "y", columns).collect()}
+    out = np.array([r.t for r in frame.orderBy("id").select(mlprep.held_out(["id"]).alias("t")).collect()])
+    place = np.arange(n) % 10
+    filled = np.where(place > 2, c, c[place > 2].mean())
+
+    def score(*x):
+        design = np.column_stack([np.ones(n), *x])
+        beta = np.linalg.lstsq(design[~out], y[~out], rcond=None)[0]
+        return 1 - ((y[out] - design[out] @ beta) ** 2).sum() / ((y[out] - y[out].mean()) ** 2).sum()
+
+    assert 60 < out.sum() < 120 and found["b"].effect == "positive" and found["c"].effect == "negative"
+    for name, expected in (("b", score(a, b)), ("c", score(a, filled)), ("same", score(a)), ("no ne", score(a))):
+        assert found[name].score == pytest.approx(expected, abs=1e-8) and found[name].baseline == pytest.approx(score(a), abs=1e-8)
+    twice = features.union(features.where("id < 40"))
+    alone = {x: evaluate.column_effects(twice.repartition(5), labels, ["id"], "y", [x]).first().score for x in columns}
+    assert {r.column: r.score for r in evaluate.column_effects(twice, labels, ["id"], "y", columns).collect()} == pytest.approx(alone, abs=1e-8)
+    for few in (labels.limit(0), labels.where("id < 1")):  # no row, and a part without rows
+        none = evaluate.column_effects(features, few, ["id"], "y", ["b"]).first()
+        assert (none.baseline, none.score, none.effect) == (None, None, "negative")
+    assert evaluate.feature_importance(frame, "y", ["a", "b"], "b", key="id") == pytest.approx(score(a, b) - score(a), abs=1e-8)
+
+
 def test_perturbation(spark):
     frame = spark.range(1000).selectExpr("id", "cast(id as double) x", "id % 7 g", "id % 5 y")
     noisy = perturb.add_noise(frame, "id", 0.1, ["x"])
