@@ -58,13 +58,15 @@ def sketch_table(df: DataFrame, table_id: str, columns: list[str] | None = None,
     return bottom_k(long_values(df, table_id, columns), k)
 
 
-def scores(query: DataFrame, candidates: DataFrame) -> DataFrame:
+def scores(query: DataFrame, candidates: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Each query column against each candidate column that shares a hash: ``query_column, table_id, column, shared,
-    jaccard, containment`` (of the query in the candidate) and their larger one, ``score``."""
+    jaccard, containment`` (of the query in the candidate) and their larger one, ``score``. ``sizes`` of the candidates'
+    sketches (``table_id, column, size``) where they are known; ``candidates`` may then lack hashes the query has not."""
     query = query.select(F.col("column").alias("query_column"), "hash").distinct()
     candidates = candidates.select("table_id", "column", "hash").distinct()
     query_sizes = query.groupBy("query_column").agg(F.count("*").alias("query_size"))
-    sizes = candidates.groupBy("table_id", "column").agg(F.count("*").alias("size"))
+    if sizes is None:
+        sizes = candidates.groupBy("table_id", "column").agg(F.count("*").alias("size"))
     shared = candidates.join(query, "hash").groupBy("query_column", "table_id", "column").agg(F.count("*").alias("shared"))
     found = shared.join(query_sizes, "query_column").join(sizes, ["table_id", "column"])
     jaccard = F.col("shared") / (F.col("query_size") + F.col("size") - F.col("shared"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from joinwright.functions import keys, text, vectors
 from joinwright.operators import aggregate, assoc, joins, mlprep, perturb, profile, sketch, texts
 from joinwright.plans import augment, choices, evaluate
-from joinwright.sources import catalog, tables
+from joinwright.sources import catalog, sketch_index, tables
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -142,6 +142,17 @@ def join_column_topk(t: Tables) -> DataFrame:
     return sketch.propose_join_columns(t.orders, ["o_custkey"], lake).select("table_id", "column", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_sql["join_column_topk"])
+def join_column_index(t: Tables) -> DataFrame:
+    """The same from a kept index: two tables, then another, and then a changed one in place of what the index had."""
+    lake = {a: getattr(t, a).select(*[b for x, b in _LAKE if x == a]) for a in ("customer", "supplier", "part")}
+    index = sketch_index.SketchIndex(t.spark, tables.shared_path(t.spark, "sketch_index"))
+    index.add({"customer": lake["customer"], "part": lake["part"].where("p_partkey % 2 = 0")}, {"customer": "1", "part": "1"})
+    index.add({"supplier": lake["supplier"]}, {"supplier": "1"})
+    index.add({x: lake[x] for x in index.stale({"customer": "1", "supplier": "1", "part": "2"})}, {"part": "2"})
+    return index.propose(t.orders, ["o_custkey"]).select("table_id", "column", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {_scored("a", _sketch("lineitem", "l_partkey", 512), _LAKE)}, {_scored("b", _sketch("lineitem", "l_suppkey", 512), _LAKE)}
   SELECT query_column, table_id, round(max(greatest(jaccard, containment)), 6) AS best FROM (SELECT 'l_partkey' AS query_column, * FROM a UNION ALL SELECT 'l_suppkey', * FROM b)
   WHERE greatest(jaccard, containment) >= 0.1 GROUP BY 1, 2""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
@@ -20,6 +22,17 @@ def read_csv(spark: SparkSession, path: str, coerce: bool = False, exclude: list
     return convert_numeric_columns(df, exclude) if coerce else df
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share, which ``spark.checkpoint.dir`` names; local
+    sessions without one get a folder of this machine. What is written there stays until the folder is cleared."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="joinwright-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

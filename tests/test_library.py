@@ -255,6 +255,47 @@ def test_column_effects_are_those_of_single_fits(spark):
     assert evaluate.feature_importance(frame, "y", ["a", "b"], "b", key="id") == pytest.approx(score(a, b) - score(a), abs=1e-8)
 
 
+def test_sketch_index_gives_the_scores_of_fresh_sketches(spark, tmp_path):
+    from joinwright.sources.sketch_index import SketchIndex, ranked
+
+    big = spark.range(30_000).selectExpr("id", "concat('n', id % 700) as name", "cast(null as string) as none")
+    lake = {"big": big, "small": spark.range(50).selectExpr("id * 2 as k", "id % 3 as g"), "void": spark.range(0).selectExpr("id")}
+    query = spark.range(0, 5000, 3).selectExpr("id", "concat('n', id % 900) as name")
+    asked = sketch.bottom_k(sketch.long_values(query, "query"))
+
+    def expected(tables):
+        values = None
+        for name, df in tables.items():
+            own = sketch.long_values(df, name)
+            values = own if values is None else values.union(own)
+        return sorted(map(tuple, sketch.scores(asked, sketch.bottom_k(values, k=1024)).collect()))
+
+    index = SketchIndex(spark, f"{tmp_path}/i ndex")
+    got = lambda: sorted(map(tuple, index.scores(asked).collect()))
+    assert got() == [] and index.columns().count() == 0 and index.stale({"big": "1"}) == ["big"]
+    index.add({"big": lake["big"], "void": lake["void"]}, {"big": "1", "void": "7"})
+    assert got() == expected({"big": big}) != [] and index.stale({"big": "1", "void": "7", "small": "1"}) == ["small"]
+    index.add({"small": lake["small"]})
+    assert got() == expected(lake)
+    lake["big"] = big.where("id >= 9000")  # a changed table takes the place of the old one
+    index.add({"big": lake["big"]}, {"big": "2"})
+    assert got() == expected(lake) and index.stale({"big": "1"}) == ["big"] and index.stale({"big": "2"}) == []
+    lost = sketch.sketch_table(spark.range(100), "lost")  # a writer that was lost between the two tables
+    lost.selectExpr("*", "'000000000099-x' as batch", "'0-1' as prefix").write.partitionBy("batch", "prefix").mode("append").parquet(f"{tmp_path}/i ndex/entries")
+    assert got() == expected(lake)
+    before = got()
+    plan = index.scores(asked.where("hash < '08'"))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "prefix" in plan.split("PartitionFilters")[1]
+    index.compact()
+    assert got() == before and len(list((tmp_path / "i ndex" / "entries").glob("batch=*"))) == 1 and index.stale({"big": "2", "void": "7"}) == []
+    index.remove(["big"])
+    assert got() == expected({"small": lake["small"]}) and {r.table_id for r in index.entries().collect()} == {"small"}
+    assert [(r.table_id, r["rank"]) for r in ranked(index, query, ["id"]).collect()] in ([], [("small", 1)])
+    index.remove(["small", "void"])
+    index.compact()
+    assert got() == [] and index.stale({"void": "7"}) == ["void"]
+
+
 def test_perturbation(spark):
     frame = spark.range(1000).selectExpr("id", "cast(id as double) x", "id % 7 g", "id % 5 y")
     noisy = perturb.add_noise(frame, "id", 0.1, ["x"])
