@@ -24,11 +24,20 @@ _COLUMNS = "table_id string, column string, size long, token string, batch strin
 _DIGITS = 12
 
 
+def _zeros(hash_: Column) -> Column:
+    return F.length(F.regexp_extract(hash_, "^(0*)", 1))
+
+
 def hash_prefix_class(hash_: Column) -> Column:
     """The number of a hash's leading zeros and its first other digit. Sketches hold the smallest hashes, so that a column
     of many values has all of its in a few classes of many zeros; plain prefixes would put those into one."""
-    zeros = F.length(F.regexp_extract(hash_, "^(0*)", 1))
-    return F.concat_ws("-", zeros.cast("string"), F.substring(hash_, zeros + 1, F.lit(1)))
+    return F.concat_ws("-", _zeros(hash_).cast("string"), F.substring(hash_, _zeros(hash_) + 1, F.lit(1)))
+
+
+def _cell(hash_: Column) -> Column:
+    """The two digits after the prefix's. A tenth of a column's values lie in few prefixes, so one prefix may have a third
+    of a batch: its cells are dealt to tasks, and adaptive execution joins them again where they are small."""
+    return F.substring(hash_, _zeros(hash_) + 2, F.lit(2))
 
 
 class SketchIndex:
@@ -74,7 +83,7 @@ class SketchIndex:
         """Entries first: the rows of ``columns`` make them count. Their sizes are read from the batch as written."""
         if entries is not None:
             placed = entries.withColumn("prefix", hash_prefix_class(F.col("hash"))).withColumn("batch", F.lit(batch))
-            placed.repartition("prefix").sortWithinPartitions("prefix", "hash").write.partitionBy("batch", "prefix").mode("append").parquet(f"{self.path}/entries")
+            placed.repartition(F.col("prefix"), _cell(F.col("hash"))).sortWithinPartitions("prefix", "hash").write.partitionBy("batch", "prefix").mode("append").parquet(f"{self.path}/entries")
             written = self._read("entries", _ENTRIES).where(F.col("batch") == batch)
             sizes = written.groupBy("table_id", "column").agg(F.count("*").alias("size"))
             rows = sizes.join(F.broadcast(rows), "table_id", "right")  # a row for each table of the batch
