@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,16 +21,33 @@ Embedder = Callable[[list[str]], np.ndarray]
 SIZE = 64
 
 
-def hashed_ngrams(texts: list[str], size: int = SIZE) -> np.ndarray:
-    """Signed counts of character trigrams in ``size`` cells, scaled to length 1; blank texts are zeros."""
-    out = np.zeros((len(texts), size))
-    for row, text in zip(out, texts):
-        data = np.frombuffer(f"  {' '.join(text.lower().split())}  ".encode(), np.uint8).astype(np.uint64)
-        if len(data) > 4:
-            h = (data[:-2] * np.uint64(0x10001) + data[1:-1] * np.uint64(0x101) + data[2:]) * np.uint64(0x9E3779B97F4A7C15)
-            np.add.at(row, ((h >> np.uint64(40)) % np.uint64(size)).astype(int), np.where((h >> np.uint64(39)) & np.uint64(1), 1.0, -1.0))
-            row /= np.linalg.norm(row) or 1.0
-    return out
+def hashed_ngrams(texts: list[str], size: int = SIZE, most_bytes: int = 1 << 20) -> np.ndarray:
+    """Signed counts of character trigrams in ``size`` cells, scaled to length 1; blank texts are zeros. About ``most_bytes``
+    are counted at once, or one longer text."""
+    out, held, total, first = np.zeros((len(texts), size)), [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(f"  {' '.join(text.lower().split())}  ".encode())
+        total += len(held[-1])
+        if total >= most_bytes or i + 1 == len(texts):
+            out[first : i + 1] = _trigram_counts(held, size)
+            held, total, first = [], 0, i + 1
+    norms = np.linalg.norm(out, axis=1)
+    norms[norms == 0] = 1
+    return out / norms[:, None]
+
+
+def _trigram_counts(texts: list[bytes], size: int) -> np.ndarray:
+    data, lengths = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64), np.array([len(t) for t in texts])
+    h = (data[:-2] * np.uint64(0x10001) + data[1:-1] * np.uint64(0x101) + data[2:]) * np.uint64(0x9E3779B97F4A7C15)
+    within = np.ones(len(data), bool)  # trigrams that begin in the last two bytes of a text would reach into the next
+    ends = np.cumsum(lengths)
+    within[ends - 1] = within[ends - 2] = False
+    row = np.repeat(np.arange(len(texts)), lengths)
+    within &= np.repeat(lengths > 4, lengths)
+    within, row = within[:-2], row[:-2]
+    cell = row * size + ((h >> np.uint64(40)) % np.uint64(size)).astype(np.int64)
+    sign = np.where((h >> np.uint64(39)) & np.uint64(1), 1.0, -1.0)
+    return np.bincount(cell[within], sign[within], len(texts) * size).reshape(len(texts), size)
 
 
 def embed(text: Column, embedder: Embedder = hashed_ngrams) -> Column:
@@ -40,33 +58,50 @@ def embed(text: Column, embedder: Embedder = hashed_ngrams) -> Column:
     return run(text)
 
 
-def similarities(vectors: np.ndarray) -> np.ndarray:
-    """Cosines, with 1 for zero norms and on the diagonal."""
+def _unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=1)
     norms[norms == 0] = 1
-    found = (vectors / norms[:, None]) @ (vectors / norms[:, None]).T
+    return vectors / norms[:, None]
+
+
+def similarities(vectors: np.ndarray) -> np.ndarray:
+    """Cosines, with 1 for zero norms and on the diagonal."""
+    unit = _unit(vectors)
+    found = unit @ unit.T
     np.fill_diagonal(found, 1.0)
     return found
 
 
-def greedy_cover(vectors: np.ndarray, k: int, least: float = 1e-6, weights: np.ndarray | None = None) -> list[int]:
+def greedy_cover(vectors: np.ndarray, k: int, least: float = 1e-6, weights: np.ndarray | None = None, batch: int = 8) -> list[int]:
     """Up to ``k`` rows that together are most similar to all: first the one with the largest sum, then each time the
     one that raises the sum of best similarities most, until that is below ``least``. Ties go to the first. A row with a
-    weight counts as so many rows."""
+    weight counts as so many rows.
+
+    A row's gain never grows as rows are chosen, so an earlier gain bounds it, and only the rows with the highest bounds are
+    looked at again, ``batch`` at a time, until the highest one is of now."""
     if k >= len(vectors):
         return list(range(len(vectors)))
     weights = np.ones(len(vectors)) if weights is None else weights
     near = similarities(vectors)
     chosen = [int((weights @ near).argmax())]
-    best = near[:, chosen[0]]
+    best = near[chosen[0]]
+    gains = np.maximum(near - best, 0) @ weights
+    fresh = np.ones(len(vectors), bool)
+    gains[chosen[0]] = -1
     while len(chosen) < k:
-        gains = weights @ np.maximum(near - best[:, None], 0)
-        gains[chosen] = -1
         i = int(gains.argmax())
+        while not fresh[i]:
+            some = np.argpartition(gains, -batch)[-batch:] if batch < len(gains) else np.arange(len(gains))
+            some = np.append(some[~fresh[some] & (gains[some] >= 0) & (some != i)], i)
+            gains[some] = np.maximum(near[some] - best, 0) @ weights
+            fresh[some] = True
+            i = int(gains.argmax())
         if gains[i] < least:
             break
         chosen.append(i)
-        best = np.maximum(best, near[:, i])
+        best = np.maximum(best, near[i])
+        fresh[:] = False
+        gains[chosen] = -1
     return chosen
 
 
@@ -77,7 +112,8 @@ def nominate(texts: list[str], weights: list[float], k: int, embedder: Embedder
     texts, held = [texts[i] for i in order], np.array([weights[i] for i in order], float)
     vectors = embedder(texts)
     chosen = greedy_cover(vectors, k, weights=held)
-    nearest = similarities(vectors)[:, chosen].argmax(1)
+    unit = _unit(vectors)
+    nearest = (unit @ unit[chosen].T).argmax(1)
     nearest[chosen] = range(len(chosen))
     return [texts[i] for i in chosen], np.bincount(nearest, held, len(chosen)).tolist()
 
@@ -106,15 +142,21 @@ def text_subsets(df: DataFrame, keys: list[str], column: str, k: int | None = 5,
 
         return run
 
+    tasks, before = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
     while True:
         large = rows.groupBy(*names).count().where(F.col("count") > block)
         large = large.select(*[F.col(c).alias(f"of_{c}") for c in names], F.ceil(F.col("count") / block).alias("parts"))
-        if large.isEmpty():
+        last = large.isEmpty()  # also makes all nominees of the round before, which are kept, as each further use would make them again
+        if before is not None:
+            before.unpersist()
+        if last:
             break
         found = rows.join(large, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names], "left")
         small = found.where("parts is null").select(*names, "text", "weight")
         dealt = found.where("parts is not null").select(*names, "text", "weight", F.pmod(F.xxhash64("text"), F.col("parts")).alias("part"))
-        rows = small.union(dealt.groupBy(*names, "part").applyInArrow(cover(max(k, block // 16)), schema))
+        dealt = dealt.repartition(tasks, *names, "part")  # a stated number: the work is not in proportion to the bytes
+        before = rows if rows.is_cached else None
+        rows = small.union(dealt.groupBy(*names, "part").applyInArrow(cover(max(k, block // 16)), schema)).persist(StorageLevel.DISK_ONLY)
     return listed(rows.groupBy(*names).applyInArrow(cover(k), schema))
 
 

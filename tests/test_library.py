@@ -163,6 +163,33 @@ def test_text_subsets_equal_the_plain_cover_and_keep_dense_clusters(spark):
     assert len(texts.text_subsets(dense, ["k"], "t", 5, block=32).first().texts) == 5
 
 
+def test_text_covers_are_those_of_the_plain_rule_and_each_text_is_embedded_once(spark, tmp_path):
+    random = np.random.RandomState(7)
+    for n, k in ((40, 6), (200, 24)):
+        vectors, weights = random.normal(size=(n, 8)), random.randint(1, 4, n).astype(float)
+        near = texts.similarities(vectors)
+        plain = [int((weights @ near).argmax())]
+        while len(plain) < k:
+            gains = weights @ np.maximum(near - near[:, plain].max(1)[:, None], 0)
+            gains[plain] = -1
+            plain.append(int(gains.argmax()))
+        assert texts.greedy_cover(vectors, k, weights=weights) == plain
+    one = lambda t: texts.hashed_ngrams([t])[0]
+    several = ["a red apple", "", " ", "é", "x" * 50, "a  Red\tapple"]
+    assert all((a == one(t)).all() for a, t in zip(texts.hashed_ngrams(several, most_bytes=20), several))
+
+    def counted(some):
+        with open(f"{tmp_path}/seen", "a") as f:
+            f.write("".join(f"{t}\n" for t in some))
+        return texts.hashed_ngrams(some)
+
+    frame = spark.range(320).selectExpr("id % 2 k", "concat('text number ', id) t")
+    assert [len(r.texts) for r in texts.text_subsets(frame, ["k"], "t", 5, counted, block=32).collect()] == [5, 5]
+    seen = collections.Counter((tmp_path / "seen").read_text().splitlines())
+    # A text is embedded once for each of at most three rounds in which it is still a candidate.
+    assert len(seen) == 320 and max(seen.values()) <= 3 and seen.total() <= 450
+
+
 def test_pearson_and_distance_correlation(spark):
     frame = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.0, None), (3.0, None, 1.0), (float("nan"), 1.0, None)], "x double, y double, z double")
     found = {r.feature: r.value for r in assoc.pearson(frame, [("y", F.col("x"), F.col("y")), ("z", F.col("x"), F.col("z"))]).collect()}
