@@ -153,12 +153,14 @@ def _sortable(f: T.StructField) -> Column:
     return F.to_json(F.struct(_col(f.name))) if loose else _col(f.name)
 
 
-def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42, cells: int = 1024) -> tuple[DataFrame, DataFrame]:
+def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42, cells: int = 1024, classes: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Train and test rows with ``share`` of each class in the test part, rounded, by a hash of the key and the rest of the
-    row. A class of one row goes to the training part; null is a class. Rows are ranked within ``cells`` ranges of the hash,
-    so that no class and no repeated key meets in one task. Rows of equal hashes are ordered by all their columns, so only
-    equal rows tie, and train and test are parts of the same ranking however often it is made; columns of user-defined
-    types are not looked at, so where there are some the key must tell rows apart."""
+    row. A class of one row goes to the training part; null is a class. The hash is cut into ``cells`` ranges: those below a
+    class's edge are in the test part, those above it in the training part, and only the rows of the edge itself are shuffled
+    and ranked, so that no class and no repeated key meets in one task. Edges are found when this is called; those of up to
+    ``classes`` classes go to every task. Rows of equal hashes are ordered by all their columns, so only equal rows tie, and
+    train and test are parts of the same ranking however often it is made; columns of user-defined types are not looked at,
+    so where there are some the key must tell rows apart."""
     told = [_sortable(f) for f in df.schema if not isinstance(f.dataType, T.UserDefinedType)]
     rows = df.withColumn("__u", F.pmod(F.xxhash64(_col(key), *told, F.lit(seed)), F.lit(1 << 40))).withColumn("__cell", F.shiftright("__u", 20) * cells / (1 << 20))
     rows = rows.withColumn("__cell", F.floor("__cell"))
@@ -166,11 +168,22 @@ def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, se
     whole = W.partitionBy("__class")
     total, upto = F.sum("__n").over(whole), F.sum("__n").over(whole.orderBy("__of"))
     wanted = F.when(total > 1, F.round(share * total)).otherwise(0)
-    takes = sizes.select("__class", "__of", (wanted - (upto - F.col("__n"))).alias("__take"))
-    found = rows.join(takes, _col(label).eqNullSafe(F.col("__class")) & (F.col("__cell") == F.col("__of")))
-    test = F.row_number().over(W.partitionBy("__class", "__cell").orderBy("__u", _col(key), *told)) <= F.col("__take")
-    found = found.withColumn("__test", test)
-    return tuple(found.where(c).select(*[_col(x) for x in df.columns]) for c in (~F.col("__test"), F.col("__test")))
+    takes = sizes.select("__class", "__of", "__n", (wanted - (upto - F.col("__n"))).alias("__take"))
+    same = _col(label).eqNullSafe(F.col("__class"))
+    # The edge is the first cell that isn't taken as a whole; with none, it is after the last.
+    open_ = F.when(F.col("__take") < F.col("__n"), F.col("__of"))
+    edges = takes.groupBy("__class").agg(F.coalesce(F.min(open_), F.lit(cells)).alias("__edge"), F.coalesce(F.min_by("__take", open_), F.lit(0)).alias("__take"))
+    few = edges.limit(classes + 1).collect()
+    if len(few) <= classes:
+        found = rows.join(F.broadcast(df.sparkSession.createDataFrame(few, edges.schema)), same)
+    else:
+        edge = F.when(F.col("__take") >= F.col("__n"), F.col("__of") + 1).when(F.col("__take") <= 0, F.col("__of") - 1).otherwise(F.col("__of"))
+        found = rows.join(takes.select("__class", "__of", "__take", edge.alias("__edge")), same & (F.col("__cell") == F.col("__of")))
+    place = F.row_number().over(W.partitionBy("__class", "__cell").orderBy("__u", _col(key), *told))
+    ranked = found.where("__cell = __edge").withColumn("__test", place <= F.col("__take"))
+    plain = lambda part: part.select(*[_col(x) for x in df.columns])
+    parts = (("__cell > __edge", ~F.col("__test")), ("__cell < __edge", F.col("__test")))
+    return tuple(plain(found.where(side)).union(plain(ranked.where(own))) for side, own in parts)
 
 
 def sample_rows(df: DataFrame, n: int, how: str = "sorted", seed: int = 42) -> DataFrame:
