@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joinwright.functions import keys, similarity, text
+from joinwright.functions import keys, similarity, text, vectors
 from joinwright.operators import aggregate, assoc, distance, joins, mlprep, perturb, profile, quantiles, sketch, texts
 from joinwright.plans import augment, choices, evaluate
 from joinwright.sources import catalog, tables
@@ -521,6 +521,40 @@ def test_cosines_meet_all_rows(spark, data):
     assert {(r.a, r.b) for r in found.collect()} == expected
 
 
+def test_cosines_of_blocks_are_those_of_pairs(spark):
+    from joinwright import queries
+
+    random = np.random.RandomState(3)
+    kinds = [lambda i: random.normal(size=4).tolist(), lambda i: None, lambda i: [1.0, None, 2.0, 0.5], lambda i: [0.0] * 4, lambda i: [1.0, 2.0], lambda i: [], lambda i: [float("nan"), 1.0, 1.0, 1.0]]
+    rows = [(i, kinds[i % 7 if i % 3 == 0 else 0](i), "xy"[i % 2] if i < 70 else None) for i in range(84)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    found = queries._cosines(frame.where("vec_id % 4 = 0"), frame, 3, 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    pairs = frame.where("vec_id % 4 = 0").selectExpr("vec_id a", "embedding ea", "label").join(frame.selectExpr("vec_id b", "embedding eb", "label l"), F.expr("label = l"))
+    value = F.when(F.col("a") == F.col("b"), 1.0).otherwise(vectors.cosine(F.col("ea"), F.col("eb")))
+    plain = {(r.a, r.b): r.c for r in pairs.select("a", "b", F.round(value, 6).alias("c")).collect()}
+    blocks = {(r.a, r.b): r.cosine for r in found.collect()}
+    assert blocks.keys() == plain.keys() and all(blocks[p] == c or str(blocks[p]) == str(c) for p, c in plain.items())
+
+
+def test_plain_whole_numbers_are_their_own_key():
+    plain = [s for s in ("0", "7", "-12", "123456789012345", "1234567890123456", "-0", "007", "+5", "1.0", "1e3", "", " 1", "1\n") if re.fullmatch(keys._PLAIN_WHOLE.strip("^$"), s)]
+    assert plain == ["0", "7", "-12", "123456789012345"]
+
+
+def test_only_edge_rows_of_a_stratified_split_are_ranked(spark):
+    frame = spark.range(6000).selectExpr("id k", "if(id % 3 = 0, null, id % 3) c", "id % 7 v")
+    u = F.pmod(F.xxhash64("k", "k", "c", "v", F.lit(42)), F.lit(1 << 40))
+    plain = frame.withColumn("u", u).withColumn("r", F.expr("row_number() over (partition by c order by u, k, c, v)")).withColumn("n", F.expr("count(*) over (partition by c)"))
+    expected = {r.k for r in plain.where("r <= round(0.3 * n)").collect()}
+    for classes in (10, 1):  # edges sent to the tasks, and met by a join
+        train, test = mlprep.split_stratified(frame, "c", "k", cells=16, classes=classes)
+        assert {r.k for r in test.collect()} == expected and sorted(r.k for r in train.collect()) == sorted(set(range(6000)) - expected)
+    _, test = mlprep.split_stratified(frame, "c", "k", cells=16)
+    rows = test._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cell" in rows and rows.count("Window") == 1 and rows.index("Union") < rows.index("Window")
+    assert mlprep.split_stratified(frame, "c", "k", share=1.0)[0].count() == 0
+
 
 def test_augmentation_correlates_all_keys(spark):
     query = spark.range(1500).selectExpr("id k", "cast(if(id < 500, -id, id) as double) y")
