@@ -157,7 +157,11 @@ def text_subsets(df: DataFrame, keys: list[str], column: str, k: int | None = 5,
         dealt = dealt.repartition(tasks, *names, "part")  # a stated number: the work is not in proportion to the bytes
         before = rows if rows.is_cached else None
         rows = small.union(dealt.groupBy(*names, "part").applyInArrow(cover(max(k, block // 16)), schema)).persist(StorageLevel.DISK_ONLY)
-    return listed(rows.groupBy(*names).applyInArrow(cover(k), schema))
+    # Most keys may have no more texts than wanted, and there may be very many keys: these need no call for each key.
+    lists = rows.groupBy(*names).agg(F.collect_list(F.struct("text", "weight")).alias("l"))
+    small = lists.where(F.size("l") <= k).select(*[F.col(c).alias(n) for c, n in zip(names, keys)], F.sort_array(F.col("l.text")).alias("texts"))
+    large = lists.where(F.size("l") > k).select(*names, F.inline("l"))
+    return small.union(listed(large.groupBy(*names).applyInArrow(cover(k), schema)))
 
 
 Summarizer = Callable[[list[str]], list[str]]

@@ -188,6 +188,9 @@ def test_text_covers_are_those_of_the_plain_rule_and_each_text_is_embedded_once(
     seen = collections.Counter((tmp_path / "seen").read_text().splitlines())
     # A text is embedded once for each of at most three rounds in which it is still a candidate.
     assert len(seen) == 320 and max(seen.values()) <= 3 and seen.total() <= 450
+    few = spark.range(100).selectExpr("id div 2 k", "concat('other ', id) t")  # no key has more texts than wanted: no call
+    assert [r.texts for r in texts.text_subsets(few, ["k"], "t", 2, counted).orderBy("k").collect()][:2] == [["other 0", "other 1"], ["other 2", "other 3"]]
+    assert "other" not in (tmp_path / "seen").read_text()
 
 
 def test_pearson_and_distance_correlation(spark):
