@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def correlate(query: DataFrame, task: choices.Task, candidate: DataFrame, column
     target, _ = aggregate_target(normal(query), keys, task.target)
     renamed = candidate.withColumnsRenamed(dict(zip(columns, keys))).drop(*[f"{task.target}{end}" for end in ("", "_vector", "_categories")])
     renamed = semi_filter(normal(renamed), target.select(*keys), keys)
-    joined = join_nullsafe(aggregate_candidate(renamed, keys), target, keys).persist()  # a row for each key, read once for each metric
+    joined = join_nullsafe(aggregate_candidate(renamed, keys), target, keys)
+    # A row for each key, read once for each metric: kept on disks, without the lists of all categories that each row would hold.
+    joined = joined.drop(*[c for c in joined.columns if c.endswith("_categories") and c not in keys]).persist(StorageLevel.DISK_ONLY)
     try:
         found = exclude_existing(feature_correlations(joined, keys, task.target, pairwise=first.distinct()), query.columns)
         return query.sparkSession.createDataFrame(found.collect(), found.schema)  # one row for each feature

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -63,7 +64,7 @@ def evaluate(df: DataFrame, target: str, features: list[str], task: str = "regre
     and else by a hash of ``key`` or of the whole row; for classification each class is."""
     carried = df.withColumn("__split", F.col(f"`{position}`") if position else F.col(f"`{key}`") if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
     rows, names = prepare(carried, target, features, task, ["__split"])
-    rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows).select("x", "label", "__split").persist()
+    rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows).select("x", "label", "__split").persist(StorageLevel.DISK_ONLY)
     try:
         if position:
             train, test = mlprep.split_by_position(rows, "__split")
