@@ -23,6 +23,7 @@ from .words import chunks, mix, string_buffers, word_hashes
 SAMPLES = 64
 #: Words whose variables are held at once.
 PART = 1 << 15
+BLOCK = 256
 _POSITIONS = np.arange(SAMPLES)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,13 +37,18 @@ def _uniforms(words: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _variables(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and b, and ln a at weight 1."""
-    u, v = _uniforms(words, 1)
-    r = -np.log(u * v)
-    u, v = _uniforms(words, 2)
-    log_c = np.log(-np.log(u * v))
-    b, _ = _uniforms(words, 3)
-    return r.astype(np.float32), b.astype(np.float32), (log_c + r * b - r).astype(np.float32)
+    """r and b, and ln a at weight 1. Made for ``BLOCK`` words at a time, whose numbers stay in a core's cache."""
+    out = tuple(np.empty((len(words), SAMPLES), np.float32) for _ in range(3))
+    for i in range(0, len(words), BLOCK):
+        some = words[i : i + BLOCK]
+        u, v = _uniforms(some, 1)
+        r = -np.log(np.multiply(u, v, out=u))
+        u, v = _uniforms(some, 2)
+        log_c = np.log(-np.log(np.multiply(u, v, out=u)))
+        b, _ = _uniforms(some, 3)
+        for held, values in zip(out, (r, b, log_c + r * b - r)):
+            held[i : i + BLOCK] = values
+    return out
 
 
 def sample_signatures(texts: pa.Array) -> np.ndarray:

@@ -689,3 +689,11 @@ def test_shingles_are_exact(texts):
     for k in (3, 5):
         found = [len(s) for _, sets in shingle_sets(pa.array(texts, pa.string()), k) for s in sets]
         assert found == brute_components(texts, k, 101)[0]
+
+
+def test_word_variables_do_not_depend_on_the_block(monkeypatch):
+    words = np.random.RandomState(5).randint(0, 1 << 62, 700).astype(np.uint64)
+    whole = [np.concatenate(x) for x in zip(*[fingerprint._variables(words[i : i + 1]) for i in range(len(words))])]
+    for block in (1, 256, 1000):
+        monkeypatch.setattr(fingerprint, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(whole, fingerprint._variables(words)))
