@@ -7,7 +7,10 @@ import json
 import re
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +63,37 @@ def text_tokens(text: Column, max_chars: int | None = None, max_tokens: int | No
     return words if max_tokens is None else F.slice(words, 1, max_tokens)
 
 
+_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789_")
+_IN_WORD, _OUTSIDE = bytes(i in _WORD for i in range(256)), bytes(set(range(256)) - _WORD)
+
+
+def word_pieces(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 22) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of ``text_tokens`` in lower-case texts, digits as they stand, and how many each text has; for about
+    ``limit`` bytes of texts at a time. Null has none."""
+    for array in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        array = pc.fill_null(array.cast(pa.large_string()), "")
+        ends = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+        whole, i = np.frombuffer(array.buffers()[2] or b"", np.uint8), 0
+        while i < len(array):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+            data, bounds = whole[ends[i] : ends[j]].tobytes(), ends[i : j + 1] - ends[i]
+            inside = np.frombuffer(data.translate(_IN_WORD), bool)
+            first, last = inside.copy(), inside.copy()
+            first[1:] &= ~inside[:-1]
+            begins = bounds[:-1][bounds[:-1] < len(data)]  # a text's first byte never goes on with the word before
+            first[begins] = inside[begins]
+            last[:-1] &= ~inside[1:] | first[1:]
+            starts = np.flatnonzero(first)
+            lengths = np.append(0, np.flatnonzero(last) + 1 - starts)
+            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.cumsum(lengths)), pa.py_buffer(data.translate(None, _OUTSIDE)))
+            yield words, np.diff(np.searchsorted(starts, bounds))
+            i = j
+
+
+def all_digits(words: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(words, r"^[0-9]+$")
+
+
 def find_json(text: str | None, key: str | None = None) -> dict | None:
     """The first object in a model's answer that has ``key``: of a fenced block, of the whole text, or between
     braces anywhere; JSON or Python literals."""

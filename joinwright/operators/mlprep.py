@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from joinwright.functions.keys import parse_number
-from joinwright.functions.text import text_tokens
+from joinwright.functions.text import all_digits, text_tokens, word_pieces
 
 from .perturb import uniform
 from .profile import NUMERIC, _col, is_numeric, null_counts
 from .quantiles import exact_quantiles
 
-#: Rows that ``numbered`` looks at to cut the order into ranges, and the number of ranges.
-SAMPLE, RANGES = 4096, 64
+#: Rows that ``numbered`` looks at to cut the order into ranges, the number of ranges, and of bounds that are met together.
+SAMPLE, RANGES, STEP = 4096, 64, 8
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -36,8 +38,13 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     bounds = sample[:: SAMPLE // RANGES][1:] if len(sample) == SAMPLE else []
     kinds = [keyed.schema[k].dataType for k in keys]
     bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, keys)]) for b in bounds]
-    cell = F.size(F.filter(F.array(*bounds), lambda b: b <= F.struct(*keys))) if bounds else F.lit(0)
-    celled = keyed.withColumn("__cell", cell)
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= F.struct(*keys)))
+    groups = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
+    if bounds:  # first which group of bounds, then which of its own
+        keyed = keyed.withColumn("__group", upto(F.array(*[g[-1] for g in groups[:-1]])))
+        celled = keyed.withColumn("__cell", F.col("__group") * STEP + F.coalesce(upto(F.get(F.array(*[F.array(*g) for g in groups]), "__group")), F.lit(0))).drop("__group")
+    else:
+        celled = keyed.withColumn("__cell", F.lit(0))
     counts = celled.groupBy("__cell").agg(F.count("*").alias("__n"))  # a row for each range
     before = counts.select("__cell", (F.sum("__n").over(W.orderBy("__cell")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(W.partitionBy("__cell").orderBy(*keys)) + F.col("__before")
@@ -232,11 +239,25 @@ def category_ids(df: DataFrame, column: str, order: str) -> DataFrame:
     return numbered(firsts, [F.col("at"), F.col("value")], "id").select("value", "id")
 
 
+def _lower(df: DataFrame, column: str, limit: int | None = None) -> Column:
+    text = _col(column).cast("string")
+    return F.lower(text if limit is None else F.substring(text, 1, limit))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, _ in word_pieces(batch.column(0)):
+            found = pc.value_counts(words)
+            found = found.filter(pc.invert(all_digits(found.field(0))))
+            yield pa.record_batch({"token": found.field(0).cast(pa.string()), "n": found.field(1)})
+
+
 def vocabulary(df: DataFrame, column: str, least: int = 2, size: int | None = None, limit: int | None = None) -> DataFrame:
     """``token, n, id``: tokens of at least ``least`` occurrences, most frequent first, ties by the token; ids from 3,
-    after padding 0, unknown 1 and numbers 2. Whole texts count, or with ``limit`` their first characters and words."""
-    tokens = df.select(F.explode(text_tokens(_col(column), limit, limit)).alias("token")).where("token <> '<NUM>'")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    after padding 0, unknown 1 and numbers 2. Whole texts count, or with ``limit`` their first characters, which hold no more
+    words than that. Words are counted piece by piece of the texts before they are shuffled."""
+    counted = df.select(_lower(df, column, limit).alias("text")).mapInArrow(_count_words, "token string, n long")
+    counts = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     ranked = numbered(counts, [-F.col("n"), F.col("token")], "id").withColumn("id", F.col("id") + 2)
     return ranked.where(F.col("id") < size) if size else ranked
 
@@ -249,16 +270,53 @@ def encode_text(df: DataFrame, column: str, words: dict[str, int], length: int,
     return df.withColumn(f"{column}_ids", F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size(ids))))
 
 
-def encode_whole_text(df: DataFrame, keys: list[str], column: str, words: DataFrame) -> DataFrame:
+def _block_words(block: pa.Table) -> pa.Table:
+    """``block, token``: the distinct words of a block's texts, without numbers."""
+    found = [pc.unique(words) for words, _ in word_pieces(block["text"])]
+    words = pa.chunked_array(found, pa.large_string()).unique()
+    words = words.filter(pc.invert(all_digits(words))).cast(pa.string())
+    return pa.table({"block": pa.repeat(block["block"][0], len(words)), "token": words})
+
+
+def _block_ids(names: list[str]):
+    """A block's rows with the ids of their words, from its known words."""
+
+    def encode(known: pa.Table, block: pa.Table) -> pa.Table:
+        tokens, ids = known["token"].combine_chunks().cast(pa.large_string()), known["id"].to_numpy()
+        found = []
+        for words, counts in word_pieces(block["text"]):
+            coded = words.dictionary_encode()
+            own = np.where(all_digits(coded.dictionary).to_numpy(zero_copy_only=False), 2, 1)
+            at = pc.index_in(coded.dictionary, tokens)
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            own[hit] = ids[at.drop_null().to_numpy()]
+            ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+            found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(own[coded.indices.to_numpy()], pa.int64())))
+        made = pa.chunked_array(found, pa.list_(pa.int64()))
+        return pa.table([*[block[f"k{i}"] for i in range(len(names) - 1)], made], names=names)
+
+    return encode
+
+
+def encode_whole_text(df: DataFrame, keys: list[str], column: str, words: DataFrame, size: int = 1 << 24) -> DataFrame:
     """``keys..., <column>_ids`` of every word of each text, unknown words 1 and numbers 2, by a join with all of
-    ``vocabulary``."""
-    rows = df.select(*[_col(k) for k in keys], F.monotonically_increasing_id().alias("__row"), text_tokens(_col(column)).alias("__words"))
-    tokens = rows.select(*[_col(k) for k in keys], "__row", F.posexplode_outer("__words").alias("__at", "token"))
-    known = F.when(F.col("token") == "<NUM>", 2).otherwise(F.coalesce("id", F.lit(1))).cast("long")
-    joined = tokens.join(words.select("token", "id"), "token", "left").withColumn("__id", known)
-    pairs = F.sort_array(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__id"))))
-    found = joined.groupBy("__row").agg(*[F.first(_col(k)).alias(k) for k in keys], F.transform(pairs, lambda p: p["__id"]).alias(f"{column}_ids"))
-    return found.drop("__row")
+    ``vocabulary``.
+
+    Rows are dealt by a hash into blocks of about ``size`` bytes of text at most, which a task holds; their number is found
+    when this is called. The distinct words of each block meet the vocabulary, so that a frequent word is one row of a block,
+    and each block's texts are encoded with the words it knows. Rows with equal keys and texts fall into the same block."""
+    names = [*keys, f"{column}_ids"]
+    total = df.agg(F.sum(F.octet_length(_col(column).cast("string")))).first()[0] or 0
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-total // min(max(total // blocks, size // 4, 1), size)))
+    told = [_sortable(f) for f in df.select(*[_col(k) for k in keys]).schema if not isinstance(f.dataType, T.UserDefinedType)]
+    block = F.pmod(F.xxhash64(*told, _col(column)), F.lit(blocks))
+    rows = df.select(block.alias("block"), _lower(df, column).alias("text"), *[_col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    rows = rows.repartition(blocks, "block").groupBy("block")  # a stated number, which is not coalesced
+    own = rows.applyInArrow(_block_words, "block long, token string")
+    known = own.join(words.select("token", "id"), "token").select("block", "token", F.col("id").cast("long").alias("id"))
+    schema = T.StructType([*df.select(*[_col(k) for k in keys]).schema, T.StructField(names[-1], T.ArrayType(T.LongType()))])
+    return known.groupBy("block").cogroup(rows).applyInArrow(_block_ids(names), schema)
 
 
 def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str], text: list[str], order: str, words: int = 10_000) -> Preprocessor:

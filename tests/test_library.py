@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,6 +501,28 @@ def test_vocabulary_counts_whole_texts(spark):
     assert {r.token for r in mlprep.vocabulary(frame, "t", limit=text.REFERENCE_LIMIT).collect()} == {"a"}
 
 
+def test_words_meet_the_vocabulary_once_in_a_block(spark):
+    odd = ["a_1 B-b\x0b7\t٣ 12é3", "x", None, "", " . ", "\u212aelvin \u0130I kelvin", "the 007 the", "ab", "cd", "a" * 300 + " tail", "n\xa0n\u2003n", "<NUM> num"]
+    rows = [(i, odd[i % len(odd)] if i % 3 else "the end the " * 40 + f"w{i % 50} {i}") for i in range(600)] + [(None, "the"), (None, "the"), (7, None)]
+    frame = spark.createDataFrame(rows, "`a.b` int, t string").repartition(3)
+    tokens = frame.select("`a.b`", F.posexplode_outer(text.text_tokens(F.col("t"))).alias("at", "token")).collect()
+    n = collections.Counter(r.token for r in tokens if r.token not in (None, "<NUM>"))
+    ids = {w: i for i, w in enumerate(sorted((w for w in n if n[w] > 1), key=lambda w: (-n[w], w)), 3)} | {"<NUM>": 2}
+    words = mlprep.vocabulary(frame, "t")
+    assert {r.token: (r.n, r.id) for r in words.collect()} == {w: (n[w], i) for w, i in ids.items() if w != "<NUM>"}
+    split = {r.t: r.w for r in frame.select("t", text.text_tokens(F.col("t")).alias("w")).distinct().collect()}
+    wanted = collections.Counter((k, *[ids.get(w, 1) for w in split[t]]) for k, t in rows)
+    for size in (64, 1 << 24):
+        found = mlprep.encode_whole_text(frame, ["a.b"], "t", words, size)
+        assert collections.Counter((r[0], *r[1]) for r in found.collect()) == wanted and found.columns == ["a.b", "t_ids"]
+    # No shuffled row is a single occurrence: the plan explodes no text, and words meet the vocabulary once for each block.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
+    pieces = list(text.word_pieces(pa.chunked_array([pa.array(["ab c", None, "", "d"]).slice(1), pa.array(["e_", "f"])]), 1))
+    assert [(w.to_pylist(), c.tolist()) for w, c in pieces] == [(["d"], [0, 0, 1]), (["e_"], [1]), (["f"], [1])]
+    assert mlprep.encode_whole_text(frame.limit(0), ["a.b"], "t", words).count() == 0
+
+
 def test_values_are_numbered_by_ranges(spark):
     frame = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 as string) v")
     found = mlprep.label_codes(frame, "v")
