@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinwright.functions import vectors
 
-from .distance import distance_correlation_of_numbers
-from .joins import join_nullsafe
+from .distance import distance_correlation_of_numbers, distance_correlation_of_points
 from .profile import is_numeric
 from .texts import Embedder, embed, hashed_ngrams
 
-#: Complete rows up to which a distance correlation of vectors is exact by blocks of rows against all.
-PAIRWISE_ROWS = 20_000
-
 
 def feature_columns(df: DataFrame, keys: list[str], target: str) -> dict[str, str]:
     """Feature -> ``numerical``, ``categorical`` (a vector) or ``text``, by type and by the ends of names."""
@@ -54,61 +49,43 @@ def _as_array(df: DataFrame, name: str) -> Column:
     return F.transform(c, lambda x: x.cast("double")) if isinstance(df.schema[name].dataType, T.ArrayType) else F.array(c.cast("double"))
 
 
-def distance_correlation(df: DataFrame, x: str, y: str, most: int = PAIRWISE_ROWS) -> DataFrame:
+def _complete(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``pair, x, y``: the rows that have both columns of a pair, as arrays of doubles, for all pairs in one pass."""
+    cells = [F.struct(F.lit(i).alias("pair"), _as_array(df, x).alias("x"), _as_array(df, y).alias("y")) for i, (x, y) in enumerate(pairs)]
+    finite = lambda a: (F.size(a) > 0) & F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return rows.where(finite("x") & finite("y"))
+
+
+def distance_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> list[float]:
+    """For each pair of columns, one of which at least holds vectors, their distance correlation over the rows that have both:
+    0 where a variance is 0, NaN under two rows."""
+    points = _complete(df, pairs).groupBy("pair", "x", "y").agg(F.count("*").cast("double").alias("w"))
+    points = points.persist(StorageLevel.DISK_ONLY)  # read several times
+    try:
+        return [distance_correlation_of_points(points.where(F.col("pair") == i).drop("pair")) for i in range(len(pairs))]
+    finally:
+        points.unpersist()
+
+
+def distance_correlation(df: DataFrame, x: str, y: str, most: int | None = None) -> DataFrame:
     """One row ``value``: the distance correlation of two numeric or vector columns over the rows that have both, 0 where
-    a variance is 0, NaN under two rows. Two numbers need no pairs of rows. With a vector every pair is needed, so more than
-    ``most`` rows are refused: the pipeline calls it on the few hundred keys of a query. Blocks of rows meet all rows in
-    parallel tasks.
-    """
-    if not any(isinstance(df.schema[c].dataType, T.ArrayType) for c in (x, y)):
+    a variance is 0, NaN under two rows. Two numbers need no pairs of rows, nor does a number with few different vectors;
+    else all pairs of different points are compared in blocks. With ``most``, more than so many rows with a vector are
+    refused."""
+    if any(isinstance(df.schema[c].dataType, T.ArrayType) for c in (x, y)):
+        if most is not None and _complete(df, [(x, y)]).limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} rows")
+        value = distance_correlations(df, [(x, y)])[0]
+    else:
         numbers = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y"))
         value = distance_correlation_of_numbers(numbers.where("x is not null and y is not null and not isnan(x) and not isnan(y)"))
-        return df.sparkSession.createDataFrame([(value,)], "value double")
-    whole = lambda a: F.size(a) > 0
-    finite = lambda a: F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v))
-    rows = df.select(_as_array(df, x).alias("x"), _as_array(df, y).alias("y")).where("x is not null and y is not null")
-    rows = rows.where(whole("x") & whole("y") & finite("x") & finite("y"))
-    # Bounded by `most`: the same few rows go to every task.
-    data = rows.limit(most + 1).collect()
-    spark = df.sparkSession
-    if len(data) > most:
-        raise ValueError(f"more than {most} rows; aggregate by key first")
-    if len(data) < 2:
-        return spark.createDataFrame([(float("nan"),)], "value double")
-    a, b = (np.array([r[i] for r in data], float) for i in range(2))
-    shared = spark.sparkContext.broadcast((a, b))
-
-    size = max(1, 2_000_000 // (len(a) * max(a.shape[1], b.shape[1])))  # bounds the cells that a task holds
-
-    def distances(v: np.ndarray, i: int, j: int) -> np.ndarray:
-        return np.sqrt(((v[i:j, None, :] - v[None, :, :]) ** 2).sum(-1))
-
-    def blocks(batches):
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                j = min(len(a), i + size)
-                left, right = (distances(v, i, j).mean(1) for v in shared.value)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(range(i, j), pa.int64()), "a": left, "b": right})
-
-    starts = spark.range(0, len(a), size)
-    means = sorted(starts.mapInArrow(blocks, "row long, a double, b double").collect())
-    centre = spark.sparkContext.broadcast((np.array([m.a for m in means]), np.array([m.b for m in means])))
-
-    def products(batches):
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                j = min(len(a), i + size)
-                p, q = (distances(v, i, j) - m[i:j, None] - m[None, :] + m.mean() for v, m in zip(shared.value, centre.value))
-                yield pa.RecordBatch.from_pydict({"pq": [(p * q).sum()], "pp": [(p * p).sum()], "qq": [(q * q).sum()]})
-
-    sums = starts.mapInArrow(products, "pq double, pp double, qq double").agg(F.sum("pq").alias("pq"), F.sum("pp").alias("pp"), F.sum("qq").alias("qq"))
-    return sums.select(F.when((F.col("pp") > 0) & (F.col("qq") > 0), F.sqrt(F.greatest(F.lit(0.0), F.col("pq")) / F.sqrt(F.col("pp") * F.col("qq")))).otherwise(0.0).alias("value"))
-
-
-def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder: Embedder = hashed_ngrams, pairwise: DataFrame | None = None) -> DataFrame:
-    """``feature, metric, value, feature_type`` for every feature. Numbers with a number: Pearson. Vectors on either side:
-    distance correlation, over the rows of ``df`` whose keys are in ``pairwise`` if that is given. Texts: their embeddings,
-    as the mean with a number and as vectors otherwise."""
+    return df.sparkSession.createDataFrame([(value,)], "value double")
+
+
+def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder: Embedder = hashed_ngrams) -> DataFrame:
+    """``feature, metric, value, feature_type`` for every feature, over all rows. Numbers with a number: Pearson. Vectors on
+    either side: distance correlation. Texts: their embeddings, as the mean with a number and as vectors otherwise."""
     vector = target if target in df.columns and isinstance(df.schema[target].dataType, T.ArrayType) else f"{target}_vector"
     numeric = target in df.columns and not isinstance(df.schema[target].dataType, T.ArrayType)
     goal = target if numeric else vector
@@ -119,11 +96,12 @@ def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder:
     linear = [(c, F.col(f"`{c}`"), F.col(f"`{goal}`")) for c, kind in features.items() if kind == "numerical" and numeric]
     linear += [(c, vectors.mean(F.col(f"`__{c}`")), F.col(f"`{goal}`")) for c, kind in features.items() if kind == "text" and numeric]
     parts = [pearson(df, linear).withColumn("metric", F.lit("pearson"))] if linear else []
-    rows = df if pairwise is None else join_nullsafe(df, pairwise, keys, "left_semi")
-    for c in features:
-        if c not in [name for name, _, _ in linear]:
-            own = f"__{c}" if features[c] == "text" else c
-            parts.append(distance_correlation(rows, own, goal).select(F.lit(c).alias("feature"), "value", F.lit("distance").alias("metric")))
+    told = {name for name, _, _ in linear}
+    rest = [c for c in features if c not in told]
+    if rest:
+        values = distance_correlations(df, [(f"__{c}" if features[c] == "text" else c, goal) for c in rest])
+        distances = df.sparkSession.createDataFrame(list(zip(rest, values)), "feature string, value double")
+        parts.append(distances.withColumn("metric", F.lit("distance")))
     if not parts:
         return df.sparkSession.createDataFrame([], "feature string, metric string, value double, feature_type string")
     found = parts[0]

@@ -1,9 +1,15 @@
-"""The distance correlation of two numbers without pairs of rows.
+"""Distance correlations of all rows: of two numbers and of a number and few different vectors without pairs of rows, and of
+others from all pairs of different points in blocks.
 
-Sums over all pairs of |x_i - x_j| |y_i - y_j| come from row sums of distances (sorted order and prefix sums) and from sums
+For two numbers, sums over all pairs of |x_i - x_j| |y_i - y_j| come from row sums of distances (sorted order and prefix sums) and from sums
 over the pairs in which both numbers rise. Both numbers are cut into ranges: pairs in different ranges of both are summed
 from the cells of that grid, and pairs that share a range within one task for each range. A bound is a range of its own,
 where differences are 0, so that a value that many rows have needs no task; the other ranges hold about as many rows each.
+
+Vectors meet as different points with the numbers of their rows. With ``m`` different vectors x and a number y, the sum over
+all pairs of |x_i - x_j| |y_i - y_j| is twice the integral over t of L(t)' A R(t), where A holds the distances of the vectors
+and L and R count each vector's rows up to t and above it; it is cut into ranges of y, one task each. Others are compared in
+blocks, each pair of blocks in one task: that work grows with the square of the number of different points.
 """
 
 from __future__ import annotations
@@ -17,6 +23,10 @@ from pyspark.sql import functions as F
 
 #: Rows that a range should hold, and the most ranges, which bounds the grid; beyond, ranges hold more rows.
 STRIP, RANGES = 50_000, 512
+#: Different vectors that meet a number without pairs of rows.
+GROUPS = 1024
+#: Bytes of a block of points, and the cells of a matrix that a task holds at once.
+BLOCK_BYTES, CELLS = 1 << 24, 1 << 18
 
 _SUMS = "rise double, ab double, aa double, bb double, a double, b double"
 
@@ -171,3 +181,146 @@ def distance_correlation_of_numbers(rows: DataFrame, strip: int = STRIP) -> floa
     pp = 2 * (n * one.xx - one.x**2) - 2 / n * s.aa + s.a**2 / n**2
     qq = 2 * (n * one.yy - one.y**2) - 2 / n * s.bb + s.b**2 / n**2
     return float(np.sqrt(max(0.0, pq) / np.sqrt(pp * qq))) if pp > 0 and qq > 0 else 0.0
+
+
+def _ratio(pq: float, pp: float, qq: float) -> float:
+    if np.isnan(pp) or np.isnan(qq):
+        return float("nan")
+    return float(np.sqrt(max(0.0, pq) / np.sqrt(pp * qq))) if pp > 0 and qq > 0 else 0.0
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean, of every row of ``a`` to every row of ``b``; from differences, as products lose the digits of near rows."""
+    found = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        found += (a[:, i, None] - b[None, :, i]) ** 2
+    return np.sqrt(found)
+
+
+def distance_correlation_of_points(points: DataFrame, strip: int = STRIP, groups: int = GROUPS, block: int | None = None) -> float:
+    """Of the columns ``x`` and ``y``, arrays of doubles, where each different point is one row with the number of its rows,
+    ``w``: 0 where a variance is 0, NaN under two rows. It reads the points several times."""
+    about = points.agg(F.count("*").alias("points"), F.sum("w").alias("n"), F.max(F.size("x")).alias("dx"), F.max(F.size("y")).alias("dy")).first()
+    if (about.n or 0) < 2:
+        return float("nan")
+    for own, other, width in (("x", "y", about.dy), ("y", "x", about.dx)):
+        if width == 1:
+            few = points.select(own).distinct().limit(groups + 1).collect()
+            if len(few) <= groups:
+                table = points.sparkSession.createDataFrame([(g, *r) for g, r in enumerate(sorted(few))], f"g long, {own} array<double>")
+                numbers = points.join(F.broadcast(table), own).select("g", F.col(other)[0].alias("y"), "w")
+                return _of_groups(numbers, np.array(sorted(r[0] for r in few), float), about.points, strip)
+    return _of_blocks(points, about.points, about.n, about.dx + about.dy, block)
+
+
+def _of_groups(numbers: DataFrame, vectors: np.ndarray, count: int, strip: int) -> float:
+    """Of ``g, y, w``: the vector's number, the finite number and the rows of each different point."""
+    ends = numbers.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("y").alias("mean")).first()
+    if len(vectors) == 1 or ends.y0 == ends.y1:
+        return 0.0
+    if not np.isfinite(ends.y1 - ends.y0) or not np.isfinite(vectors).all():
+        return float("nan")
+    near, m = _distances(vectors, vectors), len(vectors)
+    scaled = lambda v: (v - ends.mean) / (ends.y1 - ends.y0)
+    numbers = numbers.withColumn("y", scaled(F.col("y")))
+    cuts = min(RANGES, max(1, count // strip))
+    found = numbers.agg(F.percentile_approx("y", [i / (cuts + 1) for i in range(1, cuts + 1)], 100 * (cuts + 1))).first()[0]
+    bounds = np.unique(np.array(found, float))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, y, w = _columns(batch, "g y w")
+            yield _table(pa.RecordBatch, g=g, y=y, w=w, r=np.searchsorted(bounds, y))
+
+    numbers = numbers.mapInArrow(placed, "g long, y double, w double, r long")
+    # At most RANGES + 1 times GROUPS sums: what each range has below it.
+    r, g, w, s = _columns(numbers.groupBy("r", "g").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s")).toArrow(), "r g w s")
+    rows, sums = np.zeros((len(bounds) + 1, m)), np.zeros(len(bounds) + 1)
+    np.add.at(rows, (r, g), w)
+    np.add.at(sums, r, s)
+    below, below_sum, every, whole = rows.cumsum(0) - rows, sums.cumsum() - sums, rows.sum(0), float(sums.sum())
+    n, row_sums = float(every.sum()), near @ every
+    starts, stops = np.append(scaled(ends.y0), bounds), np.append(bounds, scaled(ends.y1))
+
+    def integrate(table: pa.Table) -> pa.Table:
+        g, y, w, r = _columns(table, "g y w r")
+        by = np.argsort(y, kind="stable")
+        g, y, w, r = g[by], y[by], w[by], int(r[0])
+        held, summed, at = below[r], below_sum[r], starts[r]
+        ab, a_b, b, bb = held @ near @ (every - held) * (y[0] - at), 0.0, 0.0, 0.0
+        left, mine = held.sum(), held @ row_sums
+        a_b += (mine * (n - left) + left * (every @ row_sums - mine)) * (y[0] - at)
+        b += left * (n - left) * (y[0] - at)
+        after, size = np.append(y[1:], stops[r]) - y, max(1, CELLS // m)
+        for i in range(0, len(y), size):
+            j = min(len(y), i + size)
+            upto = np.zeros((j - i, m))
+            upto[np.arange(j - i), g[i:j]] = w[i:j]
+            upto = upto.cumsum(0) + held
+            totals = summed + (w[i:j] * y[i:j]).cumsum()
+            left, mine, gap = upto.sum(1), upto @ row_sums, after[i:j]
+            ab += gap @ ((upto @ near) * (every - upto)).sum(1)
+            a_b += gap @ (mine * (n - left) + left * (every @ row_sums - mine))
+            b += gap @ (left * (n - left))
+            bb += w[i:j] @ (y[i:j] * (2 * left - n) + whole - 2 * totals) ** 2
+            held, summed = upto[-1], totals[-1]
+        return _table(pa.Table, **{k: np.array([v], float) for k, v in {"ab": ab, "a_b": a_b, "b": b, "bb": bb}.items()})
+
+    s = numbers.groupBy("r").applyInArrow(integrate, "ab double, a_b double, b double, bb double").agg(*[F.sum(c).alias(c) for c in ("ab", "a_b", "b", "bb")]).first()
+    one = numbers.agg(F.sum(F.col("w") * F.col("y") ** 2).alias("yy")).first()
+    a, b = float(every @ row_sums), 2 * s.b
+    pq = 2 * s.ab - 2 / n * s.a_b + a * b / n**2
+    pp = float(every @ near**2 @ every) - 2 / n * float(every @ row_sums**2) + a**2 / n**2
+    qq = 2 * (n * one.yy - whole**2) - 2 / n * s.bb + b**2 / n**2
+    return _ratio(pq, pp, qq)
+
+
+def _of_blocks(points: DataFrame, count: int, n: float, width: int, block: int | None) -> float:
+    """Of all pairs of points: they are dealt into blocks by a hash, and each pair of blocks is one task's."""
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = block or max(1, BLOCK_BYTES // (8 * (width + 1)))
+    blocks = max(-(-count // block), min(int(np.sqrt(2 * tasks)) + 1, -(-count // 2000)))
+    own = F.pmod(F.xxhash64("x", "y"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    met = points.withColumn("own", own).withColumn("other", other)
+    met = met.select("x", "y", "w", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def sides(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each block's number, vectors and weights, in an order of its own points alone."""
+        mine = table["own"].to_numpy()
+        x, y = (table[c].combine_chunks().flatten().to_numpy().reshape(len(mine), -1) for c in "xy")
+        w, found = table["w"].to_numpy(), []
+        for b in np.unique(mine):
+            at = np.flatnonzero(mine == b)
+            at = at[np.lexsort(np.column_stack((x[at], y[at])).T)]
+            found.append((int(b), x[at], y[at], w[at]))
+        return found
+
+    def compare(table: pa.Table) -> pa.Table:
+        """For each point of both blocks its sums of distances to the other block's, and once for a pair of blocks its products."""
+        found = sides(table)
+        (i, x, y, w), (j, u, v, q) = found[0], found[-1]
+        if i == j and table["lo"][0] != table["hi"][0]:  # the other block has no points
+            return _table(pa.Table, own=np.zeros(0, np.int64), place=np.zeros(0, np.int64), **{c: np.zeros(0) for c in ("w", "a", "b", "ab", "aa", "bb")})
+        rows, columns = np.zeros((2, len(x))), np.zeros((2, len(u)))
+        ab = aa = bb = 0.0
+        size = max(1, CELLS // len(u))
+        for k in range(0, len(x), size):
+            a, b = _distances(x[k : k + size], u), _distances(y[k : k + size], v)
+            some = w[k : k + size]
+            rows[:, k : k + size] = a @ q, b @ q
+            columns += some @ a, some @ b
+            ab, aa, bb = (t + some @ (p @ q) for t, p in ((ab, a * b), (aa, a * a), (bb, b * b)))
+        twice = 1 if i == j else 2
+        parts = [(i, w, rows)] if i == j else [(i, w, rows), (j, q, columns)]
+        owner, place, weight, sums = (np.concatenate(c, axis=-1) for c in zip(*[(np.full(len(p), b), np.arange(len(p)), p, s) for b, p, s in parts]))
+        once = lambda value: np.append(twice * value, np.zeros(len(owner) - 1))
+        return _table(pa.Table, own=owner, place=place, w=weight, a=sums[0], b=sums[1], ab=once(ab), aa=once(aa), bb=once(bb))
+
+    pairs = blocks * (blocks + 1) // 2
+    met = met.repartition(min(pairs, 4_000), "lo", "hi")  # a stated number: the work is not in proportion to the bytes
+    found = met.groupBy("lo", "hi").applyInArrow(compare, "own long, place long, w double, a double, b double, ab double, aa double, bb double")
+    by = found.groupBy("own", "place").agg(F.max("w").alias("w"), *[F.sum(c).alias(c) for c in ("a", "b", "ab", "aa", "bb")])
+    w = F.col("w")
+    s = by.agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb")], *[F.sum(w * e).alias(k) for k, e in (("a", F.col("a")), ("b", F.col("b")), ("a_b", F.col("a") * F.col("b")), ("a_a", F.col("a") ** 2), ("b_b", F.col("b") ** 2))]).first()
+    return _ratio(s.ab - 2 / n * s.a_b + s.a * s.b / n**2, s.aa - 2 / n * s.a_a + s.a**2 / n**2, s.bb - 2 / n * s.b_b + s.b**2 / n**2)

@@ -665,3 +665,27 @@ def test_rising_sums_are_those_of_all_lower_points():
         once = make.permutation(n)
         lower = (x[None, :] < x[:, None]) & (once[None, :] < once[:, None])
         assert np.allclose(distance.rising(x, once, rows), lower @ rows)
+
+
+@pytest.mark.parametrize("strip, groups, block", [(7, 1024, None), (60, 1024, None), (10_000, 30, None), (100, 2, 40), (100, 2, 1000)])
+def test_distance_correlation_of_vectors_is_that_of_all_pairs(spark, strip, groups, block):
+    make = np.random.RandomState(5)
+    few, y = np.eye(6)[make.randint(0, 6, 500)], make.randn(500).round(1)
+    many, hot = make.rand(500, 3), np.where(make.rand(500) < 0.5, 2.5, make.randn(500))
+    column = lambda v: v.reshape(len(v), -1)
+    for x, y in ((few, y), (few, few @ np.arange(6) + hot), (hot, few), (many, y), (many, few), (few, 0 * hot), (many + 1e4, many @ np.ones(3))):
+        x, y = column(x), column(y)
+        a, b = (np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)) for v in (x, y))
+        a, b = (d - d.mean(0) - d.mean(1)[:, None] + d.mean() for d in (a, b))
+        expected = np.sqrt(max(0, (a * b).sum()) / np.sqrt((a * a).sum() * (b * b).sum())) if (b * b).sum() > 1e-20 else 0.0
+        rows = collections.Counter(zip(map(tuple, x.tolist()), map(tuple, y.tolist())))
+        points = spark.createDataFrame([(list(p), list(q), float(w)) for (p, q), w in rows.items()], "x array<double>, y array<double>, w double").repartition(3)
+        assert distance.distance_correlation_of_points(points, strip, groups, block) == pytest.approx(expected, abs=1e-9)
+
+
+def test_feature_table_of_more_rows_than_are_compared_in_pairs(spark):
+    frame = spark.range(21_000).selectExpr("id k", "array(cast(id % 2 as double), 0D) x_vector", "cast(if(id < 20500, id % 3, id % 2 * 9) as double) y")
+    found = assoc.feature_correlations(frame, ["k"], "y").first()
+    x, y = np.arange(21_000) % 2, np.where(np.arange(21_000) < 20_500, np.arange(21_000) % 3, np.arange(21_000) % 2 * 9)
+    expected = distance.distance_correlation_of_numbers(spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y)], "x double, y double"))
+    assert (found.feature, found.metric) == ("x", "distance") and found.value == pytest.approx(expected, abs=1e-9)
