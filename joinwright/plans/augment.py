@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from joinwright.functions.keys import normalize_key
 from joinwright.operators.aggregate import aggregate_candidate, aggregate_target
 from joinwright.operators.assoc import feature_correlations
-from joinwright.operators.joins import exclude_existing, join_coverage, join_left_dedup, join_nullsafe, semi_filter, top_keys_filter
+from joinwright.operators.joins import exclude_existing, join_coverage, join_left_dedup, join_nullsafe, semi_filter
 from joinwright.operators.sketch import propose_join_columns
 from joinwright.sources.catalog import catalog_of
 
@@ -40,12 +40,10 @@ def propose(query: DataFrame, task: choices.Task, lake: Mapping[str, DataFrame],
     return choices.select_join_columns(propose_join_columns(query, list(task.join_columns), tables))
 
 
-def correlate(query: DataFrame, task: choices.Task, candidate: DataFrame, columns: list[str], max_keys: int = 500) -> DataFrame:
-    """The correlation table of one candidate with the target, both aggregated by the normalised key. Pearson correlations
-    are of all keys; distance correlations of the first ``max_keys`` of the query, as every pair of keys counts in them."""
+def correlate(query: DataFrame, task: choices.Task, candidate: DataFrame, columns: list[str]) -> DataFrame:
+    """The correlation table of one candidate with the target, both aggregated by the normalised key, over all keys."""
     keys = list(task.join_columns)
     normal = lambda df: df.na.drop(subset=keys).withColumns({k: normalize_key(F.col(k)) for k in keys})
-    first = normal(top_keys_filter(query, keys[0], keys[0], max_keys).select(*keys))
     target, _ = aggregate_target(normal(query), keys, task.target)
     renamed = candidate.withColumnsRenamed(dict(zip(columns, keys))).drop(*[f"{task.target}{end}" for end in ("", "_vector", "_categories")])
     renamed = semi_filter(normal(renamed), target.select(*keys), keys)

@@ -590,6 +590,18 @@ def test_augmentation_correlates_all_keys(spark):
     assert found["x"] == ("pearson", pytest.approx(expected)) and found["c"][0] == "distance" and found["c"][1] < 0.1
 
 
+def test_augmentation_finds_vectors_that_tell_late_keys_alone(spark):
+    query = spark.range(1500).selectExpr("id k", "cast(if(id < 500, 7 - id % 2, id % 3) as double) y")
+    lake = spark.range(1500).selectExpr("id j", "concat('c', if(id < 500, hash(id) % 3, id % 3)) c")
+    found = augment.correlate(query, choices.Task.of("query", "k", "y"), lake, ["j"])
+    y = [7 - i % 2 if i < 500 else i % 3 for i in range(1500)]
+    c = [r.c for r in lake.orderBy("j").collect()]
+    a, b = (np.not_equal.outer(v, v).astype(float) for v in (c, y))  # the target has few values, which makes it a category
+    a, b = (d - d.mean(0) - d.mean(1)[:, None] + d.mean() for d in (a, b))
+    expected = np.sqrt((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+    assert [(r.feature, r.metric) for r in found.collect()] == [("c", "distance")] and found.first().value == pytest.approx(expected)
+
+
 def test_augmentation_with_composite_keys(spark):
     query = spark.range(600).selectExpr("concat(' K', id % 20) k", "cast(id % 5 as string) j", "cast(id % 20 * 10 + id % 5 as double) y")
     lake = spark.range(600).selectExpr("concat('k', id % 30, ' ') a", "cast(id % 5 as double) b", "cast(id % 30 * 10 + id % 5 as double) x", "array(1.0D) y_vector", "cast(id % 3 as double) y")
