@@ -24,24 +24,37 @@ def aggregate_numeric(df: DataFrame, keys: list[str], columns: list[str], functi
     return _present(df, keys).groupBy(*keys).agg(*[FUNCTIONS[function](F.col(f"`{c}`")).alias(c) for c in columns])
 
 
-def category_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.where(F.col(f"`{column}`").isNotNull()).groupBy(*keys, F.col(f"`{column}`").cast("string").alias("__category")).agg(F.count("*").alias("__n"))
+def category_shares(df: DataFrame, keys: list[str], column: str, proportion: bool = True) -> DataFrame:
+    """``<column>_vector``: for each key the categories that it has and their shares (or counts), as a sorted array of pairs.
+    Every distinct key of the table has a row, with an empty array if it has no category, missing keys too; the rows of a missing
+    key are not counted."""
+    present = reduce(lambda x, y: x & y, [F.col(f"`{k}`").isNotNull() for k in keys])
+    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys], F.col(f"`{column}`").cast("string").alias("category")).agg(F.count("*").alias("value"))
+    counted = F.when(present & F.col("category").isNotNull(), F.col("value"))
+    own = counts.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.array_sort(F.collect_list(F.when(counted.isNotNull(), F.struct("category", "value")))).alias("own"), F.sum(counted).alias("total"))
+    value = (lambda e: e["value"] / F.col("total")) if proportion else (lambda e: e["value"].cast("double"))
+    return own.select(*[F.col(f"`{k}`") for k in keys], F.transform("own", lambda e: F.struct(e["category"].alias("category"), value(e).alias("value"))).alias(f"{column}_vector"))
+
+
+def with_all_categories(shares: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each ``<column>_vector`` of ``category_shares`` with a value for all categories of ``df`` in sorted order, and
+    ``<column>_categories`` after it. Vectors are as long as there are categories, so rows should be joined and sorted before."""
+    for column in columns:
+        vector, names = f"{column}_vector", f"{column}_categories"
+        categories = df.select(F.col(f"`{column}`").cast("string").alias("c")).where("c is not null").distinct().agg(F.sort_array(F.collect_list("c")).alias("__all"))
+        held = shares.withColumn(vector, F.map_from_entries(F.col(f"`{vector}`"))).join(F.broadcast(categories))  # one row of categories
+        has = F.col(f"`{vector}`")
+        made = F.when(has.isNotNull(), F.transform("__all", lambda c: F.coalesce(F.try_element_at(has, c), F.lit(0.0)))).alias(vector)  # noqa: B023
+        every = F.when(has.isNotNull(), F.col("__all")).alias(names)
+        shares = held.select(*[x for c in shares.columns for x in ((made, every) if c == vector else (F.col(f"`{c}`"),))])
+    return shares
 
 
 def aggregate_category_vector(df: DataFrame, keys: list[str], column: str, proportion: bool = True) -> DataFrame:
     """``<column>_vector``: for each key the shares (or counts) of all categories in sorted order, and
     ``<column>_categories``. Every distinct key of the table has a row, with zeros if it has no category, missing
     keys too; the rows of a missing key are not counted."""
-    counts = category_counts(_present(df, keys), keys, column)
-    categories = df.select(F.col(f"`{column}`").cast("string").alias("c")).where("c is not null").distinct().agg(F.sort_array(F.collect_list("c")).alias("__all"))
-    maps = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__category", "__n"))).alias("__map"), F.sum("__n").alias("__total"))
-    every = df.select(*keys).distinct().join(F.broadcast(categories))  # one row of categories
-    maps = maps.select(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)], "__map", "__total")
-    joined = every.join(maps, reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]), "left")
-    total = F.coalesce(F.col("__total"), F.lit(0))
-    share = lambda c: F.coalesce(F.try_element_at("__map", c), F.lit(0))
-    value = (lambda c: F.when(total > 0, share(c) / total).otherwise(0.0)) if proportion else (lambda c: share(c).cast("double"))
-    return joined.select(*keys, F.transform("__all", value).alias(f"{column}_vector"), F.col("__all").alias(f"{column}_categories"))
+    return with_all_categories(category_shares(df, keys, column, proportion), df, [column])
 
 
 def aggregate_category_onehot(df: DataFrame, keys: list[str], column: str, proportion: bool = True) -> DataFrame:
@@ -59,17 +72,25 @@ def aggregate_text(df: DataFrame, keys: list[str], column: str, k: int = 5, sepa
     return subsets.select(*keys, F.coalesce(F.array_join("texts", separator), F.lit("")).alias(f"{column}_text"))
 
 
-def aggregate_candidate(df: DataFrame, keys: list[str], declared: Mapping[str, str] | None = None, function: str = "mean", k: int = 5) -> DataFrame:
-    """All aggregates of a candidate table by key: numbers in one pass, then vectors and texts, merged by key. A table
-    without any gives its distinct keys."""
-    df = convert_numeric_columns(df, keys)
+def candidate_parts(df: DataFrame, keys: list[str], declared: Mapping[str, str] | None = None, function: str = "mean", k: int = 5) -> tuple[DataFrame, list[str]]:
+    """All aggregates of a candidate table by key: numbers in one pass, then shares of each key's own categories and texts, merged
+    by key, and the columns that are categories. A table without any gives its distinct keys."""
     classes = {c: kind for c, kind in column_classes(df.drop(*keys), declared).items()}
     of = lambda kind: [c for c, x in classes.items() if x == kind]
     numbers = [c for c in of("numerical") if dict(df.dtypes)[c] not in ("string", "date", "timestamp")]
     parts = [aggregate_numeric(df, keys, numbers, function)] if numbers else []
-    parts += [_present(aggregate_category_vector(df, keys, c), keys) for c in of("categorical")]
+    parts += [_present(category_shares(df, keys, c), keys) for c in of("categorical")]
     parts += [aggregate_text(df, keys, c, k) for c in of("text")]
-    return merge_outer(parts, keys) if parts else _present(df, keys).select(*keys).distinct()
+    merged = merge_outer(parts, keys) if parts else _present(df, keys).select(*keys).distinct()
+    return merged, of("categorical")
+
+
+def aggregate_candidate(df: DataFrame, keys: list[str], declared: Mapping[str, str] | None = None, function: str = "mean", k: int = 5) -> DataFrame:
+    """All aggregates of a candidate table by key: numbers in one pass, then vectors and texts, merged by key. A table
+    without any gives its distinct keys."""
+    df = convert_numeric_columns(df, keys)
+    merged, categorical = candidate_parts(df, keys, declared, function, k)
+    return with_all_categories(merged, df, categorical)
 
 
 def aggregate_tables(lake: Mapping[str, DataFrame], chosen: Mapping[str, list[str]], query_keys: list[str], keys: DataFrame, **options) -> dict[str, DataFrame]:
@@ -82,17 +103,23 @@ def aggregate_tables(lake: Mapping[str, DataFrame], chosen: Mapping[str, list[st
     return found
 
 
-def aggregate_target(df: DataFrame, keys: list[str], target: str, kind: str | None = None) -> tuple[DataFrame, str]:
-    """Numbers by their mean, two-valued texts as 0 and 1, categories as vectors; other classes are an error."""
+def target_parts(df: DataFrame, keys: list[str], target: str, kind: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """The target by key, its rows as they are counted, and its kind; of categories the shares of each key's own."""
     df = binary_target(convert_numeric_columns(df.select(*keys, target), keys), target)
     kind = kind or column_classes(df.select(target)).get(target)
     if kind == "numerical":
-        return aggregate_numeric(df, keys, [target]), kind
+        return aggregate_numeric(df, keys, [target]), df, kind
     if kind == "categorical":
-        return aggregate_category_vector(df, keys, target), kind
+        return category_shares(df, keys, target), df, kind
     raise ValueError(f"the target is neither numerical nor categorical: {kind}")
 
 
+def aggregate_target(df: DataFrame, keys: list[str], target: str, kind: str | None = None) -> tuple[DataFrame, str]:
+    """Numbers by their mean, two-valued texts as 0 and 1, categories as vectors; other classes are an error."""
+    found, df, kind = target_parts(df, keys, target, kind)
+    return (with_all_categories(found, df, [target]) if kind == "categorical" else found), kind
+
+
 def pivot_latest(log: DataFrame, row: str, column: str, value: str, order: str, columns: list) -> DataFrame:
     """A matrix of the latest value of each cell."""
     cells = [F.max_by(F.when(F.col(column) == c, F.col(value)), F.when(F.col(column) == c, F.col(order))).alias(f"{column}_{c}") for c in columns]

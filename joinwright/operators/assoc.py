@@ -44,26 +44,27 @@ def pearson(df: DataFrame, pairs: list[tuple[str, Column, Column]]) -> DataFrame
     return df.agg(F.array(*cells).alias("p")).select(F.inline("p"))
 
 
-def _as_array(df: DataFrame, name: str) -> Column:
-    c = F.col(f"`{name}`")
-    return F.transform(c, lambda x: x.cast("double")) if isinstance(df.schema[name].dataType, T.ArrayType) else F.array(c.cast("double"))
-
-
-def _complete(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``pair, x, y``: the rows that have both columns of a pair, as arrays of doubles, for all pairs in one pass."""
-    cells = [F.struct(F.lit(i).alias("pair"), _as_array(df, x).alias("x"), _as_array(df, y).alias("y")) for i, (x, y) in enumerate(pairs)]
-    finite = lambda a: (F.size(a) > 0) & F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v))
-    rows = df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return rows.where(finite("x") & finite("y"))
-
-
-def distance_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> list[float]:
-    """For each pair of columns, one of which at least holds vectors, their distance correlation over the rows that have both:
-    0 where a variance is 0, NaN under two rows."""
-    points = _complete(df, pairs).groupBy("pair", "x", "y").agg(F.count("*").cast("double").alias("w"))
-    points = points.persist(StorageLevel.DISK_ONLY)  # read several times
+def _complete(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``x, y``: the rows that have both columns, as doubles, arrays of doubles or sparse vectors."""
+    cells, rule = [], F.lit(True)
+    for name, c in (("x", x), ("y", y)):
+        kind, value = df.schema[c].dataType, F.col(f"`{c}`")
+        if not isinstance(kind, T.ArrayType):
+            value = value.cast("double")
+            rule &= ~F.isnan(name)
+        elif not isinstance(kind.elementType, T.StructType):
+            value = F.transform(value, lambda v: v.cast("double"))
+            rule &= (F.size(name) > 0) & F.forall(name, lambda v: v.isNotNull() & ~F.isnan(v))
+        cells.append(value.alias(name))
+    return df.select(*cells).where("x is not null and y is not null").where(rule)
+
+
+def distance_correlation_of_vectors(df: DataFrame, x: str, y: str) -> float:
+    """Of two columns, one of which at least holds vectors, over the rows that have both."""
+    # A row for each different point, read several times.
+    points = _complete(df, x, y).groupBy("x", "y").agg(F.count("*").cast("double").alias("w")).persist(StorageLevel.DISK_ONLY)
     try:
-        return [distance_correlation_of_points(points.where(F.col("pair") == i).drop("pair")) for i in range(len(pairs))]
+        return distance_correlation_of_points(points)
     finally:
         points.unpersist()
 
@@ -74,9 +75,9 @@ def distance_correlation(df: DataFrame, x: str, y: str, most: int | None = None)
     else all pairs of different points are compared in blocks. With ``most``, more than so many rows with a vector are
     refused."""
     if any(isinstance(df.schema[c].dataType, T.ArrayType) for c in (x, y)):
-        if most is not None and _complete(df, [(x, y)]).limit(most + 1).count() > most:
+        if most is not None and _complete(df, x, y).limit(most + 1).count() > most:
             raise ValueError(f"more than {most} rows")
-        value = distance_correlations(df, [(x, y)])[0]
+        value = distance_correlation_of_vectors(df, x, y)
     else:
         numbers = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y"))
         value = distance_correlation_of_numbers(numbers.where("x is not null and y is not null and not isnan(x) and not isnan(y)"))
@@ -84,8 +85,8 @@ def distance_correlation(df: DataFrame, x: str, y: str, most: int | None = None)
 
 
 def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder: Embedder = hashed_ngrams) -> DataFrame:
-    """``feature, metric, value, feature_type`` for every feature, over all rows. Numbers with a number: Pearson. Vectors on
-    either side: distance correlation. Texts: their embeddings, as the mean with a number and as vectors otherwise."""
+    """``feature, metric, value, feature_type`` for every feature, over all rows. Numbers with a number: Pearson. Vectors,
+    sparse ones too, on either side: distance correlation. Texts: their embeddings, as the mean with a number and as vectors otherwise."""
     vector = target if target in df.columns and isinstance(df.schema[target].dataType, T.ArrayType) else f"{target}_vector"
     numeric = target in df.columns and not isinstance(df.schema[target].dataType, T.ArrayType)
     goal = target if numeric else vector
@@ -99,7 +100,7 @@ def feature_correlations(df: DataFrame, keys: list[str], target: str, embedder:
     told = {name for name, _, _ in linear}
     rest = [c for c in features if c not in told]
     if rest:
-        values = distance_correlations(df, [(f"__{c}" if features[c] == "text" else c, goal) for c in rest])
+        values = [distance_correlation_of_vectors(df, f"__{c}" if features[c] == "text" else c, goal) for c in rest]
         distances = df.sparkSession.createDataFrame(list(zip(rest, values)), "feature string, value double")
         parts.append(distances.withColumn("metric", F.lit("distance")))
     if not parts:

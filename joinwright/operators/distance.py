@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a range should hold, and the most ranges, which bounds the grid; beyond, ranges hold more rows.
 STRIP, RANGES = 50_000, 512
@@ -197,20 +198,57 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(found)
 
 
+def _is_sparse(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
+def _wide(values: list) -> np.ndarray:
+    """Vectors as rows of a matrix; sparse ones get a place for each category that any of them has."""
+    if not values or not values[0] or not isinstance(values[0][0], tuple):
+        if not any(isinstance(e, tuple) for v in values for e in v):
+            return np.array(values, float)
+    places = {c: i for i, c in enumerate(sorted({c for v in values for c, _ in v}))}
+    found = np.zeros((len(values), len(places)))
+    for i, v in enumerate(values):
+        for c, x in v:
+            found[i, places[c]] = x
+    return found
+
+
+def _wide_columns(points: DataFrame) -> DataFrame:
+    """``x`` and ``y`` as arrays of doubles."""
+    for c in "xy":
+        kind = points.schema[c].dataType
+        if _is_sparse(kind):
+            category, value = kind.elementType.names
+            every = points.select(F.explode(F.col(c)[category]).alias("c")).distinct().agg(F.sort_array(F.collect_list("c")).alias("__all"))
+            points = points.withColumn(c, F.map_from_entries(c)).join(F.broadcast(every))  # one row of categories
+            points = points.withColumn(c, F.transform("__all", lambda k: F.coalesce(F.try_element_at(F.col(c), k), F.lit(0.0)))).drop("__all")  # noqa: B023
+        elif not isinstance(kind, T.ArrayType):
+            points = points.withColumn(c, F.array(c))
+    return points.select("x", "y", "w")
+
+
 def distance_correlation_of_points(points: DataFrame, strip: int = STRIP, groups: int = GROUPS, block: int | None = None) -> float:
-    """Of the columns ``x`` and ``y``, arrays of doubles, where each different point is one row with the number of its rows,
-    ``w``: 0 where a variance is 0, NaN under two rows. It reads the points several times."""
-    about = points.agg(F.count("*").alias("points"), F.sum("w").alias("n"), F.max(F.size("x")).alias("dx"), F.max(F.size("y")).alias("dy")).first()
+    """Of the columns ``x`` and ``y``, where each different point is one row with the number of its rows, ``w``: 0 where a
+    variance is 0, NaN under two rows. A column holds doubles, arrays of doubles, or sparse vectors: sorted arrays of pairs of a
+    category and its value, other than which all are 0. It reads the points several times."""
+    width = lambda c: F.max(F.size(c)) if isinstance(points.schema[c].dataType, T.ArrayType) and not _is_sparse(points.schema[c].dataType) else F.lit(0)
+    about = points.agg(F.count("*").alias("points"), F.sum("w").alias("n"), width("x").alias("x"), width("y").alias("y")).first()
     if (about.n or 0) < 2:
         return float("nan")
-    for own, other, width in (("x", "y", about.dy), ("y", "x", about.dx)):
-        if width == 1:
-            few = points.select(own).distinct().limit(groups + 1).collect()
+    for c in "xy":
+        if about[c] == 1:
+            points = points.withColumn(c, F.col(c)[0])
+    for own, other in (("x", "y"), ("y", "x")):
+        if not isinstance(points.schema[other].dataType, T.ArrayType):
+            few = [r[0] for r in points.select(own).distinct().limit(groups + 1).collect()]
             if len(few) <= groups:
-                table = points.sparkSession.createDataFrame([(g, *r) for g, r in enumerate(sorted(few))], f"g long, {own} array<double>")
-                numbers = points.join(F.broadcast(table), own).select("g", F.col(other)[0].alias("y"), "w")
-                return _of_groups(numbers, np.array(sorted(r[0] for r in few), float), about.points, strip)
-    return _of_blocks(points, about.points, about.n, about.dx + about.dy, block)
+                table = points.sparkSession.createDataFrame(list(enumerate(few)), T.StructType([T.StructField("g", T.LongType()), T.StructField(own, points.schema[own].dataType)]))
+                numbers = points.join(F.broadcast(table), own).select("g", F.col(other).alias("y"), "w")
+                vectors = _wide([v if isinstance(v, list) else [v] for v in few])
+                return _of_groups(numbers, vectors, about.points, strip) if vectors.shape[1] else float("nan")
+    return _of_blocks(_wide_columns(points), about.points, about.n, block)
 
 
 def _of_groups(numbers: DataFrame, vectors: np.ndarray, count: int, strip: int) -> float:
@@ -275,9 +313,12 @@ def _of_groups(numbers: DataFrame, vectors: np.ndarray, count: int, strip: int)
     return _ratio(pq, pp, qq)
 
 
-def _of_blocks(points: DataFrame, count: int, n: float, width: int, block: int | None) -> float:
+def _of_blocks(points: DataFrame, count: int, n: float, block: int | None) -> float:
     """Of all pairs of points: they are dealt into blocks by a hash, and each pair of blocks is one task's."""
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = points.select((F.size("x") + F.size("y")).alias("n")).first().n
+    if not width:
+        return float("nan")
     block = block or max(1, BLOCK_BYTES // (8 * (width + 1)))
     blocks = max(-(-count // block), min(int(np.sqrt(2 * tasks)) + 1, -(-count // 2000)))
     own = F.pmod(F.xxhash64("x", "y"), F.lit(blocks))
@@ -292,7 +333,7 @@ def _of_blocks(points: DataFrame, count: int, n: float, width: int, block: int |
         w, found = table["w"].to_numpy(), []
         for b in np.unique(mine):
             at = np.flatnonzero(mine == b)
-            at = at[np.lexsort(np.column_stack((x[at], y[at])).T)]
+            at = at[np.lexsort(np.column_stack((w[at], x[at], y[at])).T)]
             found.append((int(b), x[at], y[at], w[at]))
         return found
 

@@ -1,12 +1,13 @@
 """Bottom-k sketches of columns, and the join columns that they propose.
 
 A sketch is a set of rows ``(table_id, column, hash)``: the k smallest hashes of a column's distinct normal forms. All columns
-of all tables are sketched by one plan. Only the first ``k_max`` hashes of each column can be in a sketch, so tasks
-drop all others before the ranking's shuffle.
+of all tables are sketched by one plan. Only the first ``k_max`` hashes of each column can be in a sketch, so most
+others are dropped before the ranking's shuffle.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,12 +33,16 @@ def long_values(df: DataFrame, table_id: str, columns: list[str] | None = None)
 
 
 def _smallest(hashes: DataFrame, extra: list[str], k: int, ratio: float, k_max: int) -> DataFrame:
-    """Of distinct rows ``(table_id, column, hash, *extra)``; n is their number in the column."""
+    """Of distinct rows ``(table_id, column, hash, *extra)``; n is their number in the column. Hashes are counted by their first
+    three digits, and only those up to the digits with which a column has ``k_max`` are ranked, so no task sorts a column."""
     keys = ["table_id", "column"]
+    digits = F.substring("hash", 1, 3)
+    counts = hashes.groupBy(*keys, digits.alias("digits")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*keys).orderBy("digits"))
+    edges = counts.withColumn("upto", upto).groupBy(*keys).agg(F.sum("n").alias("n"), F.min(F.when(F.col("upto") >= k_max, F.col("digits"))).alias("edge"))
+    first = hashes.join(F.broadcast(edges), keys).where(F.col("edge").isNull() | (digits <= F.col("edge")))  # a row for each column
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("hash", *extra))
-    first = hashes.withColumn("rank", rank).where(F.col("rank") <= k_max)
-    sizes = hashes.groupBy(*keys).agg(F.count("*").alias("n"))
-    kept = first.join(sizes, keys).where(F.col("rank") <= effective_k(F.col("n"), k, ratio, k_max))
+    kept = first.withColumn("rank", rank).where(F.col("rank") <= effective_k(F.col("n"), k, ratio, k_max))
     return kept.select(*keys, "hash", *extra)
 
 
@@ -81,12 +86,19 @@ def top_columns(scored: DataFrame, k: int = 5, least: float = 0.1, score: str =
 
 
 def propose_join_columns(query: DataFrame, keys: list[str], lake: dict[str, DataFrame], k: int = 5, least: float = 0.1) -> DataFrame:
-    """Join columns of every table of a lake for each key of a query table."""
+    """Join columns of every table of a lake for each key of a query table, found when this is called."""
     candidates = None
     for table_id, df in lake.items():
         values = long_values(df, table_id)
         candidates = values if candidates is None else candidates.union(values)
-    return top_columns(scores(bottom_k(long_values(query, "query", keys)), bottom_k(candidates, k=1024)), k, least)
+    # Sketches are small and read several times; without this, each time from all values.
+    sketches = [bottom_k(long_values(query, "query", keys)).persist(StorageLevel.DISK_ONLY), bottom_k(candidates, k=1024).persist(StorageLevel.DISK_ONLY)]
+    try:
+        found = top_columns(scores(*sketches), k, least)
+        return query.sparkSession.createDataFrame(found.collect(), found.schema)  # at most k rows for each key and table
+    finally:
+        for s in sketches:
+            s.unpersist()
 
 
 def best_score(chosen: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinwright.functions.keys import normalize_key
-from joinwright.operators.aggregate import aggregate_candidate, aggregate_target
+from joinwright.operators.aggregate import candidate_parts, target_parts
 from joinwright.operators.assoc import feature_correlations
 from joinwright.operators.joins import exclude_existing, join_coverage, join_left_dedup, join_nullsafe, semi_filter
+from joinwright.operators.profile import convert_numeric_columns
 from joinwright.operators.sketch import propose_join_columns
 from joinwright.sources.catalog import catalog_of
 
@@ -44,17 +45,23 @@ def correlate(query: DataFrame, task: choices.Task, candidate: DataFrame, column
     """The correlation table of one candidate with the target, both aggregated by the normalised key, over all keys."""
     keys = list(task.join_columns)
     normal = lambda df: df.na.drop(subset=keys).withColumns({k: normalize_key(F.col(k)) for k in keys})
-    target, _ = aggregate_target(normal(query), keys, task.target)
+    target, _, _ = target_parts(normal(query), keys, task.target)
     renamed = candidate.withColumnsRenamed(dict(zip(columns, keys))).drop(*[f"{task.target}{end}" for end in ("", "_vector", "_categories")])
-    renamed = semi_filter(normal(renamed), target.select(*keys), keys)
-    joined = join_nullsafe(aggregate_candidate(renamed, keys), target, keys)
-    # A row for each key, read once for each metric: kept on disks, without the lists of all categories that each row would hold.
-    joined = joined.drop(*[c for c in joined.columns if c.endswith("_categories") and c not in keys]).persist(StorageLevel.DISK_ONLY)
+    # Kept on disks, as profiles and aggregates read it, too.
+    renamed = semi_filter(normal(renamed), target.select(*keys), keys).persist(StorageLevel.DISK_ONLY)
+    joined = None
     try:
+        # Vectors stay sparse: the rows that are joined, sorted and kept hold a key's own categories only.
+        parts, categorical = candidate_parts(convert_numeric_columns(renamed, keys), keys)
+        joined = join_nullsafe(parts, target, keys)
+        if categorical and len(parts.columns) > len(keys) + 1:  # read for each vector and once for all others
+            joined = joined.persist(StorageLevel.DISK_ONLY)
         found = exclude_existing(feature_correlations(joined, keys, task.target), query.columns)
         return query.sparkSession.createDataFrame(found.collect(), found.schema)  # one row for each feature
     finally:
-        joined.unpersist()
+        renamed.unpersist()
+        if joined is not None:
+            joined.unpersist()
 
 
 def augment(query: DataFrame, task: choices.Task, lake: Mapping[str, DataFrame], order: Mapping[str, list[str]] | None = None, score: bool = True) -> AugmentResult:

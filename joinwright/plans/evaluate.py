@@ -63,9 +63,14 @@ def evaluate(df: DataFrame, target: str, features: list[str], task: str = "regre
     """Trains on 70 % of the rows and scores the others. The rows are split by a permutation of ``position`` where given,
     and else by a hash of ``key`` or of the whole row; for classification each class is."""
     carried = df.withColumn("__split", F.col(f"`{position}`") if position else F.col(f"`{key}`") if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
-    rows, names = prepare(carried, target, features, task, ["__split"])
-    rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows).select("x", "label", "__split").persist(StorageLevel.DISK_ONLY)
+    # The table is made once, as each step of the preparation reads it, and kept until the prepared rows are.
+    carried = carried.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, target])], "__split").persist(StorageLevel.DISK_ONLY)
+    rows = None
     try:
+        rows, names = prepare(carried, target, features, task, ["__split"])
+        rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows).select("x", "label", "__split").persist(StorageLevel.DISK_ONLY)
+        n = rows.count()
+        carried.unpersist()
         if position:
             train, test = mlprep.split_by_position(rows, "__split")
         elif task == "regression":
@@ -77,15 +82,17 @@ def evaluate(df: DataFrame, target: str, features: list[str], task: str = "regre
             found = model.transform(test)
             of = lambda m: RegressionEvaluator(metricName=m).evaluate(found)
             details = {"r2": of("r2"), "mse": of("mse"), "mae": of("mae")}
-            return Metrics(task, details["r2"], details, rows.count())
+            return Metrics(task, details["r2"], details, n)
         classes = rows.select("label").distinct().count()
         model = GBTClassifier(featuresCol="x", maxIter=20, seed=42) if classes == 2 else RandomForestClassifier(featuresCol="x", numTrees=50, seed=42)
         found = model.fit(train).transform(test)
         of = lambda m: MulticlassClassificationEvaluator(metricName=m).evaluate(found)
         details = {"f1": of("f1"), "accuracy": of("accuracy"), "precision": of("weightedPrecision"), "recall": of("weightedRecall")}
-        return Metrics(task, details["f1"], details, rows.count())
+        return Metrics(task, details["f1"], details, n)
     finally:
-        rows.unpersist()
+        carried.unpersist()
+        if rows is not None:
+            rows.unpersist()
 
 
 def improvement(baseline: float, augmented: float) -> dict[str, float | bool]:

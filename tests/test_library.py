@@ -701,3 +701,39 @@ def test_feature_table_of_more_rows_than_are_compared_in_pairs(spark):
     x, y = np.arange(21_000) % 2, np.where(np.arange(21_000) < 20_500, np.arange(21_000) % 3, np.arange(21_000) % 2 * 9)
     expected = distance.distance_correlation_of_numbers(spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y)], "x double, y double"))
     assert (found.feature, found.metric) == ("x", "distance") and found.value == pytest.approx(expected, abs=1e-9)
+
+
+def test_augmentation_keeps_each_keys_own_categories_only(spark, monkeypatch):
+    query = spark.range(900).selectExpr("id k", "cast(id % 20 as double) y")
+    lake = spark.range(1800).selectExpr("id % 900 j", "concat('c', id % 26) c", "cast(id as double) x")
+    seen, plain = [], augment.feature_correlations
+    monkeypatch.setattr(augment, "feature_correlations", lambda df, *a: seen.append(df.select(F.max(F.size("c_vector")), F.max(F.size("y_vector"))).first()) or plain(df, *a))
+    found = {r.feature: r.value for r in augment.correlate(query, choices.Task.of("query", "k", "y"), lake, ["j"]).collect()}
+    assert tuple(seen[0]) == (2, 1)
+    wide = aggregate.aggregate_candidate(lake.withColumnRenamed("j", "k"), ["k"]).join(aggregate.aggregate_target(query, ["k"], "y")[0], "k")
+    assert wide.select(F.size("c_vector"), F.size("y_vector")).first() == (26, 20)
+    assert found == {r.feature: pytest.approx(r.value, abs=1e-9) for r in plain(wide, ["k"], "y").collect()} and set(found) == {"c", "x"}
+
+
+def test_a_model_makes_its_table_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return float(v)
+
+    frame = spark.range(300).withColumn("x", counted("id")).withColumn("y", F.col("id") * 2.0)
+    assert evaluate.evaluate(frame.select("x", "y"), "y", ["x"]).score == pytest.approx(1) and made.value == 300
+
+
+def test_sketches_rank_only_the_hashes_that_may_be_kept(spark):
+    values = sketch.long_values(spark.range(30_000).selectExpr("id a", "id % 7 b"), "t")
+    made = sketch.bottom_k(values, 50, 0.01, 200)
+    found = collections.defaultdict(list)
+    for r in made.collect():
+        found[r.column].append(r.hash)
+    hashes = values.where("column = 'a'").select(keys.hash_prefix(keys.normalize_key(F.col("value"))).alias("h"))
+    assert sorted(found["a"]) == [r.h for r in hashes.orderBy("h").limit(200).collect()] and len(found["b"]) == 7
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "edge" in plan[plan.index("row_number") :]
